@@ -16,15 +16,48 @@ def op1_rans_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.sentencepiece_viterbi import encode_documents
+
+    return encode_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.langid import held_out_languages
+
+    return held_out_languages(read_table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.token_counts import count_tokens
+
+    return count_tokens(read_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.packing import pack
 
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.quality import held_out_quality
+
+    return held_out_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+OPERATORS = (
+    op1_rans_token_file,
+    op2_sentencepiece_viterbi,
+    op3_language_id,
+    op4_token_counts,
+    op8_best_fit_packing,
+    op10_quality_classifier,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_rans_token_file, op8_best_fit_packing)
-    return {f.__name__: lambda spark, sf_dir, f=f: f(ship(spark), sf_dir) for f in found}
+    return {f.__name__: lambda spark, sf_dir, f=f: f(ship(spark), sf_dir) for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
