@@ -34,12 +34,30 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op6_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.hnsw import search
+
+    return search(read_table(spark, sf_dir, "embeddings"))
+
+
+def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.kd_shards import shards_of
+
+    return shards_of(read_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.packing import pack
 
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.embed_dedup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.quality import held_out_quality
 
@@ -51,7 +69,10 @@ OPERATORS = (
     op2_sentencepiece_viterbi,
     op3_language_id,
     op4_token_counts,
+    op6_hnsw_search,
+    op7_kd_sharding,
     op8_best_fit_packing,
+    op9_embedding_near_dedup,
     op10_quality_classifier,
 )
 
