@@ -34,6 +34,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.ngram_join import jaccard_classes
+
+    return jaccard_classes(read_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op6_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folio.llm.hnsw import search
 
@@ -69,6 +75,7 @@ OPERATORS = (
     op2_sentencepiece_viterbi,
     op3_language_id,
     op4_token_counts,
+    op5_ngram_jaccard_join,
     op6_hnsw_search,
     op7_kd_sharding,
     op8_best_fit_packing,
