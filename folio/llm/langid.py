@@ -194,26 +194,25 @@ def fit(docs: DataFrame, dimensions: int = DIMENSIONS, gram: int = GRAM, seed: i
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (which has ``text``), then ``lang_pred`` and ``score``.
+    """The columns ``keep`` of ``docs`` (which has ``text``), then ``lang_pred`` and ``lang_score``.
 
     Null texts and texts without a letter give ``und`` and 0. Rows stay rows; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    text = docs["text"].cast("string").alias("__text")
-    kept = docs.select(*keep, text)
+    kept = docs.select(*(docs[c] for c in keep), *([] if "text" in keep else [docs["text"]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
+            texts = batch.column("text").to_pylist()
             for i, j in slices(texts, 2_000_000):
                 names, score = shared.value.predict(texts[i:j])
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score, pa.float64())],
-                    names=[*keep, "lang_pred", "score"],
+                    names=[*keep, "lang_pred", "lang_score"],
                 )
 
-    schema = kept.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    schema = kept.select(*keep).schema.add("lang_pred", "string").add("lang_score", "double")
     return kept.mapInArrow(run, schema)
 
 
@@ -227,4 +226,9 @@ def held_out_languages(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFr
     ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], docs["lang"])
     ids = ids.withColumn("held_out", fold(F.col("doc_id"), folds) == held)
     model = fit(ids.where(~F.col("held_out")))
-    return predict(ids, model, ["doc_id", "held_out"])
+    return predict(ids, model, ["doc_id", "held_out"]).withColumnRenamed("lang_score", "score")
+
+
+def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of ``docs`` in some learned language: rejected are null texts and texts without a letter."""
+    return predict(docs, model, docs.columns).where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)

@@ -425,3 +425,12 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     linked = live.select("doc_id", "n", "d1", "d2").join(of_class, ["d1", "d2"])
     rest = base.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return linked.select("doc_id", "n", "component_id").unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stand for their class: the smallest id's, once. Rows without an id all stay."""
+    kept = jaccard_classes(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where(docs["doc_id"].isNotNull())
+    key = named["doc_id"].cast("long").alias("__id")
+    once = named.select(key, *(named[c] for c in docs.columns)).join(kept.withColumnRenamed("doc_id", "__id"), "__id", "left_semi")
+    return once.dropDuplicates(["__id"]).drop("__id").unionByName(docs.where(docs["doc_id"].isNull()))

@@ -238,6 +238,21 @@ def score(stats: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
     return kept.mapInArrow(run, kept.drop("stats").schema.add("score", "double"))
 
 
+def scored_texts(docs: DataFrame, model: QualityModel, keep: list[str], name: str = "quality_score") -> DataFrame:
+    """The columns ``keep`` of ``docs`` and the score of its ``text``, in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = docs.select(*(docs[c] for c in keep), *([] if "text" in keep else [docs["text"]]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for i, j in slices(texts, 2_000_000):
+                part, s = batch.slice(i, j - i), shared.value.score(statistics(texts[i:j]))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(s, pa.float64())], names=[*keep, name])
+
+    return kept.mapInArrow(run, kept.select(*keep).schema.add(name, "double"))
+
+
 def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``stats(doc_id, stats)`` with a label 0 or 1; a document labelled twice counts twice."""
     marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("label"))
@@ -255,3 +270,10 @@ def held_out_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: i
     model = fit(labelled(stats.where(~F.col("held_out")), labels))
     out = score(stats, model, ["doc_id", "held_out"])
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, learned from all labelled rows among them."""
+    ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    model = fit(labelled(staged(with_statistics(ids, ["doc_id"]), "stats"), labels))
+    return scored_texts(docs, model, docs.columns).where(F.col("quality_score") >= threshold).select(*docs.columns)

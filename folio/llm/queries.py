@@ -89,4 +89,48 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_ngram_jaccard_join": NGRAM_JOIN_SQL, "op9_embedding_near_dedup": EMBEDDING_SQL}
+
+
+#: smallest id reachable over `links(a, b)`, both ways; `nodes(id)` are all ids
+_REACH = """
+reach(id, other) AS (
+    SELECT id, id FROM nodes
+    UNION
+    SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other
+)"""
+
+NGRAM_JOIN_SQL = rf"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(
+        regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+        lambda w: w <> '') AS w
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s
+    FROM words
+), sizes AS (
+    SELECT d.doc_id AS id, count(s.s) AS n FROM documents d LEFT JOIN shingles s USING (doc_id) GROUP BY d.doc_id
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT c.a, c.b FROM common c JOIN sizes x ON x.id = c.a JOIN sizes y ON y.id = c.b
+    WHERE 100 * c.c >= 85 * (x.n + y.n - c.c)
+), nodes AS (SELECT id FROM sizes), {_REACH}
+SELECT s.id AS doc_id, s.n AS n_shingles, min(r.other) AS component_id
+FROM sizes s JOIN reach r ON r.id = s.id GROUP BY s.id, s.n
+"""
+
+EMBEDDING_SQL = f"""
+WITH RECURSIVE v AS (
+    SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings
+), links AS (
+    SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.label = y.label AND x.id <> y.id
+    WHERE list_cosine_similarity(x.e, y.e) >= 0.93
+), nodes AS (SELECT id FROM v), {_REACH}
+SELECT v.id AS vec_id, (SELECT count(*) FROM links l WHERE l.a = v.id) AS n_links,
+       min(r.other) AS component_id, v.id = min(r.other) AS kept
+FROM v JOIN reach r ON r.id = v.id GROUP BY v.id
+"""
