@@ -11,7 +11,9 @@ from folio.functions import dates, geometry, markdown, paths, text
 from folio.operators import registry_ops as ops
 from folio.operators import retrieval, rules
 from folio.plans.query import StructuredQuery
-from folio.registry import REGISTRY_SQL, TODAY, load
+from folio.registry import REGISTRY_SQL, TODAY, load, registry
+from folio.session import scratch_path
+from folio.streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -552,3 +554,21 @@ def classify_documents(spark, d):
 @query()
 def retrieve_message(spark, d):
     return retrieval.retrieve(load(spark, d), "les 3 derniers documents Apache License 2023")
+
+
+@query("""WITH {reg}, t AS (SELECT length(regexp_replace(regexp_replace(raw_text, '^\\s+', ''), '\\s+$', '')) < 10 AS blocked, row_number() OVER (PARTITION BY checksum ORDER BY path, id) AS rn FROM reg)
+SELECT CASE WHEN blocked THEN 'BLOCKED' WHEN rn > 1 THEN 'DUPLICATE' ELSE 'MOVED' END AS status, count(*) AS n FROM t GROUP BY 1""")
+def stream_ingest(spark, d):
+    """The documents as a stream of files into a fresh registry; then how many events had each status."""
+    source = f"{d}/documents.parque[t]"  # a pattern, since a stream takes no single file
+    stream = registry(spark.readStream.schema(table(spark, d, "documents").schema).parquet(source)).select("id", "path", "filename", "raw_text")
+    base = scratch_path(spark, "stream")
+    ingest(stream, f"{base}/registry", f"{base}/events", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/events").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(spark, d):
+    """Extra: events by type and day."""
+    window = F.window("ts", "1 day")
+    return table(spark, d, "events").groupBy("event_type", window["start"].alias("day")).agg(F.count(F.lit(1)).alias("n"))

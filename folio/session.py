@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,3 +25,14 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(path)
         _shipped[app] = path
     return spark
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that ``spark.checkpoint.dir`` names; a temporary one only in a local session without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="folio-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/folio-{name}-{uuid.uuid4().hex}"
