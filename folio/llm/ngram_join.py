@@ -9,8 +9,9 @@ Trees need documents that belong together, so the join runs in steps, each a sup
 1. Equal sets are one class; its representative stands for it.
 2. Classes that share a shingle among the first few in a fixed order (the prefix that any similar pair
    must share) meet in a tree of bitmaps. Only a spanning forest of the pairs that stay leaves a tree.
-   A first round with three shingles finds most; the second drops every shingle whose classes are
-   together by then. The order puts shingles of very many documents last.
+   A first round with the three smallest hashes finds most; the second drops every shingle whose classes
+   are together by then, and classes that no other one of about their size shares a shingle with. The
+   order puts shingles of many documents last.
 3. Components of that forest hold every link. Each component's whole texts meet once, in blocks of a
    bounded number of shingles and pairs of such blocks; there a tree finds pairs, the exact sets decide,
    and pairs already linked through others are skipped.
@@ -34,8 +35,8 @@ from folio.llm.word_tokens import slices
 
 FANOUT = 8
 QUICK_KEYS = 3
-#: share of the documents from which a shingle counts as frequent, and how many such shingles the order knows
-FREQUENT, FREQUENT_LIST = 0.002, 65_536
+#: shingles that are counted together, and how many of those found again the order knows as frequent
+COUNTED, FREQUENT_LIST = 6_000_000, 1 << 19
 #: classes in a block of one key; shingles (and as many a document besides) in a block of one component
 KEY_BLOCK = 2048
 TEXT_BLOCK, TEXT_ROW = 1_500_000, 500
@@ -89,8 +90,8 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
 
 
 def width_of(n: int) -> int:
-    """Bits of the signature of a set of ``n``: a power of two, two to four a shingle."""
-    return max(6, (2 * max(n, 1) - 1).bit_length())
+    """Bits of the signature of a set of ``n``: a power of two, one to two a shingle."""
+    return max(6, (max(n, 1) - 1).bit_length())
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -260,40 +261,47 @@ def exact_links(names: list[int], sets: list[np.ndarray], side: np.ndarray, perc
 
 
 def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """Hashes of shingles in about ``FREQUENT`` or more of all documents. They only shape the order, not the result."""
+    """Hashes of the shingles that most documents hold, all documents counted. They only shape the order, not the result.
+
+    Each task counts its documents by a few million shingles at a time, equal sets once, and passes on
+    what it met twice or more.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        met: set[int] = set()
         size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= max(3, FREQUENT / 2 * len(held))
+            again = counts > 1
             held, size = [], 0
+            met.clear()
             return pa.RecordBatch.from_pydict(
-                {"h": pa.array(values[often].view(np.int64)), "n": pa.array(counts[often], pa.int64())}
+                {"h": pa.array(values[again].view(np.int64)), "n": pa.array(counts[again], pa.int64())}
             )
 
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for i, j in slices(texts):
                 for s in shingle_sets(texts[i:j], k):
-                    held.append(s)
-                    size += len(s)
-                if size > 4_000_000:
+                    if (name := xxhash.xxh64_intdigest(s.tobytes())) not in met:
+                        met.add(name)
+                        held.append(s)
+                        size += len(s)
+                if size > COUNTED:
                     yield flush()
         if held:
             yield flush()
 
     found = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    total = docs.count()
-    rows = found.where(F.col("n") >= max(8, FREQUENT * total)).orderBy(F.col("n").desc(), "h").limit(FREQUENT_LIST).collect()
-    return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
+    rows = found.where("n > 2").orderBy(F.col("n").desc(), "h").limit(FREQUENT_LIST).select("h").toArrow()
+    return np.sort(rows.column("h").to_numpy().astype(np.int64).view(np.uint64))
 
 
 def profiles(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """``doc_id, n, d1, d2`` (size and digest of the set), ``prefix`` (its first shingles in the order) and ``map``."""
+    """``doc_id, n, d1, d2`` (size and digest of the set), ``quick`` and ``prefix`` (first shingles by hash and in the order), ``map``."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,11 +310,12 @@ def profiles(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Dat
             texts = batch.column("text").to_pylist()
             for i, j in slices(texts):
                 sets = shingle_sets(texts[i:j], k)
-                d1, d2, prefix, maps = [], [], [], []
+                d1, d2, quick, prefix, maps = [], [], [], [], []
                 for s in sets:
                     data = s.tobytes()
                     d1.append(xxhash.xxh64_intdigest(data, 1) - (1 << 63))
                     d2.append(xxhash.xxh64_intdigest(data, 2) - (1 << 63))
+                    quick.append(s[:QUICK_KEYS].view(np.int64))
                     if not len(s):
                         prefix.append(s.view(np.int64))
                         maps.append(b"")
@@ -320,21 +329,25 @@ def profiles(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Dat
                             head = np.concatenate([s[~late], s[late]])[:length]
                     prefix.append(head.view(np.int64))
                     maps.append(signature(s).tobytes())
-                offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
-                flat = pa.array(np.concatenate(prefix) if prefix else np.empty(0, np.int64), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(i, j - i),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(d1, pa.int64()),
                         pa.array(d2, pa.int64()),
-                        pa.ListArray.from_arrays(offsets, flat),
+                        _listed(quick),
+                        _listed(prefix),
                         pa.array(maps, pa.binary()),
                     ],
-                    names=["doc_id", "n", "d1", "d2", "prefix", "map"],
+                    names=["doc_id", "n", "d1", "d2", "quick", "prefix", "map"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>, map binary")
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, quick array<long>, prefix array<long>, map binary")
+
+
+def _listed(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64), pa.int64()))
 
 
 def _cells(rows: DataFrame, key: str, block: int, cost, *carry: str) -> DataFrame:
@@ -382,12 +395,12 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     live = base.where("n > 0 and doc_id is not null")
     classes = staged(
         live.groupBy("d1", "d2").agg(
-            F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min_by(F.struct("prefix", "map"), "doc_id").alias("x")
-        ).select("d1", "d2", "rep", "n", "x.prefix", "x.map"),
+            F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min_by(F.struct("quick", "prefix", "map"), "doc_id").alias("x")
+        ).select("d1", "d2", "rep", "n", "x.quick", "x.prefix", "x.map"),
         "classes",
     )
     maps = classes.select("rep", "n", "map")
-    quick = classes.select(F.explode(F.slice("prefix", 1, QUICK_KEYS)).alias("key"), "rep", "n", F.col("rep").alias("label"))
+    quick = classes.select(F.explode("quick").alias("key"), "rep", "n", F.col("rep").alias("label"))
     shared = quick.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("many > 1").drop("many")
     first = staged(_forest(shared, maps, percent), "forest")
     labels = first.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("found"))
@@ -397,8 +410,17 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         .select(F.explode("prefix").alias("key"), "rep", "n", F.coalesce("found", "rep").alias("label"))
     )
     whole = Window.partitionBy("key")
-    apart = keys.withColumn("low", F.min("label").over(whole)).withColumn("high", F.max("label").over(whole))
-    second = staged(_forest(apart.where("low <> high").drop("low", "high"), maps, percent), "forest")
+    by_size = whole.orderBy("n")
+    apart = (
+        keys.withColumn("below", F.lag("n").over(by_size))
+        .withColumn("above", F.lead("n").over(by_size))
+        .withColumn("low", F.min("label").over(whole))
+        .withColumn("high", F.max("label").over(whole))
+        .where(F.col("low") < F.col("high"))
+        .where((100 * F.col("below") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("above")))
+        .drop("low", "high", "below", "above")
+    )
+    second = staged(_forest(apart, maps, percent), "forest")
     groups_of = staged(connected_components(first.union(second)), "groups")
     members = groups_of.select(F.col("node").alias("rep"), F.col("component").alias("key")).join(classes.select("rep", "n"), "rep")
     cells = _cells(members, "key", TEXT_BLOCK, F.col("n") + TEXT_ROW, "rep")
