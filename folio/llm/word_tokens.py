@@ -1,17 +1,28 @@
-"""Exact ids of a word-splitting tokenizer, with one library call per distinct chunk.
+"""Exact ids of a word-splitting tokenizer, with one library call per distinct word.
 
 The tokenizer splits at white space before anything else and drops it, so the ids of a text are the
-ids of its chunks between spaces and newlines put together. Chunks repeat, so each worker keeps a
-bounded cache of chunk to ids; chunks that are not there go through ``encode_batch``.
+ids of its chunks between spaces and newlines put together. A chunk of plain letters and signs is
+split into lower-case words here, by the tokenizer's own pattern; any other chunk goes to the library
+whole. Both chunks and words repeat, so each worker keeps bounded caches of their ids. New words go to
+the library side by side, through its model and byte letters only, since their form is settled: only
+the last id of a word is one that ends words, so the ids fall apart again.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
+
+import numpy as np
 
 END_ID = 1
-CACHE_ENTRIES = 400_000
+CACHE_CHUNKS = 400_000
+CACHE_WORDS = 1_200_000
 CACHE_CHARS = 48
+#: characters on which the pattern below, lower case and composed form agree with the tokenizer's
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ¡¿«»]*")
+WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 _encoders: dict[str, ChunkEncoder] = {}
 
@@ -25,45 +36,83 @@ def default_tokenizer() -> str:
 class ChunkEncoder:
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        import numpy as np
-
-        found = {}
-        for at in range(0, len(chunks), 20_000):
-            some = chunks[at : at + 20_000]
-            for chunk, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                found[chunk] = np.array(e.ids, "<u4").tobytes()
-        return found
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        #: whether chunks may be split here; otherwise the library gets each chunk whole
+        self.splits = bool(suffix) and json.dumps(pattern) in json.dumps(spec["pre_tokenizer"])
+        self.ends = np.zeros(self.size, bool)
+        for text, i in spec["model"]["vocab"].items():
+            self.ends[i] = bool(suffix) and text.endswith(suffix)
+        #: how the strings of added tokens begin; chunks that hold one go to the library whole
+        self.special = {t["content"][:2] for t in spec.get("added_tokens", [])}
+        self.lean = Tokenizer.from_file(path)
+        self.lean.normalizer = normalizers.Sequence([])
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(texts), 5_000):
+            found = self.tokenizer.encode_batch_fast(texts[at : at + 5_000], add_special_tokens=False)
+            out.extend(np.array(e.ids, "<u4").tobytes() for e in found)
+        return out
+
+    def _learn_words(self, words: list[str]) -> None:
+        known = self.words
+        for at in range(0, len(words), 100):
+            some = words[at : at + 100]
+            ids = np.array(self.lean.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(some) and last[-1] == len(ids):
+                data, start = ids.tobytes(), 0
+                for word, end in zip(some, last.tolist(), strict=True):
+                    known[word] = data[4 * start : 4 * end]
+                    start = end
+            else:
+                known.update(zip(some, self._library(some), strict=True))
+
+    def _learn(self, chunks: set[str]) -> None:
+        split, whole = [], []
+        for c in chunks:
+            if self.splits and c.isascii() and c.isalpha():
+                split.append((c, [c.lower()]))
+            elif self.splits and PLAIN.fullmatch(c) and not any(s in c for s in self.special):
+                split.append((c, WORD.findall(c.lower())))
+            else:
+                whole.append(c)
+        self.chunks.update(zip(whole, self._library(whole), strict=True))
+        words = self.words
+        self._learn_words(list({w for _, ws in split for w in ws if w not in words}))
+        for c, ws in split:
+            self.chunks[c] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+        if len(words) > CACHE_WORDS:
+            words.clear()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, then ``END_ID``, as little-endian unsigned 32-bit integers."""
         end = END_ID.to_bytes(4, "little")
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        cache = self.cache
-        missing = {c for chunks in split for c in chunks if c not in cache}
-        once = {}
-        if missing:
-            found = self._learn(sorted(missing))
-            if len(cache) + len(found) > CACHE_ENTRIES:
-                # what this batch needs stays readable through `once`; the cache starts again
-                once = {c: cache[c] for chunks in split for c in chunks if c in cache}
-                cache.clear()
-                cache[""] = b""
-            once |= found
-            if len(found) <= CACHE_ENTRIES:
-                cache.update((k, v) for k, v in found.items() if len(k) <= CACHE_CHARS)
-        if not once:
-            get = cache.__getitem__
+        known = self.chunks
+        missing = {c for chunks in split for c in chunks if c not in known}
+        self._learn(missing)
+        out = [b"".join(map(known.__getitem__, chunks)) + end for chunks in split]
+        if len(known) > CACHE_CHUNKS:
+            known.clear()
+            known[""] = b""
         else:
-            merged = {**cache, **once} if len(once) * 4 > len(cache) else None
-            get = merged.__getitem__ if merged is not None else lambda c: once[c] if c in once else cache[c]
-        return [b"".join(map(get, chunks)) + end for chunks in split]
+            for c in missing:
+                if len(c) > CACHE_CHARS:
+                    del known[c]
+        return out
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -73,7 +122,7 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
-def slices(texts: list[str | None], chars: int = 4_000_000):
+def slices(texts: list[str | None], chars: int = 1_000_000):
     """Index ranges whose texts hold about ``chars`` characters, a longer text alone."""
     start = size = 0
     for i, t in enumerate(texts):
