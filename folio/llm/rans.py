@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import documents_of, scratch_path, shuffle_partitions
+from folio.llm.common import documents_of, scratch_path, shuffle_partitions, staged
 from folio.llm.word_tokens import default_tokenizer, encoder, slices
 
 MAGIC = b"FRA1"
@@ -144,50 +144,16 @@ def decode_block(data: bytes, table: Table, first: int = 0, last: int | None = N
     return np.concatenate(out) if out else np.empty(0, "<u4")
 
 
-def token_counts(docs: DataFrame, tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and their counts over all documents. The driver gets one row per vocabulary entry at most."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        total = np.zeros(enc.size, np.int64)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, j in slices(texts):
-                ids = np.frombuffer(b"".join(enc.encode(texts[i:j])), "<u4")
-                total += np.bincount(ids, minlength=enc.size)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"id": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
-
-    rows = (
-        docs.select("text").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    )
-    return rows["id"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-
-
-def write_token_file(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
-    """Encode all documents and write ``path/table`` and ``path/blocks`` in ascending ``doc_id`` order.
+def ordered_blocks(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Blocks of whole documents' ids in ascending ``doc_id`` order, not yet coded.
 
-    Null text counts as empty; a null ``doc_id`` sorts first; rows with equal ids keep a fixed order by
-    text hash. An empty input writes a table and no blocks. Ties are split over partitions, so one
-    repeated id does not land in one task. Blocks are rows of binary in Parquet: Spark's commit
-    protocol then covers lost executors on any file system.
+    ``part, block, start`` (ids before it in its part), ``doc_ids``, ``lengths``, and ``ids`` in two bytes
+    each, or four for a vocabulary over 65,536.
     """
-    spark = docs.sparkSession
-    tokenizer = tokenizer or default_tokenizer()
-    docs = documents_of(docs)
-    symbols, counts = token_counts(docs, tokenizer)
-    if not len(symbols):
-        symbols, counts = np.array([1]), np.array([1])
-    table = Table.fit(symbols, counts)
-    spark.createDataFrame(
-        [(table.bits, table.symbols.tobytes(), table.freqs.tobytes(), table.crc)],
-        "bits int, symbols binary, freqs binary, crc long",
-    ).coalesce(1).write.parquet(f"{path}/table")
-    shared = spark.sparkContext.broadcast(table)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
-        table = shared.value
+        kind = _kind(enc.size)
         ids: list[bytes] = []
         names: list[int | None] = []
         size = number = start = 0
@@ -201,7 +167,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str | None = None) -
                 "n_ids": pa.array([size], pa.int64()),
                 "doc_ids": pa.array([names], pa.list_(pa.int64())),
                 "lengths": pa.array([[len(x) // 4 for x in ids]], pa.list_(pa.int64())),
-                "payload": pa.array([encode_block(np.frombuffer(b"".join(ids), "<u4"), table)], pa.binary()),
+                "payload": pa.array([np.frombuffer(b"".join(ids), "<u4").astype(kind).tobytes()], pa.binary()),
             }
             start, number, size, ids, names = start + size, number + 1, 0, [], []
             return pa.RecordBatch.from_pydict(row)
@@ -219,19 +185,78 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str | None = None) -
             yield close()
 
     keyed = docs.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
-    (
-        keyed.repartitionByRange(shuffle_partitions(spark), "doc_id", "tie", "row")
+    return (
+        keyed.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id", "tie", "row")
         .sortWithinPartitions("doc_id", "tie", "row")
         .select("doc_id", "text")
-        .mapInArrow(
-            blocks,
-            "part int, block int, start long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary",
-        )
-        .write.option("compression", "none")
-        .parquet(f"{path}/blocks")
+        .mapInArrow(blocks, BLOCK_ROW)
     )
 
 
+BLOCK_ROW = "part int, block int, start long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
+
+
+def _kind(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def _raw_ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """Ids of each block that isn't coded yet."""
+    for n, data in zip(batch.column("n_ids").to_pylist(), batch.column("payload"), strict=True):
+        buffer = data.as_buffer()
+        yield np.frombuffer(buffer, "<u2" if len(buffer) == 2 * n else "<u4")
+
+
+def token_counts(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and their counts over all documents. The driver gets one row per vocabulary entry at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, np.int64)
+        for batch in batches:
+            for ids in _raw_ids(batch):
+                found = np.bincount(ids)
+                if len(found) > len(total):
+                    total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
+                total[: len(found)] += found
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"id": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
+
+    counted = blocks.select("n_ids", "payload").mapInArrow(count, "id long, n long")
+    rows = counted.groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    return rows["id"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+
+
+def write_token_file(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
+    """Encode all documents and write ``path/table`` and ``path/blocks`` in ascending ``doc_id`` order.
+
+    Null text counts as empty; a null ``doc_id`` sorts first; rows with equal ids keep a fixed order by
+    text hash. An empty input writes a table and no blocks. Ties are split over partitions, so one
+    repeated id does not land in one task. Texts are encoded once: the ids wait in a staged table while
+    they are counted. Blocks are rows of binary in Parquet: Spark's commit protocol then covers lost
+    executors on any file system.
+    """
+    spark = docs.sparkSession
+    raw = staged(ordered_blocks(documents_of(docs), tokenizer or default_tokenizer()), "raw-ids", "zstd")
+    symbols, counts = token_counts(raw)
+    if not len(symbols):
+        symbols, counts = np.array([1]), np.array([1])
+    table = Table.fit(symbols, counts)
+    spark.createDataFrame(
+        [(table.bits, table.symbols.tobytes(), table.freqs.tobytes(), table.crc)],
+        "bits int, symbols binary, freqs binary, crc long",
+    ).coalesce(1).write.parquet(f"{path}/table")
+    shared = spark.sparkContext.broadcast(table)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, ids in enumerate(_raw_ids(batch)):
+                one = batch.slice(k, 1)
+                payload = pa.array([encode_block(ids.astype("<u4"), shared.value)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*one.columns[:-1], payload], names=one.schema.names)
+
+    raw.mapInArrow(code, BLOCK_ROW).write.option("compression", "none").parquet(f"{path}/blocks")
+
+
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, ids`` of every document, ``ids`` as little-endian unsigned 32-bit integers in binary.
 
