@@ -76,12 +76,12 @@ def _filtered(docs: DataFrame, query: StructuredQuery) -> DataFrame:
 
 
 def search(
-    docs: DataFrame, query: StructuredQuery, limit: int = 10, weights: dict[str, float] = WEIGHTS, k1: float = K1, b: float = B, relax: bool = False
+    docs: DataFrame, query: StructuredQuery, limit: int | None = 10, weights: dict[str, float] = WEIGHTS, k1: float = K1, b: float = B, relax: bool = False
 ) -> DataFrame:
     """``id, score, rung`` of the best rows, larger scores better, ties to the smaller id.
 
     ``relax``: of the request's rungs the first with a hit counts for all rows. Collection figures cover
-    all of ``docs``; filters apply before the limit.
+    all of ``docs``; filters apply before the limit. Without a limit all rows come, unordered.
     """
     rungs = ladder(query) if relax else [query] if not query.is_empty() else []
     empty = docs.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("rung")).limit(0)
@@ -136,7 +136,7 @@ def search(
     for i, q in enumerate(rungs):
         score = F.when(F.col("s_rung") == i, F.when(matches(q), weight(q, of))).otherwise(score)
     found = joined.select("id", score.alias("score"), F.col("s_rung").alias("rung")).where("score is not null")
-    return found.orderBy(F.col("score").desc(), "id").limit(limit)
+    return found if limit is None else found.orderBy(F.col("score").desc(), "id").limit(limit)
 
 
 def _in_filters(query: StructuredQuery) -> Column:

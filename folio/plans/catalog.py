@@ -256,20 +256,20 @@ def bm25_topk(spark, d):
 SELECT id FROM tok WHERE (list_contains(r, 'license') OR list_contains(r, 'rights')) AND list_contains(r, 'the') ORDER BY id""")
 def fts_facets(spark, d):
     docs = load(spark, d).select("id", "raw_text")
-    return retrieval.search(docs, StructuredQuery(doc_types=("license", "rights"), keywords=("the",)), 1_000_000).select("id")
+    return retrieval.search(docs, StructuredQuery(doc_types=("license", "rights"), keywords=("the",)), None).select("id")
 
 
 @query("""WITH {reg}, tok AS (SELECT id, regexp_extract_all(lower(raw_text), '[\\p{L}\\p{N}]+') AS r FROM reg)
 SELECT id FROM tok WHERE list_contains(r, 'license') AND NOT list_contains(r, 'apache') ORDER BY id""")
 def fts_not(spark, d):
     docs = load(spark, d).select("id", "raw_text")
-    return retrieval.search(docs, StructuredQuery(keywords=("license",), not_terms=("apache",)), 1_000_000).select("id")
+    return retrieval.search(docs, StructuredQuery(keywords=("license",), not_terms=("apache",)), None).select("id")
 
 
 @query("""WITH {reg} SELECT id FROM reg WHERE regexp_matches(lower(raw_text), '(^|[^\\p{L}\\p{N}])all[^\\p{L}\\p{N}]+rights[^\\p{L}\\p{N}]+reserved($|[^\\p{L}\\p{N}])')""")
 def fts_phrase(spark, d):
     docs = load(spark, d).select("id", "raw_text")
-    return retrieval.search(docs, StructuredQuery(keywords=("all rights reserved",)), 1_000_000).select("id")
+    return retrieval.search(docs, StructuredQuery(keywords=("all rights reserved",)), None).select("id")
 
 
 @query("""WITH {reg}, tok AS (SELECT id, regexp_extract_all(lower(raw_text), '[\\p{L}\\p{N}]+') AS r FROM reg),
@@ -279,7 +279,7 @@ SELECT id, rung FROM l WHERE rung = (SELECT min(rung) FROM l)""")
 def relax_ladder(spark, d):
     docs = load(spark, d).select("id", "raw_text")
     q = StructuredQuery(doc_types=("license",), entities=("apache",), keywords=("zebrawood",), not_terms=("version",))
-    return retrieval.search(docs, q, 1_000_000, relax=True).select("id", "rung")
+    return retrieval.search(docs, q, None, relax=True).select("id", "rung")
 
 
 @query("""WITH {reg}, s AS (SELECT id, date, (CASE WHEN contains(x, 'apache') THEN 1 ELSE 0 END) + (CASE WHEN contains(x, 'license') THEN 1 ELSE 0 END) + (CASE WHEN contains(x, 'reserved') THEN 1 ELSE 0 END) AS score
