@@ -353,7 +353,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY id, block ORDER BY i) AS pos, fi
 SELECT id, CAST(count(*) FILTER (pipe AND pos = 1) AS INTEGER) AS blocks, CAST(count(*) FILTER (pipe AND NOT rule) AS INTEGER) AS rows, CAST(count(*) FILTER (pipe AND pos > 1 AND NOT rule AND n <> width) AS INTEGER) AS ragged,
 CAST(count(*) FILTER (pipe AND pos = 1 AND NOT coalesce(next_rule, false)) AS INTEGER) AS headerless, CAST(count(*) FILTER (pipe AND pos = 1 AND n >= 14) AS INTEGER) AS wide FROM r GROUP BY id""")
 def table_audit(spark, d):
-    body = F.concat(F.lit("| a | b |\n| --- | --- |\n| x |\n"), F.col("subcategory"), F.lit("\n| h |\n"), F.substring("raw_text", 1, 2000))
+    body = F.concat(F.lit("| a | b |\n| --- | --- |\n| x |\n"), F.col("subcategory"), F.lit("\n| h |\n"), F.col("raw_text"))
     return load(spark, d).select("id", markdown.table_audit(body).alias("a")).select("id", "a.*")
 
 

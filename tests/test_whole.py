@@ -20,3 +20,11 @@ def many(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["fts_facets", "fts_not", "fts_phrase", "relax_ladder"])
 def test_searches_return_every_match(spark, many, name):
     assert catalog.QUERIES[name](spark, many).count() == 1_000_100
+
+
+def test_table_audit_reads_whole_texts(spark, tmp_path):
+    wide = "|" + " h |" * 14
+    late = "word \n" * 1000 + f"| a | b |\n| --- | --- |\n| x |\n\n{wide}\n| y |\n"
+    d = documents(spark, tmp_path, spark.createDataFrame([(1, "word"), (2, late)], "id long, text string"))
+    got = {r["id"]: (r["blocks"], r["rows"], r["ragged"], r["headerless"], r["wide"]) for r in catalog.QUERIES["table_audit"](spark, d).collect()}
+    assert got == {1: (2, 3, 1, 1, 0), 2: (4, 7, 3, 2, 1)}
