@@ -416,7 +416,16 @@ def blocked_prune(spark, d):
 
 @query("SELECT o_orderkey AS id, o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AS skip FROM orders WHERE o_orderkey % 2 = 0")
 def skip_cache(spark, d):
-    orders = table(spark, d, "orders").where("o_orderkey % 2 = 0")
+    """Half of the orders, as its SQL says; ``skip_cache_all`` decides every one."""
+    return _skipped(table(spark, d, "orders").where("o_orderkey % 2 = 0"))
+
+
+@query("SELECT o_orderkey AS id, o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AS skip FROM orders")
+def skip_cache_all(spark, d):
+    return _skipped(table(spark, d, "orders"))
+
+
+def _skipped(orders: DataFrame) -> DataFrame:
     name = F.concat(F.lit("/raw/"), F.col("o_orderkey").cast("string"))
     files = orders.select(F.col("o_orderkey").alias("id"), name.alias("path"), F.col("o_totalprice").alias("mtime_ms"), F.col("o_custkey").alias("size"))
     mtime = F.when(F.col("o_orderkey") % 5 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))

@@ -1,6 +1,7 @@
 """Registered queries do their whole job, however large or long the input is."""
 
 import pytest
+from conftest import SF
 
 from folio.plans import catalog
 
@@ -28,3 +29,8 @@ def test_table_audit_reads_whole_texts(spark, tmp_path):
     d = documents(spark, tmp_path, spark.createDataFrame([(1, "word"), (2, late)], "id long, text string"))
     got = {r["id"]: (r["blocks"], r["rows"], r["ragged"], r["headerless"], r["wide"]) for r in catalog.QUERIES["table_audit"](spark, d).collect()}
     assert got == {1: (2, 3, 1, 1, 0), 2: (4, 7, 3, 2, 1)}
+
+
+def test_every_order_has_a_skip_decision(spark):
+    got = [r["id"] for r in catalog.QUERIES["skip_cache_all"](spark, SF).collect()]
+    assert sorted(got) == sorted(r["o_orderkey"] for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect())
