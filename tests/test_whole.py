@@ -2,6 +2,7 @@
 
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from folio.plans import catalog
 
@@ -34,3 +35,9 @@ def test_table_audit_reads_whole_texts(spark, tmp_path):
 def test_every_order_has_a_skip_decision(spark):
     got = [r["id"] for r in catalog.QUERIES["skip_cache_all"](spark, SF).collect()]
     assert sorted(got) == sorted(r["o_orderkey"] for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect())
+
+
+def test_every_date_is_extracted(spark, monkeypatch):
+    monkeypatch.setattr(catalog.dates, "extract_date", lambda text, today: F.lit("2050-01-02"))
+    got = {r["date"] for r in catalog.QUERIES["date_extraction"](spark, SF).collect()}
+    assert got == {"1950-01-02", "2050-01-02"}
