@@ -331,6 +331,15 @@ def content_recall(spark, d):
     return load(spark, d).select("id", F.round(markdown.content_recall(F.col("raw_text"), F.substring("raw_text", 1, 500)), 6).alias("recall"))
 
 
+@query("""WITH c AS (SELECT doc_id AS id, text, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS bare FROM documents),
+w AS (SELECT id, list_filter(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')), lambda x: length(x) >= 4) AS a,
+list_filter(list_distinct(regexp_extract_all(lower(CASE WHEN length(bare) < 10 THEN '' ELSE replace(bare, chr(0), '') END), '[\\p{L}\\p{N}]+')), lambda x: length(x) >= 4) AS b FROM c)
+SELECT id, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) END, 6) AS recall FROM w""")
+def content_recall_clean(spark, d):
+    """Of whole texts, as ``clean_text`` leaves them."""
+    return load(spark, d).select("id", F.round(markdown.content_recall(F.col("raw_text"), text.clean_text(F.col("raw_text"))), 6).alias("recall"))
+
+
 @query("""WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents)
 SELECT id, round(CASE WHEN len(w) > 0 THEN list_sum(list_transform(w, lambda x: length(x))) / len(w) END, 6) AS mean_length, round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: length(x) >= 15)) / len(w) END, 6) AS long_share,
 round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: regexp_matches(x, '\\p{Ll}\\p{Lu}'))) / len(w) END, 6) AS seam_share FROM w""")

@@ -41,3 +41,9 @@ def test_every_date_is_extracted(spark, monkeypatch):
     monkeypatch.setattr(catalog.dates, "extract_date", lambda text, today: F.lit("2050-01-02"))
     got = {r["date"] for r in catalog.QUERIES["date_extraction"](spark, SF).collect()}
     assert got == {"1950-01-02", "2050-01-02"}
+
+
+def test_content_recall_compares_whole_texts(spark, tmp_path):
+    long = " ".join(f"word{i}" for i in range(1000))
+    d = documents(spark, tmp_path, spark.createDataFrame([(1, long), (2, "  short "), (3, "a b"), (4, "gone\x00word and more")], "id long, text string"))
+    assert {r["id"]: r["recall"] for r in catalog.QUERIES["content_recall_clean"](spark, d).collect()} == {1: 1.0, 2: 0.0, 3: None, 4: 0.333333}
