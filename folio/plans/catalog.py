@@ -252,6 +252,20 @@ def bm25_topk(spark, d):
     return hits.select("id", F.round("score", 6).alias("score"))
 
 
+@query("""WITH {reg}, col AS (SELECT id, unnest([struct_pack(w := 10.0, x := title), struct_pack(w := 6.0, x := array_to_string(tags, ' ')), struct_pack(w := 2.0, x := category), struct_pack(w := 2.0, x := subcategory),
+struct_pack(w := 1.0, x := filename), struct_pack(w := 0.5, x := raw_text)]) AS c FROM reg),
+tok AS (SELECT id, CAST(c.w AS DOUBLE) AS w, regexp_extract_all(lower(coalesce(c.x, '')), '[\\p{L}\\p{N}]+') AS r FROM col),
+f AS (SELECT id, sum(len(r)) AS len, sum(w * len(list_filter(r, lambda x: x = 'license'))) AS f1, sum(w * len(list_filter(r, lambda x: x = 'apache'))) AS f2, sum(w * len(list_filter(r, lambda x: x = 'src1'))) AS f3 FROM tok GROUP BY id),
+s AS (SELECT count(*) AS n, avg(len) AS av, count(*) FILTER (f1 > 0) AS d1, count(*) FILTER (f2 > 0) AS d2, count(*) FILTER (f3 > 0) AS d3 FROM f)
+SELECT id, round(ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * len / av)) + ln(1 + (n - d2 + 0.5) / (d2 + 0.5)) * f2 * 2.2 / (f2 + 1.2 * (0.25 + 0.75 * len / av))
++ ln(1 + (n - d3 + 0.5) / (d3 + 0.5)) * f3 * 2.2 / (f3 + 1.2 * (0.25 + 0.75 * len / av)), 6) AS score
+FROM f, s WHERE f1 > 0 OR f2 > 0 OR f3 > 0 ORDER BY 2 DESC, 1 LIMIT 10""")
+def bm25_columns_topk(spark, d):
+    """Over all indexed columns of the registry by their weights; ``bm25_topk`` reads the texts alone."""
+    hits = retrieval.search(load(spark, d), StructuredQuery(keywords=("license", "Apache", "src1")), 10)
+    return hits.select("id", F.round("score", 6).alias("score"))
+
+
 @query("""WITH {reg}, tok AS (SELECT id, regexp_extract_all(lower(raw_text), '[\\p{L}\\p{N}]+') AS r FROM reg)
 SELECT id FROM tok WHERE (list_contains(r, 'license') OR list_contains(r, 'rights')) AND list_contains(r, 'the') ORDER BY id""")
 def fts_facets(spark, d):

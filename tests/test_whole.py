@@ -47,3 +47,10 @@ def test_content_recall_compares_whole_texts(spark, tmp_path):
     long = " ".join(f"word{i}" for i in range(1000))
     d = documents(spark, tmp_path, spark.createDataFrame([(1, long), (2, "  short "), (3, "a b"), (4, "gone\x00word and more")], "id long, text string"))
     assert {r["id"]: r["recall"] for r in catalog.QUERIES["content_recall_clean"](spark, d).collect()} == {1: 1.0, 2: 0.0, 3: None, 4: 0.333333}
+
+
+def test_bm25_ranks_by_all_columns(spark):
+    weights = catalog.retrieval.indexed(catalog.load(spark, SF))
+    assert weights == {"title": 10.0, "tags": 6.0, "category": 2.0, "subcategory": 2.0, "filename": 1.0, "raw_text": 0.5}
+    of_src1 = {r["id"] for r in catalog.load(spark, SF).where("category = 'src1'").collect()}
+    assert {r["id"] for r in catalog.QUERIES["bm25_columns_topk"](spark, SF).collect()} & of_src1
