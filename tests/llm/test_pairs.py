@@ -208,6 +208,49 @@ def test_shards(spark):
     assert max(totals) - min(totals) <= 3 * largest
 
 
+def test_equal_texts_share_a_shard(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = kd_shards.shards_of(docs, shards=12).collect()
+    leaf = sum(r["size"] for r in rows) / 12
+    where, weight, total = {}, {}, {}
+    for r in rows:
+        key = r["text_crc32"], r["size"]
+        where.setdefault(key, set()).add(r["shard"])
+        weight[key] = weight.get(key, 0) + r["size"]
+        total[r["shard"]] = total.get(r["shard"], 0) + r["size"]
+    assert sum(len(w) > 1 for k, w in where.items() if weight[k] <= kd_shards.WHOLE * leaf) == 0
+    assert max(total.values()) < 1.1 * leaf and min(total.values()) > 0.9 * leaf
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_shards_are_leaves_of_a_serial_tree(spark, cut):
+    """The rows of shards 0 to k - 1 weigh what a serial tree over sorted keys gives its first k leaves."""
+    rng = random.Random(3)
+    texts = ["copy " * 40] * (2500 if cut else 8) + [" ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(1, 60))) for _ in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["shard"] for r in kd_shards.shards_of(docs, shards=8).collect()}
+    sizes = [len(t) + 16 for t in texts]
+    keys = {r["doc_id"]: [r[f"k{k}"] for k in range(4)] for r in kd_shards.metadata(docs).collect()}
+    shift = kd_shards.TEXT_BITS + kd_shards.ROW_BITS + kd_shards.COORDINATE_BITS - kd_shards.COARSE
+
+    def split(rows, shards, first):
+        if shards == 1:
+            assert {got[i] for i in rows} == {first}
+            return
+        wide = [max(keys[i][k] >> shift for i in rows) - min(keys[i][k] >> shift for i in rows) for k in range(4)]
+        k = wide.index(max(wide))
+        low = [i for i in rows if got[i] < first + shards // 2]
+        high = [i for i in rows if got[i] >= first + shards // 2]
+        loose = lambda side: [keys[i][k] for i in side if texts[i] != texts[0]]  # noqa: E731  the hot group may be moved whole
+        if loose(low) and loose(high):
+            assert max(loose(low)) <= min(loose(high))
+        assert abs(sum(sizes[i] for i in low) / sum(sizes[i] for i in rows) - 0.5) < 0.03
+        split(low, shards // 2, first)
+        split(high, shards - shards // 2, first + shards // 2)
+
+    split(list(got), 8, 0)
+
+
 def test_shards_odd(spark, odd, empty):
     rows = kd_shards.shards_of(odd, shards=3).collect()
     assert len(rows) == 13 and sum(r["size"] for r in rows) == sum(len((d["text"] or "").encode()) + 16 for d in odd.collect())
