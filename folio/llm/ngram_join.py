@@ -9,7 +9,7 @@ Trees need documents that belong together, so the join runs in steps, each a sup
 1. Equal sets are one class; its representative stands for it.
 2. Classes that share a shingle among the first few in a fixed order (the prefix that any similar pair
    must share) meet in a tree of bitmaps. Only a spanning forest of the pairs that stay leaves a tree.
-   A first round with the three smallest hashes finds most; the second drops every shingle whose classes
+   A first round with the first three shingles finds most; the second drops every shingle whose classes
    are together by then, and classes that no other one of about their size shares a shingle with. The
    order puts shingles of many documents last.
 3. Components of that forest hold every link. Each component's whole texts meet once, in blocks of a
@@ -20,6 +20,7 @@ Trees need documents that belong together, so the join runs in steps, each a sup
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -301,7 +302,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """``doc_id, n, d1, d2`` (size and digest of the set), ``quick`` and ``prefix`` (first shingles by hash and in the order), ``map``."""
+    """``doc_id, n, d1, d2`` (size and digest of the set), ``prefix`` (first shingles in the order), ``map``."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,12 +311,11 @@ def profiles(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Dat
             texts = batch.column("text").to_pylist()
             for i, j in slices(texts):
                 sets = shingle_sets(texts[i:j], k)
-                d1, d2, quick, prefix, maps = [], [], [], [], []
+                d1, d2, prefix, maps = [], [], [], []
                 for s in sets:
                     data = s.tobytes()
                     d1.append(xxhash.xxh64_intdigest(data, 1) - (1 << 63))
                     d2.append(xxhash.xxh64_intdigest(data, 2) - (1 << 63))
-                    quick.append(s[:QUICK_KEYS].view(np.int64))
                     if not len(s):
                         prefix.append(s.view(np.int64))
                         maps.append(b"")
@@ -335,14 +335,13 @@ def profiles(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Dat
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(d1, pa.int64()),
                         pa.array(d2, pa.int64()),
-                        _listed(quick),
                         _listed(prefix),
                         pa.array(maps, pa.binary()),
                     ],
-                    names=["doc_id", "n", "d1", "d2", "quick", "prefix", "map"],
+                    names=["doc_id", "n", "d1", "d2", "prefix", "map"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, quick array<long>, prefix array<long>, map binary")
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>, map binary")
 
 
 def _listed(rows: list[np.ndarray]) -> pa.ListArray:
@@ -350,12 +349,21 @@ def _listed(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64), pa.int64()))
 
 
-def _cells(rows: DataFrame, key: str, block: int, cost, *carry: str) -> DataFrame:
-    """Rows dealt to blocks of their key by size, and each block to the cells of its pairs: ``cell, side`` and ``carry``."""
+def _cells(rows: DataFrame, key: str, block: int, cost, percent: int, *carry: str) -> DataFrame:
+    """Rows dealt to blocks of their key by size, and each block to the cells of its pairs: ``cell, side`` and ``carry``.
+
+    A row goes to the cells of those blocks only that hold rows of a size that can be similar to its own.
+    """
     own = Window.partitionBy(key).orderBy("n", "rep")
     cut = rows.withColumn("slice", F.floor((F.sum(cost).over(own) - 1) / block).cast("int"))
-    cut = cut.withColumn("last", F.max("slice").over(Window.partitionBy(key)))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    # sizes on a logarithmic scale, so that a similar one lies within a fixed distance
+    scale = 1 << 20
+    cut = cut.withColumn("__log", F.floor(F.log("n") * scale).cast("long"))
+    reach = math.ceil(math.log(100 / percent) * scale) + 2
+    up = Window.partitionBy(key).orderBy("__log").rangeBetween(Window.unboundedPreceding, reach)
+    down = Window.partitionBy(key).orderBy(F.col("__log").desc()).rangeBetween(Window.unboundedPreceding, reach)
+    cut = cut.withColumn("__to", F.max("slice").over(up)).withColumn("__from", F.min("slice").over(down))
+    cut = cut.withColumn("other", F.explode(F.sequence("__from", "__to")))
     side = F.when(F.col("slice") == F.col("other"), 0).when(F.col("slice") < F.col("other"), 1).otherwise(2)
     cell = F.xxhash64(key, F.least("slice", "other"), F.greatest("slice", "other"))
     return cut.select(cell.alias("cell"), side.alias("side"), *carry)
@@ -364,7 +372,7 @@ def _cells(rows: DataFrame, key: str, block: int, cost, *carry: str) -> DataFram
 def _forest(keys: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """``keys(key, rep, n, label)`` to spanning edges ``a, b`` of the classes that may be similar."""
     spark = keys.sparkSession
-    cells = _cells(keys, "key", KEY_BLOCK, F.lit(1), "rep", "label")
+    cells = _cells(keys, "key", KEY_BLOCK, F.lit(1), percent, "rep", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groups(batches, "cell"):
@@ -386,8 +394,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """``doc_id, n_shingles, component_id`` of every row: documents linked at ``100 * common >= percent * all`` shingles.
 
     The whole word sequence is the one shingle of shorter texts; null texts and texts without a word have
-    none and link with nothing. Rows that share an id share its component. Rows without an id take no
-    part and have no component. An empty table gives no rows; other columns are left out.
+    none and link with nothing; texts of any length count whole. Rows that share an id share its component.
+    Rows without an id take no part and have no component. An empty table gives no rows; other columns,
+    whatever their names, are left out.
     """
     spark = docs.sparkSession
     docs = documents_of(docs)
@@ -395,12 +404,12 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     live = base.where("n > 0 and doc_id is not null")
     classes = staged(
         live.groupBy("d1", "d2").agg(
-            F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min_by(F.struct("quick", "prefix", "map"), "doc_id").alias("x")
-        ).select("d1", "d2", "rep", "n", "x.quick", "x.prefix", "x.map"),
+            F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min_by(F.struct("prefix", "map"), "doc_id").alias("x")
+        ).select("d1", "d2", "rep", "n", "x.prefix", "x.map"),
         "classes",
     )
     maps = classes.select("rep", "n", "map")
-    quick = classes.select(F.explode("quick").alias("key"), "rep", "n", F.col("rep").alias("label"))
+    quick = classes.select(F.explode(F.slice("prefix", 1, QUICK_KEYS)).alias("key"), "rep", "n", F.col("rep").alias("label"))
     shared = quick.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("many > 1").drop("many")
     first = staged(_forest(shared, maps, percent), "forest")
     labels = first.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("found"))
@@ -423,7 +432,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     second = staged(_forest(apart, maps, percent), "forest")
     groups_of = staged(connected_components(first.union(second)), "groups")
     members = groups_of.select(F.col("node").alias("rep"), F.col("component").alias("key")).join(classes.select("rep", "n"), "rep")
-    cells = _cells(members, "key", TEXT_BLOCK, F.col("n") + TEXT_ROW, "rep")
+    cells = _cells(members, "key", TEXT_BLOCK, F.col("n") + TEXT_ROW, percent, "rep")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groups(batches, "cell"):
