@@ -262,18 +262,23 @@ def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
 def held_out_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = THRESHOLD) -> DataFrame:
     """Learn from labelled rows of all folds but ``held``, score every row: ``doc_id, held_out, score, predicted``.
 
-    A null id has no label and is not held out; null and empty texts are scored like any other; repeated
-    rows are scored each; an empty table gives none.
+    A null id has no label and is not held out; null and empty texts are scored like any other, long ones
+    whole; repeated rows are scored each; an empty table gives none; other columns, whatever their names,
+    are left out. Labels that are null or neither 0 nor 1 count for nothing; without any, scores are 0.5.
     """
     ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     stats = staged(with_statistics(ids, ["doc_id"]), "stats").withColumn("held_out", fold(F.col("doc_id"), folds) == held)
-    model = fit(labelled(stats.where(~F.col("held_out")), labels))
+    model = fit(staged(labelled(stats.where(~F.col("held_out")), labels), "labelled"))
     out = score(stats, model, ["doc_id", "held_out"])
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, learned from all labelled rows among them."""
+    """The rows of ``docs``, all columns, that score ``threshold`` or more, learned from all labelled rows among them.
+
+    Null, empty and long texts, repeated rows and null ids are scored like any other; an empty table gives
+    none, and without labels all rows stay.
+    """
     ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    model = fit(labelled(staged(with_statistics(ids, ["doc_id"]), "stats"), labels))
-    return scored_texts(docs, model, docs.columns).where(F.col("quality_score") >= threshold).select(*docs.columns)
+    model = fit(staged(labelled(staged(with_statistics(ids, ["doc_id"]), "stats"), labels), "labelled"))
+    return scored_texts(docs, model, docs.columns, "__quality").where(F.col("__quality") >= threshold).select(*docs.columns)
