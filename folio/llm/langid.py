@@ -24,13 +24,14 @@ SEED = 20240630
 UNDETERMINED = "und"
 #: integer steps of one unit length: sums over partitions are then the same in any order
 STEPS = 1 << 20
-GRAM_CACHE = 60_000
+#: vectors kept of n-grams and of letters, n-grams that are bundled together, characters of a text that are
+GRAM_CACHE, LETTER_CACHE, GROUP, LONG = 60_000, 32_768, 16_384, 1_000_000
 
 _profilers: dict = {}
 
 
 class Profiler:
-    """Turns texts into document vectors; keeps the vectors of letters and n-grams it has met."""
+    """Turns texts into document vectors; keeps a bounded number of vectors of letters and n-grams it has met."""
 
     def __init__(self, dimensions: int = DIMENSIONS, gram: int = GRAM, seed: int = SEED) -> None:
         self.dimensions, self.gram, self.seed = dimensions, gram, seed
@@ -42,6 +43,9 @@ class Profiler:
 
     def _letter_rows(self, codes: list[int]) -> list[int]:
         new = [c for c in codes if c not in self.letter_row]
+        if new and len(self.letter_row) + len(new) > LETTER_CACHE:
+            self.letter_row, self.letters = {}, self.letters[:0]
+            new = codes
         if new:
             rows = [np.random.default_rng([self.seed, c]).integers(0, 2, self.dimensions, np.int8) * 2 - 1 for c in new]
             self.letter_row.update((c, len(self.letters) + k) for k, c in enumerate(new))
@@ -58,39 +62,72 @@ class Profiler:
         return bound
 
     def _gram_vectors(self, grams: np.ndarray) -> np.ndarray:
+        """Vectors of at most ``GROUP`` n-grams; those of texts with few distinct ones are kept."""
         keys = [g.tobytes() for g in grams]
         if len(self.gram_row) + len(keys) > GRAM_CACHE:
-            self.gram_row.clear()
-            self.grams = np.zeros((0, self.dimensions), np.int8)
-            if len(keys) > GRAM_CACHE:
-                return self._bind(grams)
+            self.gram_row, self.grams = {}, self.grams[:0]
         new = [i for i, k in enumerate(keys) if k not in self.gram_row]
         if new:
             self.gram_row.update((keys[i], len(self.grams) + k) for k, i in enumerate(new))
             self.grams = np.concatenate([self.grams, self._bind(grams[new])])
         return self.grams[[self.gram_row[k] for k in keys]]
 
-    def vectors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """One row a text, and whether it has a letter. Anything but letters is one gap; gaps stand at both ends."""
-        n = len(texts)
-        low = [(t or "").lower() for t in texts]
-        sizes = np.array([len(t) for t in low], np.int64) + 1
-        codes = np.frombuffer("".join([t + " " for t in low]).encode("utf-32-le", "surrogatepass"), "<u4")
-        owner = np.repeat(np.arange(n), sizes)
+    def _is_letter(self, codes: np.ndarray) -> np.ndarray:
         letter = np.zeros(len(codes), bool)
         known = codes < len(self.is_letter)
         letter[known] = self.is_letter[codes[known]]
         for i in np.flatnonzero(~known):
             letter[i] = chr(codes[i]).isalpha()
+        return letter
+
+    def vectors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """One row a text, and whether it has a letter. Anything but letters is one gap; gaps stand at both ends.
+
+        Longer texts than ``LONG`` are bundled piece by piece; the pieces overlap by an n-gram less one letter.
+        """
+        out = np.zeros((len(texts), self.dimensions), np.float32)
+        has = np.zeros(len(texts), bool)
+        short = [i for i, t in enumerate(texts) if t and len(t) <= LONG]
+        if short:
+            out[short], has[short] = self._bundled([texts[i] for i in short])
+        for i, t in enumerate(texts):
+            if t and len(t) > LONG:
+                out[i], has[i] = self._bundled_long(t)
+        return out, has
+
+    def _bundled(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        n = len(texts)
+        low = [t.lower() for t in texts]
+        sizes = np.array([len(t) for t in low], np.int64) + 1
+        codes = np.frombuffer("".join([t + " " for t in low]).encode("utf-32-le", "surrogatepass"), "<u4")
+        owner = np.repeat(np.arange(n), sizes)
+        letter = self._is_letter(codes)
         has = np.bincount(owner[letter], minlength=n) > 0
         # a gap stays if a letter stands before it; one more opens each text
         keep = letter | np.concatenate(([False], letter[:-1]))
         seq, own = np.where(letter, codes, 0)[keep], owner[keep]
         opens = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.empty(0, int)
-        seq, own = np.insert(seq, opens, 0), np.insert(own, opens, own[opens])
+        return self._summed(np.insert(seq, opens, 0), np.insert(own, opens, own[opens]), n), has
+
+    def _bundled_long(self, text: str) -> tuple[np.ndarray, bool]:
+        total, has, held = np.zeros(self.dimensions), False, np.zeros(1, np.uint32)
+        for at in range(0, len(text), LONG):
+            piece = text[at : at + LONG].lower() + ("" if at + LONG < len(text) else " ")
+            codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), "<u4")
+            letter = self._is_letter(codes)
+            has |= bool(letter.any())
+            keep = letter | np.concatenate(([held[-1] != 0], letter[:-1]))
+            seq = np.concatenate([held, np.where(letter, codes, 0)[keep]])
+            total += self._summed(seq, np.zeros(len(seq), np.int64), 1)[0]
+            held = seq[-(self.gram - 1) :] if len(seq) >= self.gram - 1 else seq
+        return total, has
+
+    def _summed(self, seq: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+        """Sums of the n-gram vectors of letter sequences laid end to end, ``own`` naming the text of each letter."""
         g = self.gram
+        out = np.zeros((n, self.dimensions), np.float32)
         if len(seq) < g:
-            return np.zeros((n, self.dimensions), np.float32), has
+            return out
         inside = own[: len(own) - g + 1] == own[g - 1 :]
         values, local = np.unique(seq, return_inverse=True)
         base = len(values)
@@ -107,20 +144,25 @@ class Profiler:
             column = index[code]
         else:
             distinct, column = np.unique(code, return_inverse=True)
-        rows = np.empty((len(distinct), g), np.int64)
-        rest = distinct.copy()
-        for place in range(g - 1, -1, -1):
-            rest, r = np.divmod(rest, base)
-            rows[:, place] = values[r]
-        vectors = self._gram_vectors(rows).astype(np.float32)
-        out = np.empty((n, self.dimensions), np.float32)
-        step = max(1, 8_000_000 // max(1, len(distinct)))
-        for i in range(0, n, step):  # counts of a few texts at a time, as a dense matrix
-            j = min(n, i + step)
-            a, b = np.searchsorted(own, [i, j])
-            counts = np.bincount((own[a:b] - i) * len(distinct) + column[a:b], minlength=(j - i) * len(distinct))
-            out[i:j] = counts.reshape(j - i, len(distinct)).astype(np.float32) @ vectors
-        return out, has
+        for low in range(0, len(distinct), GROUP):  # so many n-grams have vectors at a time
+            some = distinct[low : low + GROUP]
+            rows = np.empty((len(some), g), np.int64)
+            rest = some.copy()
+            for place in range(g - 1, -1, -1):
+                rest, r = np.divmod(rest, base)
+                rows[:, place] = values[r]
+            vectors = self._gram_vectors(rows).astype(np.float32)
+            mine, at = own, column
+            if len(some) < len(distinct):
+                here = (column >= low) & (column < low + GROUP)
+                mine, at = own[here], column[here] - low
+            step = max(1, 8_000_000 // len(some))
+            for i in range(0, n, step):  # counts of a few texts at a time, as a dense matrix
+                j = min(n, i + step)
+                a, b = np.searchsorted(mine, [i, j])
+                counts = np.bincount((mine[a:b] - i) * len(some) + at[a:b], minlength=(j - i) * len(some))
+                out[i:j] += counts.reshape(j - i, len(some)).astype(np.float32) @ vectors
+        return out
 
 
 def profiler(dimensions: int, gram: int, seed: int) -> Profiler:
@@ -193,8 +235,8 @@ def fit(docs: DataFrame, dimensions: int = DIMENSIONS, gram: int = GRAM, seed: i
     return LanguageModel(tuple(languages), np.array(prototypes).reshape(-1, dimensions), dimensions, gram, seed)
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (which has ``text``), then ``lang_pred`` and ``lang_score``.
+def predict(docs: DataFrame, model: LanguageModel, keep: list[str], names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (which has ``text``), then language and cosine under ``names``.
 
     Null texts and texts without a letter give ``und`` and 0. Rows stay rows; an empty table gives none.
     """
@@ -205,14 +247,13 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for i, j in slices(texts, 2_000_000):
-                names, score = shared.value.predict(texts[i:j])
+                langs, score = shared.value.predict(texts[i:j])
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score, pa.float64())],
-                    names=[*keep, "lang_pred", "lang_score"],
+                    [*(part.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*keep, *names]
                 )
 
-    schema = kept.select(*keep).schema.add("lang_pred", "string").add("lang_score", "double")
+    schema = kept.select(*keep).schema.add(names[0], "string").add(names[1], "double")
     return kept.mapInArrow(run, schema)
 
 
@@ -222,7 +263,12 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def held_out_languages(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
-    """Learn from all folds but ``held``, predict every row: ``doc_id, held_out, lang_pred, score``. A null id is not held out."""
+    """Learn from all folds but ``held``, predict every row: ``doc_id, held_out, lang_pred, score``.
+
+    A null id is not held out; null texts and texts without a letter are ``und`` with score 0; long texts
+    count whole; repeated rows are predicted each; an empty table gives none; without any learned language
+    all rows are ``und``; other columns, whatever their names, are left out.
+    """
     ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], docs["lang"])
     ids = ids.withColumn("held_out", fold(F.col("doc_id"), folds) == held)
     model = fit(ids.where(~F.col("held_out")))
@@ -230,5 +276,8 @@ def held_out_languages(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFr
 
 
 def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of ``docs`` in some learned language: rejected are null texts and texts without a letter."""
-    return predict(docs, model, docs.columns).where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    """The rows of ``docs``, all columns, in some learned language: rejected are null texts and texts without a letter.
+
+    Repeated rows and null ids stay as they are; an empty table gives none.
+    """
+    return predict(docs, model, docs.columns, ("__lang", "__cosine")).where(F.col("__lang") != UNDETERMINED).select(*docs.columns)

@@ -79,3 +79,23 @@ def test_statistics_of_one_text_do_not_depend_on_its_neighbours():
     texts = ["A b c.\nA b c.", None, "", "x" * 50, "ÀÉ ù | 12 !!", " \n "]
     together = quality.statistics(texts)
     assert np.allclose(together, np.concatenate([quality.statistics([t]) for t in texts])) and not together[1].any()
+
+
+def test_language_vectors_of_long_and_varied_texts(monkeypatch):
+    """Pieces and groups of n-grams add up to the same vectors, and memory stays bounded over a large script."""
+    import resource
+
+    rng = np.random.default_rng(4)
+    texts = ["".join(chr(c) for c in rng.choice([*range(97, 123), 32, 46, 233], n)) for n in (3, 50, 4000, 9000)] + ["...", None, "ab", "a"]
+    want, has = langid.Profiler(dimensions=64).vectors(texts)
+    monkeypatch.setattr(langid, "LONG", 700)
+    monkeypatch.setattr(langid, "GROUP", 90)
+    monkeypatch.setattr(langid, "GRAM_CACHE", 200)
+    monkeypatch.setattr(langid, "LETTER_CACHE", 40)
+    got, same = langid.Profiler(dimensions=64).vectors(texts)
+    assert np.allclose(got, want) and (has == same).all()
+    monkeypatch.undo()
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    codes = rng.integers(0x4E00, 0x9FA5, 60_000)
+    h, _ = langid.Profiler().vectors(["".join(map(chr, codes))])
+    assert h.any() and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
