@@ -7,8 +7,12 @@ backpointer by a vectorised maximum.
 Unigram models: the maximum of summed piece scores. BPE models: by the merge rule, a piece ``t`` can
 follow the piece ``s`` that ends the encoding of the prefix only if no merge would cross their
 boundary in ``s + t``; exactly one piece passes at each position, and scoring it 0 and the others
-minus infinity gives the library's own ids. Whether a pair passes is decided for whole arrays by
-undoing the two pieces' merges along the boundary, latest first.
+minus infinity lets the same maximum give the library's own ids. Whether a pair passes is decided for
+whole arrays by undoing the two pieces' merges along the boundary, latest first.
+
+Words longer than ``WINDOW`` (texts without spaces) are cut where no piece spans two letters. What is
+still longer is coded in overlapping windows that advance together. By the merge rule pieces follow each
+other if every neighbouring pair does, so two windows join exactly at a piece that both have.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from folio.llm.word_tokens import slices
 SPACE = "▁"
 CACHE_WORDS = 600_000
 CACHE_CHARS = 32
+#: letters of a window, and from one window's start to the next one's
+WINDOW, STRIDE = 128, 72
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 _coders: dict = {}
@@ -99,6 +105,7 @@ class PieceCoder:
         crossing = re.compile(f"[^{SPACE}]{SPACE}")
         #: no piece holds a space after another character, so words are coded apart
         self.words = None if any(crossing.search(t) for t in self.text) else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.spans = {(a, b) for t in self.text for a, b in zip(t, t[1:], strict=False)}
         self._hash_pieces()
         if self.bpe:
             self._merge_tables()
@@ -223,8 +230,11 @@ class PieceCoder:
 
     # -- the search -------------------------------------------------------------------------------
 
-    def _equal_words(self, words: list[str]) -> list[list[int]]:
-        """Pieces of words of one length; -1 stands for a single letter that no piece covers."""
+    def _paths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of words of one length, end to end, where each ends in its word, and each word's range of them.
+
+        A single letter that no piece covers is minus its end.
+        """
         size = len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), size)
         n, width = codes.shape
@@ -232,8 +242,8 @@ class PieceCoder:
             prefix = np.zeros((width + 1, n), np.uint64)
             for j in range(width):
                 prefix[j + 1] = prefix[j] * MULTIPLIER + (codes[:, j].astype(np.uint64) + np.uint64(1))
-        best = np.full((0 if self.bpe else width + 1, n), -np.inf)
-        best[:1] = 0
+        best = np.full((width + 1, n), -np.inf)
+        best[0] = 0
         last, step = np.full((width + 1, n), -1, np.int64), np.ones((width + 1, n), np.int32)
         unknown = self.score.min() - 10
         for j in range(1, width + 1):
@@ -259,9 +269,11 @@ class PieceCoder:
                 piece = np.concatenate([p for _, _, p in found])
                 length = np.concatenate([np.full(len(h), k, np.int32) for k, h, _ in found])
                 start = j - length
-                fits = (start == 0) | self._stays(last[start, where], piece)
-                w = where[fits]
-                last[j, w], step[j, w] = piece[fits], length[fits]
+                value = best[start, where] + np.where((start == 0) | self._stays(last[start, where], piece), 0.0, -np.inf)
+                np.maximum.at(best[j], where, value)
+                more = value > -np.inf
+                w = where[more]
+                last[j, w], step[j, w] = piece[more], length[more]
                 continue
             for length, hit, piece in reversed(found):  # of equal sums the longest piece stays, as in the library
                 value = best[j - length, hit] + np.where(piece >= 0, self.score[np.maximum(piece, 0)], unknown)
@@ -272,15 +284,73 @@ class PieceCoder:
         at, rows, count = np.full(n, width), np.arange(n), np.zeros(n, np.int64)
         while len(rows):
             piece = last[at, rows]
-            trail.append((rows, np.where((piece >= 0) & (piece < len(self.text)), piece, -at)))
+            trail.append((rows, np.where((piece >= 0) & (piece < len(self.text)), piece, -at), at))
             count[rows] += 1
             at = at - step[at, rows]
             rows, at = rows[at > 0], at[at > 0]
         ends = np.cumsum(count)
-        flat = np.empty(int(ends[-1]), np.int64)
-        for k, (rows, piece) in enumerate(trail):
-            flat[ends[rows] - 1 - k] = piece
-        return self._ids(words, flat, ends - count, ends)
+        flat, stops = np.empty(int(ends[-1]), np.int64), np.empty(int(ends[-1]), np.int64)
+        for k, (rows, piece, stop) in enumerate(trail):
+            flat[ends[rows] - 1 - k], stops[ends[rows] - 1 - k] = piece, stop
+        return flat, stops, ends - count, ends
+
+    def _segments(self, word: str) -> list[str]:
+        """A long word cut between letters that no piece holds side by side; letters in no piece stay together."""
+        known, spans = self.number, self.spans
+        cuts = [
+            i + 1
+            for i, pair in enumerate(zip(word, word[1:], strict=False))
+            if pair not in spans and (self.byte_ids or pair[0] in known or pair[1] in known)
+        ]
+        return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+
+    def _windowed(self, word: str) -> bytes:
+        """Ids of a word longer than a window, by the merge rule."""
+        memo: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def learn(texts: set[str]) -> None:
+            by_length: dict[int, list[str]] = {}
+            for t in texts:
+                by_length.setdefault(len(t), []).append(t)
+            for group in by_length.values():
+                for at in range(0, len(group), 2_000):
+                    flat, stops, low, high = self._paths(group[at : at + 2_000])
+                    memo.update((t, (flat[i:j], stops[i:j])) for t, i, j in zip(group[at : at + 2_000], low.tolist(), high.tolist(), strict=True))
+
+        def coded(at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Pieces, ends and starts of the window that begins at ``at``."""
+            text = word[at : at + WINDOW]
+            if text not in memo:
+                learn({text})
+            piece, stop = memo[text]
+            return np.where(piece < 0, -(stop + at), piece), stop + at, np.concatenate(([at], stop[:-1] + at))
+
+        grid = [*range(0, len(word) - WINDOW, STRIDE), len(word) - WINDOW]
+        learn({word[at : at + WINDOW] for at in grid})
+        done: list[np.ndarray] = []
+        piece, stop, start = coded(0)
+        for at in grid[1:]:
+            while at + WINDOW > stop[-1]:
+                other = coded(at)
+                mine = np.flatnonzero(start >= at)
+                shared, i, j = np.intersect1d(start[mine] * 4096 + stop[mine], other[2] * 4096 + other[1], return_indices=True)
+                if len(shared):
+                    done.append(piece[: mine[i[0]]])
+                    piece, stop, start = (x[j[0] :] for x in other)
+                    break
+                # no common piece (a period that the windows don't share): go on from one of the own pieces
+                for k in range(len(stop) - 1, 0, -1):
+                    if stop[k] + 2 * self.max_len <= stop[-1] and start[k] + WINDOW > stop[-1]:
+                        other = coded(int(start[k]))
+                        if other[1][0] == stop[k]:
+                            done.append(piece[:k])
+                            piece, stop, start = other
+                            break
+                else:  # nothing to hold on to: letter by letter
+                    flat, _, low, high = self._paths([word])
+                    return self._ids([word], flat, low, high)[0]
+        flat = np.concatenate([*done, piece])
+        return self._ids([word], flat, np.zeros(1, np.int64), np.array([len(flat)]))[0]
 
     def _ids(self, words: list[str], flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """Ids of words whose pieces lie in ``flat``; minus ``e`` there is the uncovered letter that ends at ``e``."""
@@ -302,16 +372,21 @@ class PieceCoder:
         return out
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
+        long = {w: self._segments(w) for w in words if len(w) > WINDOW}
+        words = words - long.keys() | {part for parts in long.values() for part in parts}
         by_length: dict[int, list[str]] = {}
-        for w in words:
-            by_length.setdefault(len(w), []).append(w)
         found: dict[str, bytes] = {}
+        for w in words:
+            if self.bpe and len(w) > WINDOW:
+                found[w] = self._windowed(w)
+            else:
+                by_length.setdefault(len(w), []).append(w)
         for size, group in by_length.items():
             step = max(1, 4_000_000 // (size + 1))
             for i in range(0, len(group), step):
                 some = group[i : i + step]
-                found.update(zip(some, self._equal_words(some), strict=True))
-        return found
+                found.update(zip(some, self._ids(some, *(x for k, x in enumerate(self._paths(some)) if k != 1)), strict=True))
+        return found | {w: b"".join([found[part] for part in parts]) for w, parts in long.items()}
 
     def normalize(self, text: str) -> str:
         if not self.plain:

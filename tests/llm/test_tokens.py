@@ -163,6 +163,27 @@ def test_pieces_equal_the_library(small, coder):
     assert all(coder.decode(g) == t for g, t in zip(got, texts, strict=True) if "▁" not in t)
 
 
+def test_texts_without_spaces(coder):
+    import base64
+    import time
+
+    rng = random.Random(2)
+    texts = {
+        "one letter": "x" * 20_000,
+        "period": "abc" * 5_000 + "b" * 777,
+        "two letters": "".join(rng.choice("ab") for _ in range(5_000)),
+        "base64": base64.b64encode(rng.randbytes(15_000)).decode(),
+        "large script": "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(20_000)),
+        "lines": "-" * 3_001 + "=" * 900,
+    }
+    coder.encode(["warm " + "up" * 200])
+    for name, text in texts.items():
+        began = time.perf_counter()
+        got = coder.encode([text])[0]
+        assert np.frombuffer(got, "<u4").tolist() == coder.sp.encode(text) and coder.decode(got) == text, name
+        assert time.perf_counter() - began < 5, name  # a busy machine; alone each takes well under a second or two
+
+
 def test_unigram_pieces_equal_the_library(small):
     from sentencepiece import sentencepiece_model_pb2 as proto
 
