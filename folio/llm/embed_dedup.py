@@ -27,6 +27,8 @@ THRESHOLD = 0.93
 RECALL = 0.9995
 BUCKET = 64
 BLOCK = 1024
+#: a bucket's number as it travels
+KEY = "<u4"
 SEED = 20240630
 
 
@@ -41,7 +43,7 @@ def signs(rows: np.ndarray, bits: int, tables: int, seed: int = SEED) -> np.ndar
     """Bucket of each row in each table."""
     planes = np.random.default_rng([seed, rows.shape[1]]).normal(size=(rows.shape[1], tables * bits))
     on = (rows @ planes > 0).reshape(len(rows), tables, bits)
-    return (on * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
+    return (on * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)  # at most 30 bits
 
 
 def spanning_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -63,7 +65,7 @@ def block_links(left: pa.Table, right: pa.Table | None, table: int, threshold: f
     both = left if right is None else pa.concat_tables([left, right]).combine_chunks()
     n, split = len(both), len(left)
     v = unit(matrix(both.column("embedding").combine_chunks()))
-    keys = matrix(both.column("keys").combine_chunks()).astype(np.int32)
+    keys = np.array([np.frombuffer(k, KEY) for k in both.column("keys").to_pylist()])
     rep, weight = both.column("rep").to_numpy(), both.column("weight").to_numpy()
     a, b = (v, v) if right is None else (v[:split], v[split:])
     near = a @ b.T >= threshold
@@ -94,7 +96,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, recall: floa
     Vectors with equal non-null labels and cosine ``>= threshold`` in double precision link. Null labels
     and ids, and vectors that are null, zero or hold null or non-finite components, link with nothing: no
     links, themselves as component, kept. Vectors of different lengths don't compare. Rows that share an
-    id share its links. An empty table gives no rows.
+    id share its links. An empty table gives no rows; other columns, whatever their names, are left out.
     """
     spark = table.sparkSession
     base = vectors_of(table, "label").withColumn("usable", F.col("usable") & F.col("label").isNotNull())
@@ -112,29 +114,22 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, recall: floa
         for batch in batches:
             sizes = np.array([len(x) for x in batch.column("embedding")], np.int64)
             for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
-                part = batch.take(pa.array(at))
+                part = batch.take(pa.array(np.flatnonzero(sizes == size)))
                 keys = signs(matrix(part.column("embedding")), bits, tables)
+                packed = pa.array([row.astype(KEY).tobytes() for row in keys], pa.binary())
                 listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, tables, dtype=np.int32), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("label", "rep", "weight", "embedding")), listed],
-                    names=["label", "rep", "weight", "embedding", "keys"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("group"), packed, listed], names=["rep", "group", "keys", "buckets"])
 
-    keyed = classes.select("label", "rep", "weight", "embedding").mapInArrow(
-        hashed, "label string, rep long, weight long, embedding array<float>, keys array<int>"
-    )
-    keyed = staged(keyed, "signs")
+    group = F.xxhash64("label", F.size("embedding")).alias("group")
+    keyed = staged(classes.select("rep", group, "embedding").mapInArrow(hashed, "rep long, group long, keys binary, buckets array<int>"), "signs")
     # light rows first: who meets in which bucket, and in which blocks of it
-    met = keyed.select(
-        "rep", F.xxhash64("label", F.size("embedding")).alias("group"), F.posexplode("keys").alias("table", "bucket")
-    )
-    own = Window.partitionBy("group", "table", "bucket")
+    bucket = ["group", "table", "bucket"]
+    met = keyed.select("rep", "group", F.posexplode("buckets").alias("table", "bucket"))
+    shared = met.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = (
-        met.withColumn("n", F.count(F.lit(1)).over(own))
-        .where("n > 1")
-        .withColumn("slice", F.floor((F.row_number().over(own.orderBy("rep")) - 1) / block).cast("int"))
+        met.join(shared, bucket)
         .withColumn("slices", F.ceil(F.col("n") / block).cast("int"))
+        .withColumn("slice", F.pmod(F.xxhash64("rep", "table"), F.col("slices")).cast("int"))
     )
     pairs = met.select(
         "rep", "group", "table", "bucket", "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other")
@@ -159,7 +154,8 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, recall: floa
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["rep", "links", "root"])
 
     found = (
-        pairs.join(keyed.select("rep", "weight", "embedding", "keys"), "rep")
+        pairs.join(classes.select("rep", "weight", "embedding"), "rep")
+        .join(keyed.select("rep", "keys"), "rep")
         .repartition(shuffle_partitions(spark), "cell", "table")
         .sortWithinPartitions("cell", "table")
         .mapInArrow(compare, "rep long, links long, root long")

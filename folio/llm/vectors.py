@@ -15,10 +15,12 @@ def usable(embedding: Column) -> Column:
 
 
 def vectors_of(table: DataFrame, *more: str) -> DataFrame:
-    """``vec_id, embedding`` (and ``more``), a 128-bit content hash ``h1, h2`` and ``usable``."""
-    out = table.select(
-        table["vec_id"].cast("long").alias("vec_id"), table["embedding"].cast("array<float>").alias("embedding"), *(table[c] for c in more)
-    )
+    """``vec_id, embedding`` (and ``more``), a 128-bit content hash ``h1, h2`` and ``usable``.
+
+    Components stay single where they are, since double precision holds them exactly; any others become double.
+    """
+    kind = "array<float>" if dict(table.dtypes)["embedding"] == "array<float>" else "array<double>"
+    out = table.select(table["vec_id"].cast("long").alias("vec_id"), table["embedding"].cast(kind).alias("embedding"), *(table[c] for c in more))
     return out.select(
         "*",
         F.xxhash64("embedding").alias("h1"),
@@ -28,9 +30,14 @@ def vectors_of(table: DataFrame, *more: str) -> DataFrame:
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """Rows of a list column whose lists have one length, in double precision."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    """Rows of a list column whose lists have one length, in double precision.
+
+    Each is scaled by a power of two to components below 1: no cosine changes, and no square overflows.
+    """
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    if not rows.size:
+        return rows
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1))[1][:, None])
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
