@@ -185,6 +185,34 @@ def test_search(spark):
     assert hits >= 0.95 * 5 * 60
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_search_by_cells(spark, seed):
+    rows = vectors(seed, 2500)
+    table = spark.createDataFrame(rows, KIND).selectExpr("vec_id", "CAST(embedding AS array<double>) AS embedding").repartition(3)
+    more = spark.createDataFrame([(9000 + i, [float(i), 1.0]) for i in range(30)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in hnsw.search(table.union(more), shard_rows=60).collect():  # 42 shards
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    v = np.array([r[1] for r in rows], np.float32).astype(float)
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    hits = 0
+    for q in range(0, 2500, 50):
+        sims = u @ u[q]
+        sims[q] = -9
+        hits += sum(sims[i] >= np.sort(sims)[-5] - 1e-12 for i in got[q])
+    assert hits >= 0.93 * 5 * 50 and all(i >= 9000 for i in got[9000]) and len(got[9000]) == 5
+
+
+def test_double_vectors_keep_their_precision(spark):
+    near = [(50, [1.0, 1e-9, 0.0]), (1, [1.0, 0.0, 0.0]), (2, [1e200, 1e191, 0.0]), (3, [0.0, 1.0, 1e300])]
+    table = spark.createDataFrame(near, "vec_id long, embedding array<double>")
+    got = [r["vec_id"] for r in hnsw.search(table).orderBy("rank").collect()]
+    assert set(got) == {1, 2, 3} and got[-1] == 3
+    same = table.selectExpr("*", "1 AS label")
+    links = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(same, recall=1 - 1e-9).collect()}
+    assert links == {50: 2, 1: 2, 2: 2, 3: 0}
+
+
 def test_search_odd(spark):
     table = spark.createDataFrame([*ODD_VECTORS, (50, [1.0] * 16, 0), (2000, [1.0] + [0.0] * 15, 0)], KIND)
     got = [tuple(r) for r in hnsw.search(table.selectExpr("*", "1 AS rank", "2 AS h1")).orderBy("query_id", "rank").collect()]
