@@ -117,14 +117,42 @@ def histogram(levels: Column) -> Column:
 
 def clip_points(counts: Column, share: float = 0.01) -> Column:
     """Black and white point: the levels at which the running share from below and from above passes ``share``."""
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
-    upto = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: F.aggregate(F.slice(counts, 1, v + 1), F.lit(0).cast("long"), lambda s, x: s + x))
-    low = F.array_position(F.transform(upto, lambda s: s > total * share), F.lit(True)) - 1
-    high = F.array_position(F.transform(upto, lambda s: s >= total * (1 - share)), F.lit(True)) - 1
-    return F.struct(low.cast("int").alias("black"), high.cast("int").alias("white"))
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("black"), F.lit(None).cast("int").alias("white"), _total(counts).alias("total"))
+
+    def step(s: Column, n: Column) -> Column:
+        run = s["sum"] + n
+        return F.struct(
+            run.alias("sum"),
+            (s["at"] + 1).alias("at"),
+            F.coalesce(s["black"], F.when(run > s["total"] * share, s["at"])).alias("black"),
+            F.coalesce(s["white"], F.when(run >= s["total"] * (1 - share), s["at"])).alias("white"),
+            s["total"].alias("total"),
+        )
+
+    return F.aggregate(counts, start, step, lambda s: F.struct(s["black"].alias("black"), s["white"].alias("white")))
+
+
+def _total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
 def leveled(levels: Column, black: Column, white: Column) -> Column:
     """Levels stretched so that the points become 0 and 255."""
     span = F.greatest(white - black, F.lit(1))
     return F.transform(levels, lambda v: _limit(F.round((v - black) * 255.0 / span).cast("int"), 0, 255))
+
+
+def auto_levels(black: Column, white: Column, least: float = 0.05) -> Column:
+    """``struct(brightness, contrast)``, -50 to 50: the sliders that take the points to 0 and 255; 0 where they lie too close."""
+    low, high = black / 255.0, white / 255.0
+    total, span = low + high, high - low
+    k1 = F.when(total > 0.01, 1 / total).otherwise(1.0)
+    k2 = F.when(total > 0.01, F.try_divide(total, span)).otherwise(1.0)
+    slider = lambda k: F.when(span < least, 0).otherwise(F.round(_limit((k - 1) * 100, -50.0, 50.0)).cast("int"))
+    return F.struct(slider(k1).alias("brightness"), slider(k2).alias("contrast"))
+
+
+def sharpened(center: Column, north: Column, south: Column, west: Column, east: Column, amount) -> Column:
+    """A gray level by a kernel between identity (amount 0) and a full Laplacian sharpening (100)."""
+    t = F.lit(amount) / 100.0
+    return _limit((1 + 4 * t) * center - t * (north + south + west + east), 0.0, 255.0)

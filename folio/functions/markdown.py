@@ -14,8 +14,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from folio.functions.text import trimmed
+from folio.functions.text import escape_html, trimmed
 
+# What counts as a line of a pipe table, and as its separator.
 PIPE_LINE = r"^\s*\|.*\|\s*$"
 SEPARATOR = r"^\s*\|(?:\s*:?-+:?\s*\|)+\s*$"
 
@@ -78,14 +79,43 @@ def open_header(text: Column) -> Column:
 
 def quote_charts(text: Column, cells: int = 14) -> Column:
     """Lines of a table whose header has many cells become a quote."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("state"))
-
-    def step(s: Column, line: Column) -> Column:
-        pipe = line.rlike(PIPE_LINE)
-        state = F.when(~pipe, 0).when(s["state"] != 0, s["state"]).when(_cells(line) >= cells, 2).otherwise(1)
-        return F.struct(F.concat(s["out"], F.array(F.when(state == 2, F.concat(F.lit("> "), line)).otherwise(line))).alias("out"), state.alias("state"))
-
-    return F.array_join(F.aggregate(lines_of(text), start, step)["out"], "\n")
+    lines = lines_of(text)
+    places = F.sequence(F.lit(0), F.size(lines))
+    pipe = lambda i: F.coalesce(F.get(lines, i).rlike(PIPE_LINE), F.lit(False))
+    opens = F.filter(places, lambda i: pipe(i) & ~pipe(i - 1) & (_cells(F.get(lines, i)) >= cells))
+    ends = F.filter(places, lambda i: ~pipe(i))  # the place after the last line is one
+    spans = F.transform(opens, lambda i: F.struct(i.alias("first"), F.array_min(F.filter(ends, lambda e: e > i)).alias("end")))
+    quoted = lambda line, i: F.when(F.exists(spans, lambda s: (s["first"] <= i) & (i < s["end"])), F.concat(F.lit("> "), line)).otherwise(line)
+    return F.array_join(F.transform(lines, quoted), "\n")
+
+
+def handed_headers(chunks: Column) -> Column:
+    """For each chunk the header of the table that the chunk before it leaves open, else null."""
+    return F.transform(chunks, lambda c, i: F.when((i > 0) & c.rlike(r"^\s*\|"), open_header(F.get(chunks, i - 1))))
+
+
+def to_html(text: Column) -> Column:
+    """A subset of Markdown as HTML: tables, headings, bold, italic, code, list items, line ends. Anything else is escaped."""
+    lines = F.split(escape_html(fix_tables(F.coalesce(text, F.lit("")))), "\n")
+    pipe = lambda x: F.coalesce(x.rlike(PIPE_LINE), F.lit(False))
+
+    def row(line: Column, i: Column) -> Column:
+        parts = F.split(line, r"\|")
+        cells = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), trimmed)
+        tagged = lambda t: F.array_join(F.transform(cells, lambda c: F.concat(F.lit(f"<{t}>"), c, F.lit(f"</{t}>"))), "")
+        first = ~pipe(F.get(lines, i - 1))
+        head = F.concat(F.lit("<table><thead><tr>"), tagged("th"), F.lit("</tr></thead><tbody>"))
+        body = F.when(first, head).when(line.rlike(SEPARATOR), "").otherwise(F.concat(F.lit("<tr>"), tagged("td"), F.lit("</tr>")))
+        return F.concat(body, F.when(pipe(F.get(lines, i + 1)), "").otherwise("</tbody></table>\n"))
+
+    out = F.array_join(F.transform(lines, lambda x, i: F.when(pipe(x), row(x, i)).otherwise(F.concat(x, F.lit("\n")))), "")
+    out = F.regexp_replace(out, "\n$", "")
+    for pattern, html in (
+        (r"(?m)^### (.*)$", "<h5>$1</h5>"), (r"(?m)^## (.*)$", "<h4>$1</h4>"), (r"(?m)^# (.*)$", "<h3>$1</h3>"), (r"\*\*(.*?)\*\*", "<strong>$1</strong>"),
+        (r"\*(.*?)\*", "<em>$1</em>"), (r"`([^`]+)`", "<code>$1</code>"), (r"(?m)^\s*[-*]\s+(.*)$", "<li>$1</li>"), ("\n", "<br>"),
+    ):
+        out = F.regexp_replace(out, pattern, html)
+    return out
 
 
 def join_chunks(chunks: Column) -> Column:

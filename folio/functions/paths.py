@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,12 @@ def is_inside(path: Column, folder: Column) -> Column:
     return (p == d) | p.startswith(F.concat(d, F.lit("/")))
 
 
+def is_confined(path: Column, roots: tuple[str, ...]) -> Column:
+    """Inside one of the folders that callers may name paths in; a path that climbs with ``..`` never is."""
+    inside = reduce(lambda a, b: a | b, [is_inside(path, F.lit(r)) for r in roots])
+    return F.coalesce(inside & ~path.rlike(r"(^|[/\\])\.\.([/\\]|$)"), F.lit(False))
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, r"[/\\]"), -1)
 

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.paths import basename, extension, is_inside, suffixed
-from folio.functions.text import is_forbidden, is_year, normalize_slug, path_title, trimmed
+from folio.functions.paths import basename, canonical_path, extension, is_inside, suffixed
+from folio.functions.text import is_forbidden, is_year, natural_key, normalize_slug, path_title, trimmed
 
 # -- filters and projections ---------------------------------------------------------------------
 
@@ -42,6 +42,19 @@ def in_dates(docs: DataFrame, low: str | None, high: str | None) -> DataFrame:
     return docs.where(F.col("date") <= high) if high else docs
 
 
+def contact_filter(docs: DataFrame, contact: str) -> DataFrame:
+    """Rows that name a contact in any contact field, without regard to case; an empty contact filters nothing."""
+    fields = [c for c in docs.columns if c.startswith("contact_")]
+    if not contact or not fields:
+        return docs
+    return docs.where(reduce(lambda a, b: a | b, [F.lower(F.coalesce(docs[f], F.lit(""))).contains(contact.lower()) for f in fields]))
+
+
+def lookup(table: DataFrame, column: str, *values) -> DataFrame:
+    """Rows by id, checksum or path; the filter reaches the scan."""
+    return table.where(F.col(column).isin(*values))
+
+
 def tag_filter(docs: DataFrame, tag: str) -> DataFrame:
     """A tag that is some row's subcategory filters by subcategory, any other by the tags."""
     own = F.lower(F.coalesce("subcategory", F.lit(""))) == tag.lower()
@@ -60,9 +73,14 @@ def split_known(incoming: DataFrame, known: DataFrame) -> tuple[DataFrame, DataF
 
 
 def first_of_batch(incoming: DataFrame, order: str = "path") -> DataFrame:
-    """Of equal contents in one batch the first by path; others are duplicates of it (``copy_of``)."""
-    first = incoming.groupBy("checksum").agg(F.min_by("id", F.struct(order, "id")).alias("first"))
-    return incoming.join(first, "checksum").withColumn("copy_of", F.when(F.col("id") != F.col("first"), F.col("first"))).drop("first")
+    """Of equal contents in one batch the first by path; others are duplicates of it (``copy_of``).
+
+    A row without a checksum has no known content and copies nothing.
+    """
+    first = incoming.groupBy("checksum").agg(F.min_by("id", F.struct(order, "id")).alias("first"), F.count(F.lit(1)).alias("__n"))
+    first = first.where("checksum is not null and __n > 1").drop("__n")
+    joined = incoming.join(first, "checksum", "left")
+    return joined.withColumn("copy_of", F.when(F.col("id") != F.col("first"), F.col("first"))).select(*incoming.columns, "copy_of")
 
 
 def collision_names(docs: DataFrame, name: str = "filename", mark: str = "_dup") -> DataFrame:
@@ -71,6 +89,15 @@ def collision_names(docs: DataFrame, name: str = "filename", mark: str = "_dup")
     return docs.withColumn("target", suffixed(F.col(name), n, mark))
 
 
+def without_overwrite(moves: DataFrame, files: DataFrame, at: Column) -> DataFrame:
+    """``moves(id, target)`` to ``placed``: a target that a file already has gets a time suffix, and the second move to one place a number."""
+    taken = files.select(F.lower("path").alias("__t"), F.lit(True).alias("__taken")).distinct()
+    stamped = F.concat(F.regexp_replace("target", r"\.[^./]*$", ""), F.lit("_"), F.date_format(at, "yyyyMMddHHmmss"), F.regexp_extract("target", r"(\.[^./]*)$", 1))
+    marked = moves.withColumn("__t", F.lower("target")).join(taken, "__t", "left").withColumn("placed", F.when(F.col("__taken"), stamped).otherwise(F.col("target")))
+    n = F.row_number().over(Window.partitionBy(F.lower("placed")).orderBy("id"))
+    return marked.withColumn("placed", suffixed(F.col("placed"), n, "_")).drop("__t", "__taken")
+
+
 # -- counts --------------------------------------------------------------------------------------
 
 
@@ -100,6 +127,28 @@ def format_breakdown(files: DataFrame) -> DataFrame:
     return files.groupBy(extension(F.col("filename")).alias("ext")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
 
+def system_stats(docs: DataFrame, files: DataFrame) -> DataFrame:
+    """One row: documents, files and their bytes, the registry's bytes of text, formats in use."""
+    of_docs = docs.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(F.octet_length("raw_text")), F.lit(0)).cast("long").alias("text_bytes"))
+    of_files = files.agg(
+        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"), F.count_distinct(extension(F.col("filename"))).alias("formats")
+    )
+    return of_docs.crossJoin(of_files)  # one row each
+
+
+def learning_totals(blocked: DataFrame, decisions: DataFrame) -> DataFrame:
+    """One row: blocked files, decisions, and those of them that are enabled."""
+    of_decisions = decisions.agg(F.count(F.lit(1)).alias("decisions"), F.count_if(F.coalesce("enabled", F.lit(1)) != 0).alias("enabled"))
+    return blocked.agg(F.count(F.lit(1)).alias("blocked")).crossJoin(of_decisions)  # one row each
+
+
+def bundle_pages(files: DataFrame) -> DataFrame:
+    """``folder, page, path``: the images of each bundle in natural order, which puts ``IMG_2`` before ``IMG_10``."""
+    pages = files.withColumn("folder", F.regexp_replace("path", r"/[^/]*$", "")).join(image_bundles(files).select("folder"), "folder", "left_semi")
+    own = Window.partitionBy("folder").orderBy(natural_key(basename(F.col("path"))), "path")
+    return pages.select("folder", F.row_number().over(own).alias("page"), "path")
+
+
 def image_bundles(files: DataFrame) -> DataFrame:
     """Folders that hold two images or more and nothing else."""
     image = extension(F.col("path")).isin("png", "jpg", "jpeg", "webp", "bmp", "tiff")
@@ -118,30 +167,39 @@ def outcome_counts(items: DataFrame, outcomes: list[str], column: str = "status"
 # -- mutations: each returns the new table -------------------------------------------------------
 
 
+def first_of_key(rows: DataFrame, key: str, *order) -> DataFrame:
+    """The first row of each key; rows without a key are nothing to each other and all stay."""
+    own = Window.partitionBy(key, "__alone").orderBy(*order)
+    marked = rows.withColumn("__alone", F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
+    return marked.withColumn("__rn", F.row_number().over(own)).where("__rn = 1").drop("__rn", "__alone")
+
+
 def insert(table: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows whose checksum is new, each checksum once (the smallest id's)."""
+    """Rows whose checksum is new, each checksum once (the smallest id's); rows without one are all new."""
     fresh = rows.join(table.select("checksum"), "checksum", "left_anti")
-    own = Window.partitionBy("checksum").orderBy("id")
-    fresh = fresh.withColumn("rn", F.row_number().over(own)).where("rn = 1").drop("rn")
-    return table.unionByName(fresh, allowMissingColumns=True)
+    return table.unionByName(first_of_key(fresh, "checksum", "id"), allowMissingColumns=True)
+
 
+def patch(table: DataFrame, patches: DataFrame, key: str = "id", aliases: dict[str, str] | None = None, order: str | None = None) -> DataFrame:
+    """Non-null fields of a patch replace the row's; ``aliases`` name fields that patches call otherwise.
 
-def patch(table: DataFrame, patches: DataFrame, key: str = "id", aliases: dict[str, str] | None = None) -> DataFrame:
-    """Non-null fields of a patch replace the row's; ``aliases`` name fields that patches call otherwise."""
+    Of several patches of one key each field takes its last value by ``order``, without one the largest.
+    """
     for theirs, ours in (aliases or {}).items():
         if theirs in patches.columns:
             value = F.coalesce(patches[theirs], patches[ours]) if ours in patches.columns else patches[theirs]
             patches = patches.withColumn(ours, value).drop(theirs)
-    named = patches.select(key, *(F.col(c).alias(f"__{c}") for c in patches.columns if c != key and c in table.columns))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))) if order else F.max(c)
+    fields = [c for c in patches.columns if c not in (key, order) and c in table.columns]
+    named = patches.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *(last(c).alias(f"__{c}") for c in fields))
     joined = table.join(named, key, "left")
     return joined.select(*(F.coalesce(f"__{c}", c).alias(c) if f"__{c}" in named.columns else F.col(c) for c in table.columns))
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str, newest: str) -> DataFrame:
-    """The newest row of each key; of equals the incoming one."""
+    """The newest row of each key; of equals the incoming one. Rows without a key all stay."""
     both = table.withColumn("__in", F.lit(0)).unionByName(rows.withColumn("__in", F.lit(1)))
-    own = Window.partitionBy(key).orderBy(F.col(newest).desc(), F.col("__in").desc())
-    return both.withColumn("__rn", F.row_number().over(own)).where("__rn = 1").drop("__rn", "__in")
+    return first_of_key(both, key, F.col(newest).desc(), F.col("__in").desc()).drop("__in")
 
 
 def delete(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -154,8 +212,9 @@ def prune(blocked: DataFrame, files: DataFrame, key: str = "original_path") -> D
 
 
 def skip_or_retry(files: DataFrame, blocked: DataFrame) -> DataFrame:
-    """``skip``: the cache has the path with the same time and size."""
-    known = blocked.select(F.col("original_path").alias("path"), F.col("mtime_ms").alias("__m"), F.col("size").alias("__s"), F.lit(True).alias("__k"))
+    """``skip``: the cache's newest entry of the path has the same time and size."""
+    newest = blocked.groupBy(F.col("original_path").alias("path")).agg(F.max(F.struct("mtime_ms", "size")).alias("e"))
+    known = newest.select("path", F.col("e.mtime_ms").alias("__m"), F.col("e.size").alias("__s"), F.lit(True).alias("__k"))
     same = F.col("__k") & F.col("mtime_ms").eqNullSafe(F.col("__m")) & F.col("size").eqNullSafe(F.col("__s"))
     return files.join(known, "path", "left").withColumn("skip", F.coalesce(same, F.lit(False))).drop("__m", "__s", "__k")
 
@@ -174,7 +233,8 @@ def orphans(files: DataFrame, docs: DataFrame, root: str = "/archive") -> DataFr
 
 
 def locate(docs: DataFrame, files: DataFrame, input_dir: str = "/input") -> DataFrame:
-    """Where a document's file is: new path, original path, input folder, else the archive's file of that name."""
+    """Where a document's file is: new path, original path, input folder, else the archive's file of that name. Rows stay rows."""
+    files = files.select("path").distinct()
     exact = lambda c, to: files.select(F.col("path").alias(c), F.col("path").alias(to))
     by_name = files.groupBy(F.lower(basename(F.col("path"))).alias("__name")).agg(F.min("path").alias("__4"))
     return (
@@ -196,6 +256,42 @@ def repair(files: DataFrame, docs: DataFrame) -> DataFrame:
     return files.join(known, "checksum", "left").withColumn("action", action)
 
 
+def repair_plan(files: DataFrame, docs: DataFrame, today: Column, root: str = "/archive") -> DataFrame:
+    """What a repair does with each archive file, by checksum: ``action``, ``text_refreshed`` and the file's ``target``.
+
+    ``files(path, checksum, fresh_text, rule_category, rule_subcategory)`` carry a new extraction and what
+    the rules say of it. Without readable text, or with a place that stays generic, a file goes back to the
+    inbox (``moved_to_raws``). A known file whose canonical place is another one is ``relocalized``, one
+    whose text or place changes ``updated``, any other ``unchanged``; an unknown file is ``repaired``.
+    """
+    known = first_of_key(docs.where("checksum is not null"), "checksum", "id").select(
+        "checksum", F.col("id"), F.col("category").alias("__c"), F.col("subcategory").alias("__s"), F.col("date").alias("__d"), F.col("raw_text").alias("__t")
+    )
+    rows = files.join(known, "checksum", "left")
+    unknown = F.col("id").isNull()
+    specific = ~is_generic_place(F.col("rule_category"), F.col("rule_subcategory"))
+    reclassify = unknown | is_generic_place(F.col("__c"), F.col("__s"))
+    category = F.when(reclassify, F.col("rule_category")).otherwise(F.col("__c"))
+    subcategory = F.when(reclassify, F.col("rule_subcategory")).otherwise(F.col("__s"))
+    target = canonical_path(F.lit(root), F.col("path"), category, subcategory, F.col("__d"), today)
+    empty = F.length(trimmed(F.coalesce("fresh_text", F.lit("")))) < 10
+    fresh = ~unknown & needs_text(F.col("__t"), F.col("fresh_text"))
+    action = (
+        F.when(empty | (reclassify & ~specific), "moved_to_raws")
+        .when(unknown, "repaired")
+        .when(target != F.col("path"), "relocalized")
+        .when(fresh | reclassify, "updated")
+        .otherwise("unchanged")
+    )
+    out = rows.withColumn("action", action).withColumn("text_refreshed", fresh & ~empty).withColumn("target", F.when(F.col("action") != "moved_to_raws", target))
+    return out.drop("__c", "__s", "__d", "__t")
+
+
+def repair_counters(plan: DataFrame) -> DataFrame:
+    """One row: files scanned and how many a repair adds, updates, relocates and moves back."""
+    return outcome_counts(plan, ["repaired", "updated", "relocalized", "moved_to_raws"], "action").withColumnRenamed("total", "scanned")
+
+
 def needs_text(stored: Column, fresh: Column, placeholder: str = "[no text]") -> Column:
     """Stored text is missing, too short or a placeholder, or the fresh one is longer than 20 and differs."""
     s, f = F.coalesce(stored, F.lit("")), F.coalesce(fresh, F.lit(""))
@@ -240,6 +336,13 @@ def counts_with_taxonomy(taxonomy: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
+def menu_order(entries: DataFrame) -> DataFrame:
+    """``position`` of each entry in its category's menu: configured ones by name whatever case or accent, then the injected ones by slug."""
+    name = F.collate(F.col("name"), "UNICODE_CI_AI") if hasattr(F, "collate") else F.lower("name")
+    own = Window.partitionBy("category").orderBy(F.when(F.col("configured"), 0).otherwise(1), F.when(F.col("configured"), name), "subcategory")
+    return entries.withColumn("position", F.row_number().over(own))
+
+
 def unused_entries(taxonomy: DataFrame, docs: DataFrame) -> DataFrame:
     used = docs.select(F.lower("category").alias("category"), F.lower("subcategory").alias("slug")).distinct()
     return taxonomy.join(used, ["category", "slug"], "left_anti")
@@ -328,6 +431,12 @@ def newest_decisions(decisions: DataFrame, most: int = 25) -> DataFrame:
     return decisions.where(F.coalesce("enabled", F.lit(1)) != 0).orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(most)
 
 
+def newest_hints(hints: DataFrame, most: int = 50) -> DataFrame:
+    """The newest hints, each text once whatever its case and outer white space."""
+    once = hints.groupBy(trimmed(F.lower("hint")).alias("__key")).agg(F.max_by("hint", F.struct("created_at", "id")).alias("hint"), F.max("created_at").alias("created_at"), F.max_by("id", F.struct("created_at", "id")).alias("id"))
+    return once.where("__key <> ''").drop("__key").orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(most)
+
+
 def decision_rules(decisions: DataFrame, most: int = 25) -> DataFrame:
     """Rules on file names learned from decisions, none to a forbidden target."""
     newest = newest_decisions(decisions, most).where(~is_forbidden(F.col("new_subcategory")))
@@ -341,10 +450,11 @@ def recent(logs: DataFrame, n: int = 300) -> DataFrame:
 
 
 def log_sessions(logs: DataFrame) -> DataFrame:
-    """Per file: entries, last time, last status."""
+    """Per file: entries, last time, last status, and the last category that was logged, if logs have one."""
     last = F.struct("ts", "event_id")
+    named = [F.max_by("category", F.when(F.col("category").isNotNull(), last)).alias("category")] if "category" in logs.columns else []
     return logs.groupBy("filename").agg(
-        F.count(F.lit(1)).alias("entries"), F.max("ts").alias("updated_at"), F.max_by("status", last).alias("status")
+        F.count(F.lit(1)).alias("entries"), F.max("ts").alias("updated_at"), F.max_by("status", last).alias("status"), *named
     )
 
 
@@ -358,14 +468,21 @@ def last_states(events: DataFrame) -> DataFrame:
 
 
 def suppressed(messages: DataFrame, seconds: int = 30) -> DataFrame:
-    """Messages shown: the first of a key, then the next one ``seconds`` or more after the last shown.
+    """``key, ts`` of messages shown: the first of a key, then the next one ``seconds`` or more after the last shown.
 
-    Whether a message is shown depends on which one before it was, so each key's times are folded in order.
+    Whether a message is shown depends on which one before it was. A gap of ``seconds`` before a message
+    settles it whatever came before, so each key falls apart at its gaps into bursts, and only a burst's
+    times are walked in order, in batches that Spark sorted. Null times show nothing.
     """
-    seen = messages.groupBy("key").agg(F.array_sort(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp")))).alias("times"))
-    keep = lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= seconds * 1_000_000), F.concat(acc, F.array(t))).otherwise(acc)
-    kept = F.aggregate(F.slice("times", 2, 1 << 30), F.slice("times", 1, 1), keep)
-    return seen.select("key", F.explode(kept).alias("at")).select("key", F.timestamp_micros("at").alias("ts"))
+    from folio.functions.bursts import first_shown
+
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = messages.select("key", micros.alias("at")).where("at is not null").distinct()
+    own = Window.partitionBy("key").orderBy("at")
+    gap = F.coalesce(F.col("at") - F.lag("at").over(own) >= seconds * 1_000_000, F.lit(True))
+    marked = rows.withColumn("opens", gap)
+    shown = marked.sortWithinPartitions("key", "at").mapInArrow(first_shown(seconds * 1_000_000), marked.schema)
+    return shown.select("key", F.timestamp_micros("at").alias("ts"))
 
 
 # -- exports -------------------------------------------------------------------------------------

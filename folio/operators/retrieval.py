@@ -1,8 +1,9 @@
 """Ranked retrieval: BM25 with column weights, facets, exclusions and a relaxation ladder in one plan.
 
-A term's frequency is counted inside a row, on its token arrays, so a query costs one scan and no
-shuffle of postings; the collection's figures (documents, mean length, document frequencies, the first
-rung with a hit) are one aggregated row that joins back by broadcast. ``postings`` gives the exploded index.
+``search`` counts a term's frequency inside a row, on its token arrays: a scan without a shuffle, for tables
+that are searched once. ``folio.operators.search_index`` stores the postings and reads a request's terms
+only. Either way the collection's figures (documents, mean length, document frequencies, the first rung
+with a hit) are one aggregated row.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions.dates import parse_date
@@ -23,6 +24,8 @@ WEIGHTS = {
     "original_path": 1.0, "new_path": 1.0, "registre": 1.0, "raw_text": 0.5,
 }
 K1, B = 1.2, 0.75
+#: columns that a request can filter by
+FILTERED = ("category", "subcategory", "date", "file_type")
 
 
 def indexed(docs: DataFrame, weights: dict[str, float] = WEIGHTS) -> dict[str, float]:
@@ -44,6 +47,11 @@ def postings(docs: DataFrame, key: str = "id", weights: dict[str, float] = WEIGH
     return reduce(DataFrame.unionByName, parts)
 
 
+def token_lengths(docs: DataFrame, weights: dict[str, float] = WEIGHTS) -> dict[str, Column]:
+    """Number of words of each indexed column of a row."""
+    return {c: F.size(_tokens(docs, c)) for c in indexed(docs, weights)}
+
+
 def _frequency(words: Column, term: list[str]) -> Column:
     """Occurrences of a word, or of words in a row, in a token array."""
     if len(term) == 1:
@@ -60,45 +68,48 @@ def _words(term: str) -> list[str]:
     return re.findall(r"[^\W_]+", term.lower())
 
 
-def _filtered(docs: DataFrame, query: StructuredQuery) -> DataFrame:
-    """Exact category and inclusive dates; a bound leaves rows without a date out."""
-    if query.category:
-        docs = docs.where(F.lower("category") == query.category.lower())
-    if query.subcategory:
-        docs = docs.where(F.lower("subcategory") == query.subcategory.lower())
-    if query.date_from or query.date_to:
-        docs = docs.where(F.coalesce("date", F.lit("")) != "")
-    if query.date_from:
-        docs = docs.where(F.col("date") >= query.date_from)
-    if query.date_to:
-        docs = docs.where(F.col("date") <= query.date_to)
-    return docs
+def request(query: StructuredQuery, relax: bool = False) -> tuple[list[StructuredQuery], dict[str, list[str]]]:
+    """The rungs of a request that have a positive term, and each of their terms as words."""
+    rungs = ladder(query) if relax else [query] if not query.is_empty() else []
+    terms = {t.lower(): _words(t) for q in rungs for f in (*FACETS, "not_terms") for t in q.facet(f)}
+    return rungs, {t: w for t, w in terms.items() if w}
+
+
+def nothing(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "id long, score double, rung int")
 
 
 def search(
     docs: DataFrame, query: StructuredQuery, limit: int | None = 10, weights: dict[str, float] = WEIGHTS, k1: float = K1, b: float = B, relax: bool = False
 ) -> DataFrame:
-    """``id, score, rung`` of the best rows, larger scores better, ties to the smaller id.
+    """``id, score, rung`` of the best rows, larger scores better, ties to the smaller id, by a scan of ``docs``.
 
     ``relax``: of the request's rungs the first with a hit counts for all rows. Collection figures cover
-    all of ``docs``; filters apply before the limit. Without a limit all rows come, unordered.
+    all of ``docs``; filters apply before the limit. Without a limit all rows come, unordered. Where the
+    same table is searched again and again, ``search_index`` keeps its postings.
     """
-    rungs = ladder(query) if relax else [query] if not query.is_empty() else []
-    empty = docs.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("rung")).limit(0)
-    terms = {t.lower(): _words(t) for q in rungs for f in (*FACETS, "not_terms") for t in q.facet(f)}
-    terms = {t: w for t, w in terms.items() if w}
+    rungs, terms = request(query, relax)
     columns = indexed(docs, weights)
     if not terms or not columns:
-        return empty
+        return nothing(docs.sparkSession)
     names = {t: f"f{i}" for i, t in enumerate(terms)}
-    carried = [c for c in ("category", "subcategory", "date") if c in docs.columns]
+    carried = [c for c in FILTERED if c in docs.columns]
     split = docs.select("id", *carried, *(_tokens(docs, c).alias(f"w_{c}") for c in columns))
     length = reduce(lambda x, y: x + y, (F.size(f"w_{c}") for c in columns))
     counts = [
         reduce(lambda x, y: x + y, (_frequency(F.col(f"w_{c}"), w) * F.lit(weight) for c, weight in columns.items())).alias(names[t])
         for t, w in terms.items()
     ]
-    table = split.select("id", *carried, length.alias("len"), *counts)
+    return ranked(split.select("id", *carried, length.alias("len"), *counts), query, rungs, names, limit, k1, b)
+
+
+def ranked(
+    table: DataFrame, query: StructuredQuery, rungs: list[StructuredQuery], names: dict[str, str], limit: int | None, k1: float = K1, b: float = B, collection: DataFrame | None = None
+) -> DataFrame:
+    """Scores of rows ``id, len``, filter columns and a weighted frequency a term (``names``).
+
+    ``collection`` is one row ``n, avg`` if ``table`` lacks the rows without any term.
+    """
 
     def has(term: str) -> Column:
         return F.col(names[term.lower()]) > 0 if term.lower() in names else F.lit(False)
@@ -123,13 +134,13 @@ def search(
         level = F.when(matches(q), F.lit(i)).otherwise(level)
     rows = table.withColumn("level", level)
     inside = reduce(lambda x, y: x & y, [_in_filters(query), F.col("level").isNotNull()])
+    whole = [F.count(F.lit(1)).alias("s_n"), F.avg("len").alias("s_avg")] if collection is None else []
     stats = rows.agg(
-        F.count(F.lit(1)).alias("s_n"),
-        F.avg("len").alias("s_avg"),
-        F.min(F.when(inside, F.col("level"))).alias("s_rung"),
-        *(F.count_if(F.col(c) > 0).alias(f"s_{c}") for c in names.values()),
+        *whole, F.min(F.when(inside, F.col("level"))).alias("s_rung"), *(F.count_if(F.col(c) > 0).alias(f"s_{c}") for c in names.values())
     )
-    joined = _filtered(rows.where("level is not null"), query).crossJoin(F.broadcast(stats))  # one row
+    if collection is not None:
+        stats = stats.crossJoin(collection.select(F.col("n").alias("s_n"), F.col("avg").alias("s_avg")))  # one row each
+    joined = rows.where(F.col("level").isNotNull() & _in_filters(query)).crossJoin(F.broadcast(stats))  # one row
     # a row that meets a stricter rung meets the looser ones; only exclusions can set it apart
     of = {"n": F.col("s_n"), "avg": F.col("s_avg")} | {c: F.col(f"s_{c}") for c in names.values()}
     score = F.lit(None).cast("double")
@@ -140,7 +151,10 @@ def search(
 
 
 def _in_filters(query: StructuredQuery) -> Column:
+    """Exact category, subcategory and file type, inclusive dates; a bound leaves rows without a date out."""
     ok = F.lit(True)
+    if query.file_type:
+        ok = ok & (F.upper(F.coalesce("file_type", F.lit(""))) == query.file_type.upper())
     if query.category:
         ok = ok & (F.lower("category") == query.category.lower())
     if query.subcategory:
@@ -186,26 +200,64 @@ def over_fetch(limit: int) -> int:
     return max(3 * limit, 30)
 
 
-def retrieve(docs: DataFrame, message: str, model=None, known_tags: tuple[str, ...] = ()) -> DataFrame:
-    """Message to ranked rows: plan, ladder, limit named in the message; one row a pay period; else the word score."""
+def retrieve(docs: DataFrame, message: str, model=None, known_tags: tuple[str, ...] = (), find: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """Message to ranked rows: plan, ladder, limit named in the message; one row a pay period; else the word score.
+
+    ``find(query, limit, relax=True)`` searches; by default a scan of ``docs``.
+    """
     query = plan_with(message, model, known_tags)
     limit = limit_of(message, query)
     if query.is_empty():
         return token_score(docs, message, limit)
-    hits = search(docs, query, over_fetch(limit), relax=True)
+    find = find or (lambda q, n, relax: search(docs, q, n, relax=relax))
+    hits = find(query, over_fetch(limit), relax=True)
     found = dedupe_by_period(docs.join(F.broadcast(hits), "id"))  # at most over_fetch(limit) rows
     best = found.orderBy(F.col("score").desc(), "id").limit(limit).select("id", "score")
     return best if best.take(1) else token_score(docs, message, limit)
 
 
-def prompt_context(docs: DataFrame, hits: DataFrame, chars: int = 800) -> DataFrame:
-    """The hits as one text for a prompt, best first."""
-    rows = docs.join(F.broadcast(hits), "id").select(
+def search_documents(
+    docs: DataFrame, text: str = "", category: str = "", subcategory: str = "", file_type: str = "", limit: int = 20, find: Callable[..., DataFrame] | None = None
+) -> DataFrame:
+    """The search tool: ranked by all words of ``text``, or newest first without one; filters hold before the limit."""
+    words = tuple(_words(text))
+    query = StructuredQuery(keywords=words, category=category or None, subcategory=subcategory or None, file_type=file_type or None)
+    if not words:
+        return docs.where(_in_filters(query)).select("id", "date", F.lit(0.0).alias("score")).orderBy(F.col("date").desc_nulls_last(), "id").limit(limit).select("id", "score")
+    find = find or (lambda q, n: search(docs, q, n))
+    return find(query, limit).select("id", "score")
+
+
+def prepare_dossier(docs: DataFrame, dossier: str, limit: int = 15, model=None, find: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """Documents for a dossier, best first, by the engine that answers messages: ``id, title, category, subcategory, date, score``."""
+    hits = retrieve(docs, dossier, model, find=find).orderBy(F.col("score").desc(), "id").limit(limit)
+    columns = [c for c in ("title", "category", "subcategory", "date") if c in docs.columns]
+    return docs.select("id", *columns).join(F.broadcast(hits), "id")  # at most limit rows
+
+
+def prompt_context(docs: DataFrame, hits: DataFrame, chars: int = 800, most: int = 50) -> DataFrame:
+    """The best hits (at most ``most``, the bound of a request's limit) as one text for a prompt, best first."""
+    best = hits.orderBy(F.col("score").desc(), "id").limit(most)
+    rows = docs.join(F.broadcast(best), "id").select(
         F.struct((-F.col("score")).alias("o"), F.concat_ws("\n", F.concat(F.lit("#"), F.col("id").cast("string"), F.lit(" "), F.col("title")), F.substring("raw_text", 1, chars)).alias("t")).alias("x")
     )
     return rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "\n\n").alias("context"))
 
 
+def cited(hits: DataFrame, answer: Column, least: int) -> DataFrame:
+    """Hits that an answer names (``#id``); if it names fewer than ``least``, the best others make up the number."""
+    named = F.array_contains(F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(r"#(\d+)"), F.lit(1)), F.col("id").cast("string"))
+    marked = hits.withColumn("cited", named)
+    order = F.row_number().over(Window.orderBy(F.col("cited").desc(), F.col("score").desc(), "id"))  # hits of one request
+    return marked.withColumn("place", order).where(F.col("cited") | (F.col("place") <= least))
+
+
+def with_embedding(docs: DataFrame, embed: Callable[[Column], Column], chars: int = 1000) -> DataFrame:
+    """``embedding`` of the first characters by ``embed``, a column function; what it can't embed gets an empty one."""
+    found = embed(F.substring(F.coalesce("raw_text", F.lit("")), 1, chars)).cast("array<float>")
+    return docs.withColumn("embedding", F.coalesce(found, F.array().cast("array<float>")))
+
+
 def evaluate(retrieved: DataFrame, expected: DataFrame) -> DataFrame:
     """``query, precision, recall, reciprocal_rank`` from ``retrieved(query, id, rank)`` and ``expected(query, id)``."""
     wanted = expected.groupBy("query").agg(F.count(F.lit(1)).alias("wanted"))

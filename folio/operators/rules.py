@@ -1,11 +1,13 @@
 """Classification by ordered rules and an entity dictionary.
 
 Rules and entities are data with an order; the first match counts. Both are matched inside a row, as
-one expression: no join, no shuffle, and a literal test stands before each pattern.
+one expression: no join, no shuffle, and a literal test stands before each pattern. Dictionaries and
+taxonomies are literals of a plan, parsed once, whatever their size.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 from functools import reduce
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.dates import extract_date
 from folio.functions.paths import title_of
-from folio.functions.text import AFTER, BEFORE, edit_similarity, is_forbidden, is_grounded, normalize_slug, strip_date_tail, title_case, trimmed
+from folio.functions.text import AFTER, BEFORE, edit_similarity, is_forbidden, is_grounded, normalize_slug, strip_date_tail, title_case, tokens, trimmed
 
 DOMAIN_CATEGORIES = {
     "banks": "bank", "energy": "invoices", "telecom": "invoices", "insurance": "insurance", "gov": "administrative", "health": "health",
@@ -25,7 +27,11 @@ READ_CHARS = 4000
 
 @dataclass(frozen=True)
 class Rule:
-    """Any keyword in the scope gives the category; ``subcategory`` None is left to the entities of ``domains``."""
+    """Any keyword in the scope gives the category; ``subcategory`` None is left to the entities of ``domains``.
+
+    ``also``: keywords that count only beside one of these. An ``anchor`` beats ``overlay`` rules, which
+    stand before it, when their category is another one.
+    """
 
     priority: int
     keywords: tuple[str, ...]
@@ -35,41 +41,95 @@ class Rule:
     domains: tuple[str, ...] = ()
     anchor: bool = False
     blocked_by_statement: bool = False
+    also: tuple[str, ...] = ()
+    overlay: bool = False
 
 
 # Signals of each step of the default catalogue, in its order.
 STATEMENT = ("relevé de compte", "releve de compte", "solde créditeur", "solde crediteur", "bank statement")
+BANK = (
+    "synthèse d'épargne", "relevé de chèques", "relevé de carte", "account statement", "checking account", "savings account",
+    "statement of account", "credit card statement", "opening balance", "closing balance", "solde debiteur",
+)
+TAX = (
+    "avis d'impôt", "avis d'impot", "avis d'imposition", "prélèvements sociaux", "prélèvement sociaux", "finances publiques", "dgfip", "impots",
+    "impôt", "tax return", "tax assessment", "w-2", "form 1040", "tax notice", "hmrc", "inland revenue",
+)
+PAY = (
+    "bulletin de salaire", "bulletindesalaire", "bulletin de paie", "fiche de paie", "salaire brut", "net à payer", "payslip", "pay slip",
+    "paystub", "pay stub", "salary statement", "wage statement", "gross pay", "net pay",
+)
 DEFAULT_RULES = (
-    Rule(10, STATEMENT, "bank", None, domains=("banks",), anchor=True),
-    Rule(15, ("amende", "antai", "avis de contravention", "traffic fine"), "administrative", "amende"),
-    Rule(20, ("kbis",), "administrative", "kbis"),
-    Rule(21, ("avis d'impôt", "avis d'impot", "dgfip", "impots", "impôt", "prélèvement sociaux"), "administrative", "impot", anchor=True, blocked_by_statement=True),
-    Rule(30, ("bulletin de salaire", "bulletindesalaire", "bulletin de paie", "fiche de paie", "payslip"), "bulletin_salaire", None, anchor=True),
-    Rule(40, ("conditions générales",), "contracts", "conditions_generales"),
-    Rule(41, ("contrat de travail", "cdi", "cdd", "avenant au contrat"), "contracts", "cdi_cdd"),
-    Rule(42, ("mandat sepa",), "contracts", "mandat_sepa"),
+    Rule(10, (*STATEMENT, *BANK), "bank", None, domains=("banks",), anchor=True),
+    Rule(15, ("justificatif de règlement d'amende", "amende", "amendes", "amendes.gouv.fr", "antai", "avis de contravention", "procès-verbal", "pv d'amende", "traffic fine", "parking ticket", "penalty charge notice"), "administrative", "amende"),
+    Rule(20, ("kbis", "extrait kbis"), "administrative", "kbis"),
+    Rule(21, TAX, "administrative", "impot", anchor=True, blocked_by_statement=True),
+    Rule(22, ("taxe foncière", "taxe d'habitation", "property tax"), "administrative", "impot", anchor=True, blocked_by_statement=True, also=TAX),
+    Rule(23, ("dossier administratif",), "administrative", "dossier_administratif"),
+    Rule(30, PAY, "bulletin_salaire", None, anchor=True),
+    Rule(40, ("conditions générales", "terms and conditions"), "contracts", "conditions_generales"),
+    Rule(41, ("contrat de travail", "cdi", "cdd", "avenant au contrat", "rupture conventionnelle", "employment contract", "employment agreement"), "contracts", "cdi_cdd"),
+    Rule(42, ("mandat de prélèvement sepa", "mandat sepa", "sepa mandate"), "contracts", "mandat_sepa"),
     Rule(43, ("nda", "non-disclosure agreement"), "contracts", "nda"),
-    Rule(44, ("bail d'habitation",), "contracts", "bail_habitation"),
+    Rule(44, ("bail d'habitation", "lease agreement", "tenancy agreement"), "contracts", "bail_habitation"),
+    Rule(45, ("acte de cession", "cession de véhicule"), "contracts", "acte_cession"),
+    Rule(46, ("acte de société", "dépôt d'entreprise"), "contracts", "statuts_societe"),
+    Rule(47, ("notice employeur", "convention collective", "service agreement"), "contracts", None),
     Rule(50, ("passeport", "passport"), "identity", "passeport"),
-    Rule(51, ("titre de séjour", "titresejour"), "identity", "titre_sejour"),
-    Rule(52, ("carte d'identité", "cni"), "identity", "carte_identite"),
-    Rule(53, ("permis de conduire",), "identity", "permis_conduire"),
-    Rule(60, ("arrêt de travail",), "health", "arret_travail"),
+    Rule(51, ("titre de séjour", "titresejour", "residence permit", "visa"), "identity", "titre_sejour"),
+    Rule(52, ("carte d'identité", "cni", "pièce d'identité", "identity card", "id card"), "identity", "carte_identite"),
+    Rule(53, ("permis de conduire", "driver's license"), "identity", "permis_conduire"),
+    Rule(54, ("récépissé de demande",), "identity", "recipisse_sejour"),
+    Rule(55, ("carte vitale",), "identity", "carte_vitale"),
+    Rule(56, ("carte grise", "certificat d'immatriculation", "accusé d'enregistrement de cession"), "identity", "carte_grise"),
+    Rule(57, ("acte de mariage", "marriage certificate"), "identity", "acte_mariage"),
+    Rule(58, ("acte de naissance", "birth certificate"), "identity", "acte_naissance"),
+    Rule(60, ("arrêt de travail", "avis d'arrêt de travail", "sick leave", "doctor's note"), "health", "arret_travail"),
     Rule(61, ("ameli", "cpam", "assurance maladie"), "health", "ameli"),
-    Rule(62, ("mutuelle", "ordonnance", "pharmacie", "hospitalisation"), "health", None, domains=("health",)),
-    Rule(70, ("justificatif de domicile", "attestation d'hébergement"), "housing", "justificatif_domicile"),
-    Rule(71, ("quittance de loyer",), "housing", "justificatif_domicile"),
-    Rule(72, ("navigo",), "administrative", "navigo"),
-    Rule(80, ("déclaration de vol",), "insurance", "declaration_vol"),
-    Rule(81, ("assurance auto", "assurance habitation", "responsabilité civile"), "insurance", None, domains=("insurance",)),
-    Rule(90, ("facture n°", "facture no", "facture", "invoice", "total ttc", "amount due"), "invoices", None, domains=("telecom", "energy")),
-    Rule(100, ("relevé de notes",), "education", "releve_notes"),
-    Rule(101, ("diplôme", "diplome", "certificat de scolarité"), "education", "diplomes"),
-    Rule(110, ("lettre de motivation", "candidature", "curriculum vitae"), "recruitment", "lettres_motivation"),
+    Rule(62, ("mutuelle", "ordonnance", "soins dentaires", "pharmacie", "hospitalisation", "health insurance", "medical bill", "medical claim", "medical statement"), "health", None, domains=("health",)),
+    Rule(70, ("justificatif de domicile", "attestation d'hébergement", "proof of address"), "housing", "justificatif_domicile"),
+    Rule(71, ("quittance de loyer", "rent receipt"), "housing", "justificatif_domicile"),
+    Rule(72, ("calendrier bus", "navigo", "abonnement transport"), "administrative", "navigo"),
+    Rule(73, ("logement", "régularisation de charges", "utility bill"), "housing", None),
+    Rule(80, ("déclaration de vol", "découverte de vol", "dépôt de plainte"), "insurance", "declaration_vol"),
+    Rule(81, ("assurance auto", "assurance habitation", "prévoyance", "responsabilité civile", "car insurance", "auto insurance", "home insurance", "renters insurance", "liability insurance", "policy schedule", "insurance certificate"), "insurance", None, domains=("insurance",), blocked_by_statement=True),
+    Rule(90, ("facture n°", "facture no", "facture", "invoice", "montant à payer", "total ttc", "bill", "receipt", "tax invoice", "amount due", "balance due", "total due", "payment receipt"), "invoices", None, domains=("telecom", "energy")),
+    Rule(100, ("relevé de notes", "relevés de notes semestriels", "bulletin de notes", "academic transcript", "grade report"), "education", "releve_notes"),
+    Rule(101, ("alternance",), "education", "alternance"),
+    Rule(102, ("diplôme", "diplome", "bachelor", "diploma", "degree certificate"), "education", "diplomes"),
+    Rule(103, ("attestation de stage", "certificat de scolarité", "attestation de formation", "certificate of enrollment", "tuition fee"), "education", None),
+    Rule(110, ("lettre de motivation", "cv", "curriculum vitae", "candidature", "postuler", "cover letter", "job application", "resume"), "recruitment", "lettres_motivation"),
     Rule(120, ("courrier", "recommandé"), "correspondence", None),
     Rule(130, ("manuel", "documentation technique"), "technical", None),
     Rule(131, ("compte-rendu", "livrable"), "reports", None),
-)
+)
+
+
+def read_catalogue(text: str) -> tuple[Rule, ...]:
+    """Rules from a catalogue in prose: ``STEP 3B: ...``, a line of quoted signals, and a line ``Category = 'x', Subcategory = 'y'``.
+
+    A step without signals or category gives no rule; a subcategory counts if the step names just one.
+    """
+    out, step, signals = [], None, ()
+    for line in text.splitlines():
+        if m := re.match(r"\s*STEP (\d+)([A-Z]?)", line):
+            step, signals = 10 * int(m[1]) + (ord(m[2]) - ord("A") + 4 if m[2] else 0), ()
+        elif step is not None and "Search" in line:
+            signals = tuple(dict.fromkeys(x.lower() for x in re.findall(r'"([^"]+)"', line)))
+        elif step is not None and signals and (m := re.search(r"Category = '([^']+)'", line)):
+            subs = re.findall(r"'([^']+)'", line[m.end() :])
+            out.append(Rule(step, signals, m[1], subs[0] if len(subs) == 1 else None, anchor=m[1] in ("bank", "bulletin_salaire")))
+            step = None
+    return tuple(out)
+
+
+def overlay_rules(rows: list[dict]) -> tuple[Rule, ...]:
+    """Personal rules (``keywords, category, subcategory, scope``), which stand before the catalogue in their order."""
+    return tuple(
+        Rule(i - len(rows), tuple(k.lower() for k in r["keywords"]), r["category"], r.get("subcategory"), r.get("scope") or "both", overlay=True)
+        for i, r in enumerate(rows)
+    )
+
 
 #: rules on words of openly licensed texts
 LICENSE_RULES = (
@@ -100,18 +160,28 @@ def rule_match(rule: Rule, text: Column, filename: Column) -> Column:
     place = {"filename": F.lower(filename), "text": F.lower(F.substring(F.coalesce(text, F.lit("")), 1, READ_CHARS))}.get(
         rule.scope, combined(text, filename)
     )
-    hit = reduce(lambda a, b: a | b, (_found(place, k.lower(), edge_pattern(k.lower())) for k in rule.keywords))
+    any_of = lambda words: reduce(lambda a, b: a | b, (_found(place, k.lower(), edge_pattern(k.lower())) for k in words))
+    hit = any_of(rule.keywords)
+    if rule.also:
+        hit = hit & any_of(rule.also)
     if rule.blocked_by_statement:
         hit = hit & ~reduce(lambda a, b: a | b, (place.contains(s) for s in STATEMENT))
     return hit
 
 
 def first_rule(text: Column, filename: Column, rules: tuple[Rule, ...]) -> Column:
-    """``struct(priority, category, subcategory)`` of the first rule that matches; null without one."""
-    out = F.when(F.lit(False), F.lit(None))
+    """``struct(priority, category, subcategory)`` of the first rule that matches; null without one.
+
+    An overlay rule gives way where an anchor of another category matches.
+    """
+    kind = "struct<priority:int,category:string,subcategory:string>"
     pick = lambda r: F.struct(F.lit(r.priority).alias("priority"), F.lit(r.category).alias("category"), F.lit(r.subcategory).cast("string").alias("subcategory"))
-    for i, r in enumerate(sorted(rules, key=lambda r: r.priority)):
-        out = F.when(rule_match(r, text, filename), pick(r)) if i == 0 else out.when(rule_match(r, text, filename), pick(r))
+    out = F.when(F.lit(False), F.lit(None).cast(kind))
+    for r in sorted(rules, key=lambda r: r.priority):
+        hit = rule_match(r, text, filename)
+        if r.overlay and (others := [a for a in rules if a.anchor and a.category != r.category]):
+            hit = hit & ~reduce(lambda a, b: a | b, (rule_match(a, text, filename) for a in others))
+        out = out.when(hit, pick(r))
     return out
 
 
@@ -127,20 +197,38 @@ def entity_rows(dictionary: dict[str, list[dict]]) -> list[tuple[int, str, str,
     return rows
 
 
-def first_entity(text: Column, dictionary: dict[str, list[dict]], domains: tuple[str, ...] | None = None) -> Column:
-    """``struct(ordinal, category, slug)`` of the first entity in a lowered text, letters and digits not touching; null without one.
+def entity_hits(text: Column, dictionary: dict[str, list[dict]]) -> Column:
+    """``array<struct(ordinal, domain, category, slug)>`` of the entities in a lowered text, letters and digits not touching.
 
-    Spelling is literal: accents are not folded. The list is one literal array; a surface's pattern runs
-    only where the text contains the surface.
+    Spelling is literal: accents are not folded. The text falls into words once; a surface can only be
+    there if its first word is one of them, so few surfaces are looked for. The dictionary is a literal.
     """
-    rows = [r for r in entity_rows(dictionary) if domains is None or r[1] in domains]
+    rows = entity_rows(dictionary)
+    kind = "array<struct<ordinal:int,domain:string,category:string,slug:string>>"
     if not rows:
-        return F.lit(None).cast("struct<ordinal:int,category:string,slug:string>")
-    entry = lambda r: F.struct(
-        F.lit(r[0]).alias("ordinal"), F.lit(r[2]).alias("category"), F.lit(r[3]).alias("slug"), F.lit(r[4]).alias("surface"), F.lit(f"{BEFORE}{re.escape(r[4])}{AFTER}").alias("pattern")
-    )
-    hits = F.filter(F.array(*map(entry, rows)), lambda e: text.contains(e["surface"]) & F.regexp_like(text, e["pattern"]))
-    return F.get(F.transform(hits, lambda e: F.struct(e["ordinal"], e["category"], e["slug"])), F.lit(0))
+        return F.array().cast(kind)
+    names = ("ordinal", "domain", "category", "slug", "surface", "pattern")
+    by_word: dict[str, list[dict]] = {}
+    for r in rows:
+        first = re.search(r"[^\W_]+", r[4])
+        by_word.setdefault(first[0] if first else "", []).append(dict(zip(names, (*r, f"{BEFORE}{re.escape(r[4])}{AFTER}"), strict=True)))
+    fields = "ordinal:int,domain:string,category:string,slug:string,surface:string,pattern:string"
+    index = F.from_json(F.lit(json.dumps(by_word)), f"map<string,array<struct<{fields}>>>")
+    words = F.from_json(F.lit(json.dumps(sorted(by_word))), "array<string>")
+    met = F.array_intersect(F.concat(tokens(text), F.array(F.lit(""))), words)
+    near = F.flatten(F.transform(met, lambda w: F.element_at(index, w)))
+    hits = F.filter(near, lambda e: text.contains(e["surface"]) & F.regexp_like(text, e["pattern"]))
+    return F.transform(hits, lambda e: F.struct(e["ordinal"], e["domain"], e["category"], e["slug"]))
+
+
+def first_of_hits(hits: Column, domains: tuple[str, ...] | None = None) -> Column:
+    """``struct(ordinal, domain, category, slug)`` of the first hit in the dictionary's order, of some domains or of all; null without one."""
+    return F.array_min(hits if domains is None else F.filter(hits, lambda e: e["domain"].isin(*domains)))
+
+
+def first_entity(text: Column, dictionary: dict[str, list[dict]], domains: tuple[str, ...] | None = None) -> Column:
+    """``struct(ordinal, domain, category, slug)`` of the first entity in a lowered text; null without one."""
+    return first_of_hits(entity_hits(text, {d: e for d, e in dictionary.items() if domains is None or d in domains}))
 
 
 def classify(docs: DataFrame, today: Column, rules: tuple[Rule, ...] = DEFAULT_RULES, dictionary: dict[str, list[dict]] | None = None, denied: list[str] = ()) -> DataFrame:
@@ -153,12 +241,14 @@ def classify(docs: DataFrame, today: Column, rules: tuple[Rule, ...] = DEFAULT_R
     text, name = F.col("raw_text"), F.col("filename")
     both = combined(text, name)
     docs = docs.withColumn("__rule", first_rule(text, name, rules)).withColumn("__all", both)
-    of_rule = F.when(F.lit(False), F.lit(None).cast("struct<ordinal:int,category:string,slug:string>"))
+    docs = docs.withColumn("__hits", entity_hits(F.col("__all"), dictionary))
+    hits = F.col("__hits")
+    of_rule = F.when(F.lit(False), first_of_hits(hits))
     for r in rules:
         if r.domains and dictionary:
-            of_rule = of_rule.when(F.col("__rule.priority") == r.priority, first_entity(F.col("__all"), dictionary, r.domains))
+            of_rule = of_rule.when(F.col("__rule.priority") == r.priority, first_of_hits(hits, r.domains))
     statement = reduce(lambda a, b: a | b, (F.col("__all").contains(s) for s in STATEMENT))
-    anywhere = F.when(~statement, first_entity(F.col("__all"), dictionary)).otherwise(first_entity(F.col("__all"), dictionary, ("banks",)))
+    anywhere = F.when(~statement, first_of_hits(hits)).otherwise(first_of_hits(hits, ("banks",)))
     docs = docs.withColumn("__own", of_rule).withColumn("__any", anywhere)
     word = F.get(F.filter(F.split(F.regexp_replace(F.lower(F.regexp_replace(name, r"(?i)\.pdf$", "")), r"[-_\s]+", "_"), "_"), lambda w: (F.length(w) > 2) & ~w.rlike(r"^\d+$")), F.lit(0))
     slug = normalize_slug(word)
@@ -168,7 +258,7 @@ def classify(docs: DataFrame, today: Column, rules: tuple[Rule, ...] = DEFAULT_R
     category = F.when(rule_sub.isNull() & F.col("__rule").isNull() & F.col("__any").isNotNull(), F.col("__any.category"))
     docs = docs.withColumn("rule_category", F.coalesce(category, F.col("__rule.category"), F.lit("administrative")))
     return (
-        docs.withColumn("rule_title", title_of(name)).withColumn("rule_date", extract_date(F.col("__all"), today)).drop("__rule", "__all", "__own", "__any")
+        docs.withColumn("rule_title", title_of(name)).withColumn("rule_date", extract_date(F.col("__all"), today)).drop("__rule", "__all", "__hits", "__own", "__any")
     )
 
 
@@ -182,13 +272,21 @@ def refine(category: Column, subcategory: Column, filename: Column, rule_categor
     return F.struct(F.when(take_cat, rule_category).otherwise(category).alias("category"), F.when(take_sub, rule_subcategory).otherwise(subcategory).alias("subcategory"))
 
 
+def _listed(rows: list[dict], fields: str) -> Column:
+    """Rows as one literal array of structs; its size doesn't matter to code generation."""
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")
+
+
+def _named(slug: Column, entry: Column) -> Column:
+    """The slug is an entry's id or contains one of its aliases."""
+    return (slug == entry["id"]) | F.exists(entry["aliases"], lambda a: slug.contains(a))
+
+
 def resolve_category(raw: Column, taxonomy: list[dict]) -> Column:
-    """``struct(id, is_new)``: the first category whose id the slug is or one of whose aliases it contains; else a new one."""
+    """``struct(id, is_new, new_name)``: the first category whose id the slug is or one of whose aliases it contains; else a new one."""
     slug = normalize_slug(F.when(F.coalesce(raw, F.lit("")) == "", "administrative").otherwise(raw))
-    found = F.lit(None).cast("string")
-    for c in reversed(taxonomy):
-        hit = reduce(lambda a, b: a | b, (slug.contains(a) for a in c.get("aliases") or []), slug == c["id"])
-        found = F.when(hit, c["id"]).otherwise(found)
+    entries = _listed([{"id": c["id"], "aliases": c.get("aliases") or []} for c in taxonomy], "id:string,aliases:array<string>")
+    found = F.get(F.filter(entries, lambda c: _named(slug, c)), F.lit(0))["id"]
     return F.struct(F.coalesce(found, slug).alias("id"), found.isNull().alias("is_new"), F.when(found.isNull(), title_case(slug)).alias("new_name"))
 
 
@@ -196,11 +294,9 @@ def resolve_subcategory(category: Column, raw: Column, taxonomy: list[dict], tex
     """``struct(id, is_new)`` within a category: known, else new if the text bears the slug out, else ``general``."""
     slug = strip_date_tail(normalize_slug(F.coalesce(raw, F.lit(""))))
     vague = slug.isin("general", "other", "divers")
-    found = F.lit(None).cast("string")
-    for c in reversed(taxonomy):
-        for s in reversed(c.get("subcategories") or []):
-            hit = reduce(lambda a, b: a | b, (slug.contains(a) for a in s.get("aliases") or []), slug == s["id"])
-            found = F.when((category == c["id"]) & hit, s["id"]).otherwise(found)
+    rows = [{"category": c["id"], "id": s["id"], "aliases": s.get("aliases") or []} for c in taxonomy for s in c.get("subcategories") or []]
+    entries = _listed(rows, "category:string,id:string,aliases:array<string>")
+    found = F.get(F.filter(entries, lambda s: (s["category"] == category) & _named(slug, s)), F.lit(0))["id"]
     known = F.when(~vague, found)
     grounded = is_grounded(slug, text, filename, list(denied))
     return F.struct(
@@ -217,11 +313,11 @@ def confidence_action(agrees: Column, score: Column, prioritised: Column, floor:
 
 def spelling_match(slug: Column, known: list[str], least: float = 0.82, shortest: int = 4) -> Column:
     """The first known slug that differs little."""
-    out = F.lit(None).cast("string")
-    for k in reversed(known):
-        if len(k) >= shortest:
-            out = F.when((F.length(slug) >= shortest) & (slug != k) & (edit_similarity(slug, F.lit(k)) >= least), k).otherwise(out)
-    return out
+    names = F.from_json(F.lit(json.dumps([k for k in known if len(k) >= shortest])), "array<string>")
+    size = F.length(slug)
+    fits = lambda k: F.least(size, F.length(k)) >= least * F.greatest(size, F.length(k)) - 1e-9
+    near = F.filter(names, lambda k: fits(k) & (slug != k) & (edit_similarity(slug, k) >= least))
+    return F.when(size >= shortest, F.get(near, F.lit(0)))
 
 
 def placement_guard(category: Column, slug: Column, taxonomy: list[dict], categories: list[str]) -> Column:
@@ -231,12 +327,13 @@ def placement_guard(category: Column, slug: Column, taxonomy: list[dict], catego
     for c in taxonomy:
         for s in c.get("subcategories") or []:
             for name in (s["id"], *(s.get("aliases") or [])):
-                owners.setdefault(name, []).append(c["id"])
-    single = [(n, o[0]) for n, o in owners.items() if len(set(o)) == 1]
-    target = F.lit(None).cast("string")
-    for name, own in single:
-        target = F.when(slug == name, own).otherwise(target)
-    mine = reduce(lambda a, b: a | b, ((slug == n) & category.isin(o) for n, o in owners.items()), F.lit(False))
+                mine = owners.setdefault(name, [])
+                if c["id"] not in mine:
+                    mine.append(c["id"])
+    entries = _listed([{"name": n, "owners": o} for n, o in owners.items()], "name:string,owners:array<string>")
+    known = F.get(F.filter(entries, lambda e: e["name"] == slug), F.lit(0))["owners"]
+    mine = F.coalesce(F.array_contains(known, category), F.lit(False))
+    target = F.when(F.size(known) == 1, F.get(known, F.lit(0)))
     variant = spelling_match(slug, sorted(owners))
     return F.struct(
         F.when(~mine & target.isNotNull(), target).otherwise(category).alias("category"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import dates, geometry, markdown, paths, text
 from folio.operators import registry_ops as ops
-from folio.operators import retrieval, rules
+from folio.operators import retrieval, rules, search_index
 from folio.plans.query import StructuredQuery
 from folio.registry import REGISTRY_SQL, TODAY, load, registry
 from folio.session import scratch_path
@@ -121,9 +121,11 @@ def dedupe_new(spark, d):
     return ops.split_known(docs.where("id % 3 = 0"), docs.where("id % 3 <> 0"))[0].select("id", "checksum")
 
 
-@query("WITH {reg} SELECT id, CASE WHEN f <> id THEN f END AS copy_of FROM (SELECT id, first_value(id) OVER (PARTITION BY checksum ORDER BY path, id) AS f FROM reg)")
+@query("WITH {reg} SELECT id, CASE WHEN f <> id THEN f END AS copy_of FROM (SELECT id, CASE WHEN checksum IS NOT NULL THEN first_value(id) OVER (PARTITION BY checksum ORDER BY path, id) END AS f FROM (SELECT id, path, CASE WHEN id % 10 <> 0 THEN checksum END AS checksum FROM reg))")
 def dedupe_batch(spark, d):
-    return ops.first_of_batch(load(spark, d)).select("id", "copy_of")
+    """Every tenth row has no content; it copies nothing and stays."""
+    docs = load(spark, d).withColumn("checksum", F.when(F.col("id") % 10 != 0, F.col("checksum")))
+    return ops.first_of_batch(docs).select("id", "copy_of")
 
 
 @query("""SELECT id, CASE WHEN n = 1 THEN name ELSE replace(name, '.pdf', '') || '_dup' || CAST(n - 1 AS VARCHAR) || '.pdf' END AS target FROM (
@@ -133,9 +135,12 @@ def name_collisions(spark, d):
     return ops.collision_names(docs).select("id", "target")
 
 
-@query("WITH {reg}, t AS (SELECT * FROM reg WHERE id % 2 = 0), f AS (SELECT *, row_number() OVER (PARTITION BY checksum ORDER BY id) AS rn FROM reg WHERE id % 2 = 1 AND checksum NOT IN (SELECT checksum FROM t)) SELECT id, checksum FROM t UNION ALL SELECT id, checksum FROM f WHERE rn = 1")
+@query("""WITH {reg}, n AS (SELECT id, CASE WHEN id % 10 < 8 THEN checksum END AS checksum FROM reg), t AS (SELECT * FROM n WHERE id % 2 = 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY checksum ORDER BY id) AS rn FROM n WHERE id % 2 = 1 AND (checksum IS NULL OR checksum NOT IN (SELECT checksum FROM t WHERE checksum IS NOT NULL)))
+SELECT id, checksum FROM t UNION ALL SELECT id, checksum FROM f WHERE rn = 1 OR checksum IS NULL""")
 def insert_unique(spark, d):
-    docs = load(spark, d)
+    """A fifth of the rows has no checksum; they are all new."""
+    docs = load(spark, d).withColumn("checksum", F.when(F.col("id") % 10 < 8, F.col("checksum")))
     return ops.insert(docs.where("id % 2 = 0"), docs.where("id % 2 = 1")).select("id", "checksum")
 
 
@@ -188,10 +193,10 @@ def rename_subcategory(spark, d):
     return ops.rename_subcategory(load(spark, d), mapping).select("id", "subcategory")
 
 
-@query("SELECT key, array_to_string(list_sort(list(DISTINCT slug)), ',') AS slugs FROM (SELECT replace(lower(p_type), ' ', CASE p_partkey % 3 WHEN 0 THEN '_' WHEN 1 THEN '-' ELSE '' END) AS slug, regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') AS key FROM part) GROUP BY key HAVING count(DISTINCT slug) > 1")
+@query("SELECT key, array_to_string(list_sort(list(DISTINCT slug)), ',') AS slugs FROM (SELECT replace(lower(p_name), ' ', CASE p_partkey % 3 WHEN 0 THEN '_' WHEN 1 THEN '-' ELSE '' END) AS slug, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS key FROM part) GROUP BY key HAVING count(DISTINCT slug) > 1")
 def squeezed_collisions(spark, d):
     joiner = F.when(F.col("p_partkey") % 3 == 0, "_").when(F.col("p_partkey") % 3 == 1, "-").otherwise("")
-    slugs = table(spark, d, "part").select(F.replace(F.lower("p_type"), F.lit(" "), joiner).alias("slug"), F.lit("part").alias("category"))
+    slugs = table(spark, d, "part").select(F.replace(F.lower("p_name"), F.lit(" "), joiner).alias("slug"), F.lit("part").alias("category"))
     return ops.squeezed_collisions(slugs).withColumn("slugs", F.array_join("slugs", ","))
 
 
@@ -240,6 +245,21 @@ def grounded_slug(spark, d):
 
 # -- retrieval ------------------------------------------------------------------------------------
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> str:
+    """Path of the documents' search index, one per application and folder; built when it is missing or has drifted."""
+    key = spark.sparkContext.applicationId, sf_dir
+    path = _indexes.setdefault(key, scratch_path(spark, "index"))
+    search_index.ensure(load(spark, sf_dir), path)
+    return path
+
+
+#: the texts alone
+_TEXT = {"raw_text": 0.5}
+
+
 @query("""WITH {reg}, tok AS (SELECT id, regexp_extract_all(lower(raw_text), '[\\p{L}\\p{N}]+') AS r FROM reg),
 f AS (SELECT id, len(r) AS len, 0.5 * len(list_filter(r, lambda w: w = 'license')) AS f1, 0.5 * len(list_filter(r, lambda w: w = 'apache')) AS f2, 0.5 * len(list_filter(r, lambda w: w = 'version')) AS f3 FROM tok),
 s AS (SELECT count(*) AS n, avg(len) AS av, count(*) FILTER (f1 > 0) AS d1, count(*) FILTER (f2 > 0) AS d2, count(*) FILTER (f3 > 0) AS d3 FROM f)
@@ -247,8 +267,7 @@ SELECT id, round(ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * f1 * 2.2 / (f1 + 1.2 * (0
 + ln(1 + (n - d3 + 0.5) / (d3 + 0.5)) * f3 * 2.2 / (f3 + 1.2 * (0.25 + 0.75 * len / av)), 6) AS score
 FROM f, s WHERE f1 > 0 OR f2 > 0 OR f3 > 0 ORDER BY 2 DESC, 1 LIMIT 10""")
 def bm25_topk(spark, d):
-    docs = load(spark, d).select("id", "raw_text")
-    hits = retrieval.search(docs, StructuredQuery(keywords=("license", "Apache", "version")), 10)
+    hits = search_index.search(spark, index(spark, d), StructuredQuery(keywords=("license", "Apache", "version")), 10, _TEXT)
     return hits.select("id", F.round("score", 6).alias("score"))
 
 
@@ -262,28 +281,28 @@ SELECT id, round(ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * f1 * 2.2 / (f1 + 1.2 * (0
 FROM f, s WHERE f1 > 0 OR f2 > 0 OR f3 > 0 ORDER BY 2 DESC, 1 LIMIT 10""")
 def bm25_columns_topk(spark, d):
     """Over all indexed columns of the registry by their weights; ``bm25_topk`` reads the texts alone."""
-    hits = retrieval.search(load(spark, d), StructuredQuery(keywords=("license", "Apache", "src1")), 10)
+    hits = search_index.search(spark, index(spark, d), StructuredQuery(keywords=("license", "Apache", "src1")), 10)
     return hits.select("id", F.round("score", 6).alias("score"))
 
 
 @query("""WITH {reg}, tok AS (SELECT id, regexp_extract_all(lower(raw_text), '[\\p{L}\\p{N}]+') AS r FROM reg)
 SELECT id FROM tok WHERE (list_contains(r, 'license') OR list_contains(r, 'rights')) AND list_contains(r, 'the') ORDER BY id""")
 def fts_facets(spark, d):
-    docs = load(spark, d).select("id", "raw_text")
-    return retrieval.search(docs, StructuredQuery(doc_types=("license", "rights"), keywords=("the",)), None).select("id")
+    q = StructuredQuery(doc_types=("license", "rights"), keywords=("the",))
+    return search_index.search(spark, index(spark, d), q, None, _TEXT).select("id")
 
 
 @query("""WITH {reg}, tok AS (SELECT id, regexp_extract_all(lower(raw_text), '[\\p{L}\\p{N}]+') AS r FROM reg)
 SELECT id FROM tok WHERE list_contains(r, 'license') AND NOT list_contains(r, 'apache') ORDER BY id""")
 def fts_not(spark, d):
-    docs = load(spark, d).select("id", "raw_text")
-    return retrieval.search(docs, StructuredQuery(keywords=("license",), not_terms=("apache",)), None).select("id")
+    q = StructuredQuery(keywords=("license",), not_terms=("apache",))
+    return search_index.search(spark, index(spark, d), q, None, _TEXT).select("id")
 
 
 @query("""WITH {reg} SELECT id FROM reg WHERE regexp_matches(lower(raw_text), '(^|[^\\p{L}\\p{N}])all[^\\p{L}\\p{N}]+rights[^\\p{L}\\p{N}]+reserved($|[^\\p{L}\\p{N}])')""")
 def fts_phrase(spark, d):
-    docs = load(spark, d).select("id", "raw_text")
-    return retrieval.search(docs, StructuredQuery(keywords=("all rights reserved",)), None).select("id")
+    q = StructuredQuery(keywords=("all rights reserved",))
+    return search_index.search(spark, index(spark, d), q, None, _TEXT).select("id")
 
 
 @query("""WITH {reg}, tok AS (SELECT id, regexp_extract_all(lower(raw_text), '[\\p{L}\\p{N}]+') AS r FROM reg),
@@ -291,9 +310,8 @@ l AS (SELECT id, CASE WHEN list_contains(r, 'license') AND list_contains(r, 'apa
 WHEN list_contains(r, 'license') AND list_contains(r, 'apache') AND NOT list_contains(r, 'version') THEN 1 WHEN list_contains(r, 'license') AND list_contains(r, 'apache') THEN 2 WHEN list_contains(r, 'license') THEN 3 END AS rung FROM tok)
 SELECT id, rung FROM l WHERE rung = (SELECT min(rung) FROM l)""")
 def relax_ladder(spark, d):
-    docs = load(spark, d).select("id", "raw_text")
     q = StructuredQuery(doc_types=("license",), entities=("apache",), keywords=("zebrawood",), not_terms=("version",))
-    return retrieval.search(docs, q, None, relax=True).select("id", "rung")
+    return search_index.search(spark, index(spark, d), q, None, _TEXT, relax=True).select("id", "rung")
 
 
 @query("""WITH {reg}, s AS (SELECT id, date, (CASE WHEN contains(x, 'apache') THEN 1 ELSE 0 END) + (CASE WHEN contains(x, 'license') THEN 1 ELSE 0 END) + (CASE WHEN contains(x, 'reserved') THEN 1 ELSE 0 END) AS score
@@ -331,18 +349,19 @@ def eval_metrics(spark, d):
 
 @query("""WITH {reg} SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM (SELECT id, unnest(regexp_extract_all(lower(raw_text), '[\\p{L}\\p{N}]+')) AS term FROM reg) WHERE term IN ('license', 'apache', 'rights', 'the') GROUP BY term""")
 def term_statistics(spark, d):
-    rows = retrieval.postings(load(spark, d).select("id", "raw_text"), weights={"raw_text": 0.5})
-    return rows.where(F.col("term").isin("license", "apache", "rights", "the")).groupBy("term").agg(F.count_distinct("id").alias("df"), F.count(F.lit(1)).alias("cf"))
+    return search_index.term_statistics(spark, index(spark, d), ["license", "apache", "rights", "the"], ("raw_text",))
 
 
 # -- quality --------------------------------------------------------------------------------------
 
 
 @query("""WITH w AS (SELECT doc_id AS id, list_filter(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')), lambda x: length(x) >= 4) AS a,
-list_filter(list_distinct(regexp_extract_all(lower(substr(text, 1, 500)), '[\\p{L}\\p{N}]+')), lambda x: length(x) >= 4) AS b FROM documents)
+list_filter(list_distinct(regexp_extract_all(lower(replace(text, 'th', '')), '[\\p{L}\\p{N}]+')), lambda x: length(x) >= 4) AS b FROM documents)
 SELECT id, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) END, 6) AS recall FROM w""")
 def content_recall(spark, d):
-    return load(spark, d).select("id", F.round(markdown.content_recall(F.col("raw_text"), F.substring("raw_text", 1, 500)), 6).alias("recall"))
+    """Of whole texts, as a converter that loses a pair of letters would leave them."""
+    lossy = F.replace("raw_text", F.lit("th"), F.lit(""))
+    return load(spark, d).select("id", F.round(markdown.content_recall(F.col("raw_text"), lossy), 6).alias("recall"))
 
 
 @query("""WITH c AS (SELECT doc_id AS id, text, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS bare FROM documents),
@@ -370,7 +389,7 @@ def thin_text(spark, d):
 
 
 @query("""WITH RECURSIVE l AS (SELECT doc_id AS id, i, ls[i] AS line, regexp_matches(ls[i], '^\\s*\\|.*\\|\\s*$') AS pipe, regexp_matches(ls[i], '^\\s*\\|(?:\\s*:?-+:?\\s*\\|)+\\s*$') AS rule, len(string_split(ls[i], '|')) - 2 AS n
-FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array('| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| x |' || chr(10) || lang || chr(10) || '| h |' || chr(10) || substr(text, 1, 2000), '\\r?\\n') AS ls FROM documents))),
+FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array('| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| x |' || chr(10) || lang || chr(10) || '| h |' || chr(10) || text, '\\r?\\n') AS ls FROM documents))),
 b AS (SELECT *, sum(CASE WHEN pipe AND NOT coalesce(prev, false) THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS block FROM (SELECT *, lag(pipe) OVER (PARTITION BY id ORDER BY i) AS prev FROM l)),
 r AS (SELECT *, row_number() OVER (PARTITION BY id, block ORDER BY i) AS pos, first_value(n) OVER (PARTITION BY id, block ORDER BY i) AS width, lead(rule) OVER (PARTITION BY id ORDER BY i) AS next_rule FROM b)
 SELECT id, CAST(count(*) FILTER (pipe AND pos = 1) AS INTEGER) AS blocks, CAST(count(*) FILTER (pipe AND NOT rule) AS INTEGER) AS rows, CAST(count(*) FILTER (pipe AND pos > 1 AND NOT rule AND n <> width) AS INTEGER) AS ragged,
@@ -437,22 +456,24 @@ def blocked_prune(spark, d):
     return ops.prune(blocked, files)
 
 
-@query("SELECT o_orderkey AS id, o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AS skip FROM orders WHERE o_orderkey % 2 = 0")
+@query("SELECT o_orderkey AS id, o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AS skip FROM orders")
 def skip_cache(spark, d):
-    """Half of the orders, as its SQL says; ``skip_cache_all`` decides every one."""
-    return _skipped(table(spark, d, "orders").where("o_orderkey % 2 = 0"))
+    return _skipped(table(spark, d, "orders"))
 
 
 @query("SELECT o_orderkey AS id, o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AS skip FROM orders")
 def skip_cache_all(spark, d):
-    return _skipped(table(spark, d, "orders"))
+    """The cache holds every path twice; its newest entry counts."""
+    orders = table(spark, d, "orders")
+    return _skipped(orders, orders.withColumn("o_totalprice", F.col("o_totalprice") - 1))
 
 
-def _skipped(orders: DataFrame) -> DataFrame:
+def _skipped(orders: DataFrame, older: DataFrame | None = None) -> DataFrame:
     name = F.concat(F.lit("/raw/"), F.col("o_orderkey").cast("string"))
     files = orders.select(F.col("o_orderkey").alias("id"), name.alias("path"), F.col("o_totalprice").alias("mtime_ms"), F.col("o_custkey").alias("size"))
     mtime = F.when(F.col("o_orderkey") % 5 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
-    blocked = orders.where("o_orderkey % 3 <> 0").select(name.alias("original_path"), mtime.alias("mtime_ms"), F.col("o_custkey").alias("size"))
+    cached = orders if older is None else orders.unionByName(older)
+    blocked = cached.where("o_orderkey % 3 <> 0").select(name.alias("original_path"), mtime.alias("mtime_ms"), F.col("o_custkey").alias("size"))
     return ops.skip_or_retry(files, blocked).select("id", "skip")
 
 
@@ -519,10 +540,11 @@ def slug_normalize(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.normalize_slug(F.col("c_name")).alias("slug"))
 
 
-@query("""SELECT c_custkey AS id, CASE WHEN b >= 1099511627776 THEN 'TB' WHEN b >= 1073741824 THEN 'GB' WHEN b >= 1048576 THEN 'MB' WHEN b >= 1024 THEN 'KB' ELSE 'B' END AS unit FROM (SELECT c_custkey, CAST(c_custkey AS BIGINT) * 977 AS b FROM customer)""")
+@query("""SELECT id, regexp_replace(CAST(round(b / s, 2) AS VARCHAR), '\\.0$', '') || ' ' || u AS size FROM (SELECT id, b, CASE WHEN b >= 1073741824 THEN 1073741824.0 WHEN b >= 1048576 THEN 1048576.0 WHEN b >= 1024 THEN 1024.0 ELSE 1.0 END AS s,
+CASE WHEN b >= 1073741824 THEN 'GB' WHEN b >= 1048576 THEN 'MB' WHEN b >= 1024 THEN 'KB' ELSE 'B' END AS u FROM (SELECT c_custkey AS id, CAST(c_custkey AS BIGINT) * c_custkey * 977 AS b FROM customer))""")
 def byte_units(spark, d):
-    size = dates.format_bytes(F.col("c_custkey").cast("long") * 977)
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.element_at(F.split(size, " "), -1).alias("unit"))
+    size = dates.format_bytes(F.col("c_custkey").cast("long") * F.col("c_custkey") * 977)
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), size.alias("size"))
 
 
 @query("""SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders""")
@@ -571,23 +593,6 @@ def chunked_text(spark, d):
     )
 
 
-@query()
-def extraction_quality(spark, d):
-    docs = load(spark, d).select("id", markdown.assess(F.col("raw_text"), F.col("raw_text")).alias("q"))
-    return docs.select("id", "q.ok", F.array_join("q.reasons", ",").alias("reasons"))
-
-
-@query()
-def classify_documents(spark, d):
-    out = rules.classify(load(spark, d), now(), rules.LICENSE_RULES, _DICTIONARY)
-    return out.select("id", "rule_category", "rule_subcategory", "rule_title", "rule_date")
-
-
-@query()
-def retrieve_message(spark, d):
-    return retrieval.retrieve(load(spark, d), "les 3 derniers documents Apache License 2023")
-
-
 @query("""WITH {reg}, t AS (SELECT length(regexp_replace(regexp_replace(raw_text, '^\\s+', ''), '\\s+$', '')) < 10 AS blocked, row_number() OVER (PARTITION BY checksum ORDER BY path, id) AS rn FROM reg)
 SELECT CASE WHEN blocked THEN 'BLOCKED' WHEN rn > 1 THEN 'DUPLICATE' ELSE 'MOVED' END AS status, count(*) AS n FROM t GROUP BY 1""")
 def stream_ingest(spark, d):
@@ -596,7 +601,7 @@ def stream_ingest(spark, d):
     stream = registry(spark.readStream.schema(table(spark, d, "documents").schema).parquet(source)).select("id", "path", "filename", "raw_text")
     base = scratch_path(spark, "stream")
     ingest(stream, f"{base}/registry", f"{base}/events", f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/events").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(f"{base}/events").where("id is not null").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n FROM events GROUP BY 1, 2")

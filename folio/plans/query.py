@@ -31,6 +31,7 @@ class StructuredQuery:
     date_from: str | None = None
     date_to: str | None = None
     limit: int | None = None
+    file_type: str | None = None
 
     @classmethod
     def parse(cls, raw: dict) -> StructuredQuery:
@@ -40,7 +41,7 @@ class StructuredQuery:
             for ours, theirs in (("doc_types", "docTypes"), ("entities", "entities"), ("keywords", "keywords"), ("not_terms", "notTerms"))
         }
         texts = {}
-        for ours, theirs in (("category", "category"), ("subcategory", "subcategory"), ("date_from", "dateFrom"), ("date_to", "dateTo")):
+        for ours, theirs in (("category", "category"), ("subcategory", "subcategory"), ("date_from", "dateFrom"), ("date_to", "dateTo"), ("file_type", "fileType")):
             value = raw.get(theirs)
             texts[ours] = value.strip() or None if isinstance(value, str) else None
         limit = raw.get("limit")

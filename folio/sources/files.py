@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions.paths import basename, is_inside
+from folio.operators.registry_ops import list_filter
+from folio.schema import DECISIONS, conform
 
 IMAGES = ("png", "jpg", "jpeg", "webp", "bmp", "tiff")
 
@@ -58,17 +63,66 @@ def read_entities(spark: SparkSession, path: str) -> DataFrame:
     return out.select("domain", "entry", F.col("e.slug").alias("slug"), F.posexplode(surfaces).alias("ordinal", "surface"))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header whose first name carries the byte order mark that spreadsheets look for."""
+def read_rows(spark: SparkSession, path: str, schema: str, field: str | None = None) -> DataFrame:
+    """Rows of a JSON file that holds one object or a list of them, or a list under ``field``: overlay, decisions, hints, settings."""
+    if field is None:
+        return spark.read.schema(schema).json(path, multiLine=True)
+    rows = spark.read.schema(f"`{field}` ARRAY<STRUCT<{schema}>>").json(path, multiLine=True)
+    return rows.select(F.explode(field).alias("r")).select("r.*")
+
+
+def read_overlay(spark: SparkSession, path: str) -> DataFrame:
+    """``id, keywords, scope, category, subcategory`` of the personal rules of an overlay file, in its order."""
+    schema = "keywords: ARRAY<STRING>, scope: STRING, category: STRING, subcategory: STRING"
+    rows = spark.read.schema(f"priorityRules ARRAY<STRUCT<{schema}>>").json(path, multiLine=True)
+    return rows.select(F.posexplode("priorityRules").alias("id", "r")).select("id", "r.*")
+
+
+def read_decisions(spark: SparkSession, path: str) -> DataFrame:
+    return conform(read_rows(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in DECISIONS.fields)), DECISIONS)
+
+
+def read_hints(spark: SparkSession, path: str) -> DataFrame:
+    return read_rows(spark, path, "id LONG, hint STRING, created_at TIMESTAMP")
+
+
+def read_settings(spark: SparkSession, path: str) -> DataFrame:
+    """``key, value`` of a flat settings file, values as text."""
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "MAP<STRING, STRING>").alias("m"))
+    return rows.select(F.explode("m").alias("key", "value"))
+
+
+def replaced(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Write beside ``path``, then rename over it, so that a reader sees the old table or the new one whole."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fresh, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
+    write(fresh)
+    target = hadoop.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        fs.rename(target, hadoop.Path(old))
+    if not fs.rename(hadoop.Path(fresh), target):
+        raise OSError(f"{fresh} could not be renamed")
+    if fs.exists(hadoop.Path(old)):
+        fs.delete(hadoop.Path(old), True)
+
+
+def write_csv(df: DataFrame, path: str, q: str = "", category: str = "", subcategory: str = "") -> None:
+    """CSV of the rows that a list filter leaves, with a header whose first name carries the byte order mark that spreadsheets look for."""
+    df = list_filter(df, q, category, subcategory)
     text = df.select(*(F.to_json(c).alias(c) if dict(df.dtypes)[c].startswith(("array", "struct", "map")) else F.col(c) for c in df.columns))
     first = text.columns[0]
     text.withColumnRenamed(first, "\ufeff" + first).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_registry(df: DataFrame, path: str, updated_at: str) -> None:
-    """The registry as JSON lines in parts, and one row of envelope beside them."""
-    df.write.mode("overwrite").json(f"{path}/documents")
-    df.agg(F.lit(updated_at).alias("updated_at"), F.count(F.lit(1)).alias("total_count")).coalesce(1).write.mode("overwrite").json(f"{path}/envelope")
+    """The registry as JSON lines in parts and one row of envelope beside them, put in place as a whole."""
+
+    def write(to: str) -> None:
+        df.write.json(f"{to}/documents")
+        df.agg(F.lit(updated_at).alias("updated_at"), F.count(F.lit(1)).alias("total_count")).coalesce(1).write.json(f"{to}/envelope")
+
+    replaced(df.sparkSession, path, write)
 
 
 def write_markdown(df: DataFrame, path: str) -> None:

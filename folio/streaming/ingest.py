@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from folio.functions.text import clean_text
-from folio.operators.registry_ops import first_of_batch
+from folio.operators.registry_ops import first_of_batch, skip_or_retry
 from folio.operators.rules import LICENSE_RULES, Rule, first_rule
 
+# The types of event that clients listen for.
 EVENT_TYPES = (
     "TASK_STARTED", "TASK_PROGRESS", "TASK_FINISHED", "TASK_FAILED", "SCAN_STARTED", "FILE_PROGRESS", "FILE_COMPLETED", "FILE_FAILED",
     "SCAN_COMPLETED", "OLLAMA_DOWN", "REPAIR_STARTED", "REPAIR_COMPLETED", "CLEAR_STARTED", "CATEGORIES_UPDATED", "REGISTRY_UPDATED",
@@ -19,48 +20,152 @@ EVENT_TYPES = (
 )
 
 
-def triage(batch: DataFrame, known: DataFrame, rules: tuple[Rule, ...] = LICENSE_RULES) -> DataFrame:
-    """Each incoming row with ``status``: BLOCKED (no text), DUPLICATE (in the registry or the batch) or MOVED, and its place."""
-    rows = first_of_batch(batch.withColumn("checksum", F.sha2("raw_text", 256)))
-    rows = rows.join(known.select("checksum", F.lit(True).alias("__known")).distinct(), "checksum", "left")
+#: states of a task, and the event that leads to each
+TASK_EVENTS = {"TASK_STARTED": "started", "TASK_PROGRESS": "progress", "TASK_FINISHED": "finished", "TASK_FAILED": "failed"}
+#: states that may follow each; a task starts from idle
+TASK_NEXT = {"idle": ("started",), "started": ("progress", "finished", "failed"), "progress": ("progress", "finished", "failed"), "finished": ("started",), "failed": ("started",)}
+
+
+def triage(batch: DataFrame, known: DataFrame, rules: tuple[Rule, ...] = LICENSE_RULES, blocked: DataFrame | None = None) -> DataFrame:
+    """Each incoming row with ``status`` and its place.
+
+    SKIPPED (in the cache of blocked files with the same time and size), BLOCKED (no text), DUPLICATE (in
+    the registry or the batch) or MOVED. Every row comes out once, null texts as BLOCKED.
+    """
+    rows = batch.withColumn("checksum", F.sha2("raw_text", 256))
+    if blocked is not None:
+        rows = skip_or_retry(rows, blocked)
+    rows = rows if "skip" in rows.columns else rows.withColumn("skip", F.lit(False))
+    # a skipped file is not read, so no other one copies it
+    rows = first_of_batch(rows.withColumn("checksum", F.when(~F.col("skip"), F.col("checksum"))))
+    here = rows.select("checksum").where("checksum is not null").distinct()
+    met = known.join(here, "checksum", "left_semi").distinct().withColumn("__known", F.lit(True))
+    rows = rows.join(met, "checksum", "left")
     rule = first_rule(F.col("raw_text"), F.col("filename"), rules)
+    bare = F.coalesce(clean_text(F.col("raw_text")), F.lit("")) == ""
     status = (
-        F.when(clean_text(F.col("raw_text")) == "", "BLOCKED").when(F.col("__known") | F.col("copy_of").isNotNull(), "DUPLICATE").otherwise("MOVED")
+        F.when(F.col("skip"), "SKIPPED").when(bare, "BLOCKED").when(F.col("__known") | F.col("copy_of").isNotNull(), "DUPLICATE").otherwise("MOVED")
     )
     return rows.select(
         *batch.columns, "checksum", status.alias("status"), F.coalesce(rule["category"], F.lit("other")).alias("rule_category"), F.coalesce(rule["subcategory"], F.lit("general")).alias("rule_subcategory")
     )
 
 
+class ScanInProgress(RuntimeError):
+    """A second ingest of one registry was refused."""
+
+
+def running(spark: SparkSession, registry_path: str) -> StreamingQuery | None:
+    """The active ingest into a registry, if there is one: its name holds the lock."""
+    return next((q for q in spark.streams.active if q.name == f"ingest {registry_path}"), None)
+
+
+def abort(spark: SparkSession, registry_path: str) -> bool:
+    """Stop the active ingest after the batch at hand; what is left waits for the next one. False if none runs."""
+    query = running(spark, registry_path)
+    if query is not None:
+        query.stop()
+    return query is not None
+
+
 def ingest(
-    source: DataFrame, registry_path: str, events_path: str, checkpoint: str, trigger: dict | None = None, on_batch: Callable[[DataFrame, int], None] | None = None
+    source: DataFrame,
+    registry_path: str,
+    events_path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    on_batch: Callable[[DataFrame, int], None] | None = None,
+    blocked_path: str | None = None,
 ) -> StreamingQuery:
-    """Append what is new to ``registry_path``, and one event a row to ``events_path``.
+    """Append what is new to ``registry_path``, and events to ``events_path``: each file's, and those of the scan and its task.
 
     State is the registry itself, joined as a static side, so it doesn't grow in the stream. A batch's
-    files carry its number: one that is tried again replaces its own output.
+    files carry its number: one that is tried again replaces its own output. With ``blocked_path`` files
+    that were blocked before are skipped as long as their time and size are the same (columns ``path``,
+    ``mtime_ms``, ``size`` of the source), and newly blocked ones are added there. A second ingest into a
+    registry is refused while one runs. For a watcher pass ``trigger={"processingTime": "10 seconds"}``.
     """
+    session = source.sparkSession
+    if running(session, registry_path) is not None:
+        raise ScanInProgress(registry_path)
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = triage(batch, known_checksums(spark, registry_path, number))
-        rows.where("status = 'MOVED'").write.mode("overwrite").parquet(f"{registry_path}/batch={number}")
-        event = F.when(F.col("status") == "MOVED", "FILE_COMPLETED").otherwise("FILE_FAILED")
-        rows.select(event.alias("type"), "filename", "id", "status").write.mode("overwrite").parquet(f"{events_path}/batch={number}")
-        if on_batch:
-            on_batch(rows, number)
+        cache = None if blocked_path is None else _earlier(spark, blocked_path, BLOCKED_CACHE, number)
+        rows = triage(batch, known_checksums(spark, registry_path, number), blocked=cache)
+        rows = rows.persist()
+        try:
+            rows.where("status = 'MOVED'").write.mode("overwrite").parquet(f"{registry_path}/batch={number}")
+            if blocked_path is not None:
+                entries = rows.where("status = 'BLOCKED'").select(F.col("path").alias("original_path"), F.col("mtime_ms").cast("double").alias("mtime_ms"), F.col("size").cast("long").alias("size"))
+                entries.write.mode("overwrite").parquet(f"{blocked_path}/batch={number}")
+            batch_events(rows, number).write.mode("overwrite").parquet(f"{events_path}/batch={number}")
+            if on_batch:
+                on_batch(rows, number)
+        finally:
+            rows.unpersist()
 
-    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    writer = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).queryName(f"ingest {registry_path}")
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def known_checksums(spark: SparkSession, registry_path: str, before: int | None = None) -> DataFrame:
+BLOCKED_CACHE = "original_path string, mtime_ms double, size long"
+
+
+def batch_events(rows: DataFrame, number: int) -> DataFrame:
+    """``type, filename, id, status, task`` of one batch: its task and scan start and end, a file each, and a registry update if rows moved."""
+    task = F.lit(f"scan-{number}").alias("task")
+    none = lambda kind: F.lit(None).cast(kind)
+    event = F.when(F.col("status") == "MOVED", "FILE_COMPLETED").otherwise("FILE_FAILED")
+    files = rows.select(event.alias("type"), "filename", F.col("id").cast("long").alias("id"), "status", task)
+    total = rows.agg(F.count_if(F.col("status") == "MOVED").alias("moved"))
+    kinds = F.when(F.col("moved") > 0, F.array(*map(F.lit, (*SCAN_EVENTS, "REGISTRY_UPDATED", "DOCUMENTS_UPDATED")))).otherwise(F.array(*map(F.lit, SCAN_EVENTS)))
+    scan = total.select(F.explode(kinds).alias("type"), none("string").alias("filename"), none("long").alias("id"), none("string").alias("status"), task)
+    return files.unionByName(scan)
+
+
+SCAN_EVENTS = ("TASK_STARTED", "SCAN_STARTED", "SCAN_COMPLETED", "TASK_FINISHED")
+
+
+def mutation_events(kind: str, rows: DataFrame, key: str = "id") -> DataFrame:
+    """One event a changed row, of one of the known types, for the table that clients follow."""
+    if kind not in EVENT_TYPES:
+        raise ValueError(f"unknown event type: {kind}")
+    return rows.select(F.lit(kind).alias("type"), F.col(key).cast("string").alias("key"))
+
+
+def log_frames(earlier: DataFrame, later: DataFrame, n: int = 300) -> DataFrame:
+    """``frame, event_id, ts``: the newest ``n`` of the log so far as ``INIT``, then every row of ``later`` (a table or a stream) as ``LOG``."""
+    first = earlier.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(n).select(F.lit("INIT").alias("frame"), "event_id", "ts")
+    more = later.select(F.lit("LOG").alias("frame"), "event_id", "ts")
+    return more if later.isStreaming else first.unionByName(more)
+
+
+def _earlier(spark: SparkSession, path: str, columns: str, before: int | None) -> DataFrame:
+    """Rows that earlier batches wrote; none if nothing was written yet. Any other failure is raised."""
     from pyspark.errors import AnalysisException
 
     try:
-        rows = spark.read.parquet(registry_path)
-    except AnalysisException:  # nothing written yet
-        return spark.createDataFrame([], "checksum string")
-    return (rows.where(F.col("batch") < before) if before is not None else rows).select("checksum")
+        rows = spark.read.schema(f"{columns}, batch int").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], columns)
+    return (rows.where(F.col("batch") < before) if before is not None else rows).drop("batch")
+
+
+def known_checksums(spark: SparkSession, registry_path: str, before: int | None = None) -> DataFrame:
+    """Checksums in the registry, of batches before one; only their column is read."""
+    return _earlier(spark, registry_path, "checksum string", before)
+
+
+def task_history(events: DataFrame) -> DataFrame:
+    """``task, state, ts, valid``: each event's state and whether it may follow the one before it (the first follows idle)."""
+    state = F.coalesce(*(F.when(F.col("type") == k, v) for k, v in TASK_EVENTS.items()))
+    rows = events.withColumn("state", state).where("state is not null")
+    before = F.lag("state", 1, "idle").over(Window.partitionBy("task").orderBy("ts", "event_id"))
+    allowed = F.array(*(F.lit(f"{a}>{b}") for a, after in TASK_NEXT.items() for b in after))
+    return rows.withColumn("valid", F.array_contains(allowed, F.concat_ws(">", before, "state"))).select("task", "state", "ts", "event_id", "valid")
 
 
 def event_counts(events: DataFrame) -> DataFrame:
