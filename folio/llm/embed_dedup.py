@@ -65,7 +65,6 @@ def block_links(left: pa.Table, right: pa.Table | None, table: int, threshold: f
     both = left if right is None else pa.concat_tables([left, right]).combine_chunks()
     n, split = len(both), len(left)
     v = unit(matrix(both.column("embedding").combine_chunks()))
-    keys = np.array([np.frombuffer(k, KEY) for k in both.column("keys").to_pylist()])
     rep, weight = both.column("rep").to_numpy(), both.column("weight").to_numpy()
     a, b = (v, v) if right is None else (v[:split], v[split:])
     near = a @ b.T >= threshold
@@ -75,10 +74,12 @@ def block_links(left: pa.Table, right: pa.Table | None, table: int, threshold: f
     j = j + (0 if right is None else split)
     if not len(i):
         return None
+    mine = np.unique(np.concatenate([i, j]))
+    keys = np.frombuffer(b"".join(both.column("keys").take(pa.array(mine)).to_pylist()), KEY).reshape(len(mine), -1)
     first = np.empty(len(i), np.int64)
     for at in range(0, len(i), 200_000):
         part = slice(at, at + 200_000)
-        first[part] = (keys[i[part]] == keys[j[part]]).argmax(axis=1)
+        first[part] = (keys[np.searchsorted(mine, i[part])] == keys[np.searchsorted(mine, j[part])]).argmax(axis=1)
     mine = first == table
     links = np.bincount(i[mine], weight[j[mine]], n) + np.bincount(j[mine], weight[i[mine]], n)
     order = np.argsort(rep, kind="stable")
