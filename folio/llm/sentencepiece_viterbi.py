@@ -304,36 +304,39 @@ class PieceCoder:
         ]
         return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
-    def _windowed(self, word: str) -> bytes:
-        """Ids of a word longer than a window, by the merge rule."""
+    def _windowed(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words longer than a window, by the merge rule. The windows of all words advance together."""
         memo: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
-        def learn(texts: set[str]) -> None:
-            by_length: dict[int, list[str]] = {}
-            for t in texts:
-                by_length.setdefault(len(t), []).append(t)
-            for group in by_length.values():
-                for at in range(0, len(group), 2_000):
-                    flat, stops, low, high = self._paths(group[at : at + 2_000])
-                    memo.update((t, (flat[i:j], stops[i:j])) for t, i, j in zip(group[at : at + 2_000], low.tolist(), high.tolist(), strict=True))
+        def learn(texts: list[str]) -> None:
+            """Pieces and their ends of texts of one length."""
+            for at in range(0, len(texts), 20_000):
+                some = texts[at : at + 20_000]
+                flat, stops, low, high = self._paths(some)
+                memo.update((t, (flat[i:j], stops[i:j])) for t, i, j in zip(some, low.tolist(), high.tolist(), strict=True))
+
+        grid = {w: [*range(0, len(w) - WINDOW, STRIDE), len(w) - WINDOW] for w in words}
+        learn(list({w[at : at + WINDOW] for w, places in grid.items() for at in places}))
+        return {w: self._joined(w, places, memo, learn) for w, places in grid.items()}
+
+    def _joined(self, word: str, grid: list[int], memo: dict, learn) -> bytes:
+        """Ids of a word from its windows' pieces."""
 
         def coded(at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Pieces, ends and starts of the window that begins at ``at``."""
             text = word[at : at + WINDOW]
             if text not in memo:
-                learn({text})
+                learn([text])
             piece, stop = memo[text]
             return np.where(piece < 0, -(stop + at), piece), stop + at, np.concatenate(([at], stop[:-1] + at))
 
-        grid = [*range(0, len(word) - WINDOW, STRIDE), len(word) - WINDOW]
-        learn({word[at : at + WINDOW] for at in grid})
         done: list[np.ndarray] = []
         piece, stop, start = coded(0)
         for at in grid[1:]:
             while at + WINDOW > stop[-1]:
                 other = coded(at)
                 mine = np.flatnonzero(start >= at)
-                shared, i, j = np.intersect1d(start[mine] * 4096 + stop[mine], other[2] * 4096 + other[1], return_indices=True)
+                shared, i, j = np.intersect1d(start[mine] * 4096 + stop[mine] - start[mine], other[2] * 4096 + other[1] - other[2], return_indices=True)
                 if len(shared):
                     done.append(piece[: mine[i[0]]])
                     piece, stop, start = (x[j[0] :] for x in other)
@@ -374,13 +377,11 @@ class PieceCoder:
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         long = {w: self._segments(w) for w in words if len(w) > WINDOW}
         words = words - long.keys() | {part for parts in long.values() for part in parts}
+        huge = [w for w in words if self.bpe and len(w) > WINDOW]
+        found = self._windowed(huge) if huge else {}
         by_length: dict[int, list[str]] = {}
-        found: dict[str, bytes] = {}
-        for w in words:
-            if self.bpe and len(w) > WINDOW:
-                found[w] = self._windowed(w)
-            else:
-                by_length.setdefault(len(w), []).append(w)
+        for w in words.difference(found):
+            by_length.setdefault(len(w), []).append(w)
         for size, group in by_length.items():
             step = max(1, 4_000_000 // (size + 1))
             for i in range(0, len(group), step):
