@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folio.functions import dates, geometry, markdown, paths, text
@@ -17,7 +18,7 @@ from folio.streaming import ingest as streams
 S = lambda v: F.lit(v)
 
 
-def text_of(c) -> F.Column:
+def text_of(c: str) -> Column:
     return F.col(c).cast("string")
 
 
@@ -29,7 +30,10 @@ def pick(key, *values):
     return out
 
 
-PART = F.col("p_partkey")
+
+def _key():
+    return F.col("p_partkey")
+
 
 # -- ranked search --------------------------------------------------------------------------------
 
@@ -131,9 +135,9 @@ def request_plans(spark, d):
 @query("""SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN 'cdi' WHEN 2 THEN 'cdi' WHEN 4 THEN 'w-2' WHEN 6 THEN 'n°' END AS found FROM part""")
 def rule_edges(spark, d):
     """A keyword counts unless a letter touches it; digits may, and an end that is a sign needs no guard."""
-    body = pick(PART, "un CDI signé", "acdi", "12cdi34", "cdisse", "form W-2 2023", "w-2form", "facture n°x", "nothing")
+    body = pick(_key(), "un CDI signé", "acdi", "12cdi34", "cdisse", "form W-2 2023", "w-2form", "facture n°x", "nothing")
     found = F.coalesce(*(F.when(rules.rule_match(rules.Rule(1, (k,), "x"), body, S("f.pdf")), k) for k in ("cdi", "w-2", "n°")))
-    return table(spark, d, "part").select(PART.alias("id"), found.alias("found"))
+    return table(spark, d, "part").select(_key().alias("id"), found.alias("found"))
 
 
 @query("""SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN 'bank' WHEN 1 THEN 'administrative' WHEN 2 THEN 'administrative' WHEN 3 THEN 'housing' WHEN 4 THEN 'housing' WHEN 5 THEN 'bulletin_salaire' WHEN 6 THEN 'housing' WHEN 7 THEN 'identity' END AS category,
@@ -141,9 +145,9 @@ CASE p_partkey % 8 WHEN 1 THEN 'impot' WHEN 2 THEN 'impot' WHEN 3 THEN 'foncia'
 def rule_anchors(spark, d):
     """A personal rule stands first but gives way to a bank, tax or pay anchor of another category; a statement blocks the tax rule."""
     overlay = rules.overlay_rules([{"keywords": ["Foncia"], "category": "housing", "subcategory": "foncia"}])
-    body = pick(PART, "Relevé de compte foncia avis d'impôt", "avis d'impôt foncia", "Taxe foncière, Finances publiques, foncia", "foncia taxe foncière", "quittance foncia", "Payslip foncia gross pay", "foncia invoice", "carte grise")
+    body = pick(_key(), "Relevé de compte foncia avis d'impôt", "avis d'impôt foncia", "Taxe foncière, Finances publiques, foncia", "foncia taxe foncière", "quittance foncia", "Payslip foncia gross pay", "foncia invoice", "carte grise")
     rule = rules.first_rule(body, S("f.pdf"), (*overlay, *rules.DEFAULT_RULES))
-    return table(spark, d, "part").select(PART.alias("id"), rule["category"].alias("category"), rule["subcategory"].alias("subcategory"))
+    return table(spark, d, "part").select(_key().alias("id"), rule["category"].alias("category"), rule["subcategory"].alias("subcategory"))
 
 
 _CATALOGUE = """STEP 1: FIRST
@@ -160,7 +164,7 @@ CASE WHEN starts_with(p_name, 'cold ') THEN 'cool' WHEN starts_with(p_name, 'sma
 def rule_catalogue(spark, d):
     """Rules read from a catalogue in prose."""
     rule = rules.first_rule(F.col("p_name"), S("f.pdf"), rules.read_catalogue(_CATALOGUE))
-    return table(spark, d, "part").select(PART.alias("id"), rule["priority"].alias("priority"), rule["category"].alias("category"), rule["subcategory"].alias("subcategory"))
+    return table(spark, d, "part").select(_key().alias("id"), rule["priority"].alias("priority"), rule["category"].alias("category"), rule["subcategory"].alias("subcategory"))
 
 
 @query("SELECT c_custkey AS id, 'w' || c_custkey AS slug FROM customer WHERE c_custkey < 2700")
@@ -223,10 +227,10 @@ id % 9 <> 0 AND id % 4 <> 0 AND NOT (c = 'economy' AND (contains(s, 'widget') OR
 FROM (SELECT p_partkey AS id, lower(p_type) AS c, replace(p_name, ' ', '_') AS s FROM part)""")
 def resolve_subcategories(spark, d):
     """Known within the category, else new if the text names it (three rows of four do), else ``general``."""
-    raw = F.when(PART % 9 == 0, "Other").otherwise(F.concat(F.upper("p_name"), S("_202301")))
-    body = F.when(PART % 4 == 0, "nothing").otherwise(F.concat(S("une "), F.replace("p_name", S(" "), S("-")), S("!")))
+    raw = F.when(_key() % 9 == 0, "Other").otherwise(F.concat(F.upper("p_name"), S("_202301")))
+    body = F.when(_key() % 4 == 0, "nothing").otherwise(F.concat(S("une "), F.replace("p_name", S(" "), S("-")), S("!")))
     found = rules.resolve_subcategory(F.lower("p_type"), raw, _KINDS, body, S("scan.pdf"))
-    return table(spark, d, "part").select(PART.alias("id"), found["id"].alias("subcategory"), found["is_new"].alias("is_new"))
+    return table(spark, d, "part").select(_key().alias("id"), found["id"].alias("subcategory"), found["is_new"].alias("is_new"))
 
 
 @query("""SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'economy' WHEN 1 THEN 'economy' WHEN 2 THEN 'standard' WHEN 3 THEN 'other' WHEN 4 THEN 'other' ELSE 'other' END AS category,
@@ -237,9 +241,9 @@ def placements(spark, d):
     many = [{"id": f"c{i}", "subcategories": [{"id": f"entry_number_{i}_of_many"}]} for i in range(150)]
     shared = [{"id": c, "subcategories": [{"id": "shared"}]} for c in ("economy", "standard")]
     guard = rules.placement_guard(
-        pick(PART, "economy", "other", "standard", "other", "other", "other"), pick(PART, "widgets", "widgets", "shared", "cold_bolts", "economy", "unknown_thing"), [*_KINDS, *shared, *many], ["economy", "standard"]
+        pick(_key(), "economy", "other", "standard", "other", "other", "other"), pick(_key(), "widgets", "widgets", "shared", "cold_bolts", "economy", "unknown_thing"), [*_KINDS, *shared, *many], ["economy", "standard"]
     )
-    return table(spark, d, "part").select(PART.alias("id"), guard["category"].alias("category"), guard["slug"].alias("slug"), guard["hint"].alias("hint"))
+    return table(spark, d, "part").select(_key().alias("id"), guard["category"].alias("category"), guard["slug"].alias("slug"), guard["hint"].alias("hint"))
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 3 = 1 THEN 'keep' WHEN (o_orderkey % 100) / 100.0 >= CASE WHEN o_orderkey % 2 = 0 THEN 0.85 ELSE 0.6 END THEN 'override' ELSE 'block' END AS action FROM orders""")
@@ -252,9 +256,9 @@ def confidence_actions(spark, d):
 @query("""SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'administrative' WHEN 1 THEN 'bank' WHEN 2 THEN 'administrative' WHEN 3 THEN 'correspondence' ELSE 'invoices' END AS category, CASE p_partkey % 5 WHEN 0 THEN 'impot' WHEN 1 THEN 'impot' WHEN 2 THEN 'letters' WHEN 3 THEN 'letters' ELSE 'sfr' END AS subcategory FROM part""")
 def refined_answers(spark, d):
     out = rules.refine(
-        pick(PART, "personal", "bank", "correspondence", "correspondence", "invoices"), pick(PART, "general", "general", "letters", "letters", "sfr"), pick(PART, "a.pdf", "a.pdf", "IMPOT.pdf", "a.pdf", "tax.pdf"), S("administrative"), S("impot")
+        pick(_key(), "personal", "bank", "correspondence", "correspondence", "invoices"), pick(_key(), "general", "general", "letters", "letters", "sfr"), pick(_key(), "a.pdf", "a.pdf", "IMPOT.pdf", "a.pdf", "tax.pdf"), S("administrative"), S("impot")
     )
-    return table(spark, d, "part").select(PART.alias("id"), out["category"].alias("category"), out["subcategory"].alias("subcategory"))
+    return table(spark, d, "part").select(_key().alias("id"), out["category"].alias("category"), out["subcategory"].alias("subcategory"))
 
 
 @query("""WITH n AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 25) SELECT unnest(['user' || user_id, 'k' || event_id]) AS keyword, 'filename' AS scope, 'cat' AS category, event_type AS subcategory FROM n WHERE event_id % 4 <> 0""")
@@ -298,9 +302,9 @@ def shown_categories(spark, d):
 
 @query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'bank' WHEN 2 THEN 'tax' END AS owner FROM part")
 def canonical_owners(spark, d):
-    owners = F.when(PART % 4 == 2, F.array(S("tax"))).otherwise(F.array(S("bank"), S("tax")))
-    current = F.when(PART % 4 == 0, "bank").otherwise("housing")
-    return table(spark, d, "part").select(PART.alias("id"), ops.owner_of(current, owners).alias("owner"))
+    owners = F.when(_key() % 4 == 2, F.array(S("tax"))).otherwise(F.array(S("bank"), S("tax")))
+    current = F.when(_key() % 4 == 0, "bank").otherwise("housing")
+    return table(spark, d, "part").select(_key().alias("id"), ops.owner_of(current, owners).alias("owner"))
 
 
 @query("WITH {reg} SELECT category, lower(regexp_replace(title[1:6], '[^A-Za-z]+', '', 'g')) AS slug, min(path) AS first_path FROM reg WHERE length(regexp_replace(title[1:6], '[^A-Za-z]+', '', 'g')) = 6 GROUP BY 1, 2")
@@ -316,16 +320,16 @@ def proposed_entries(spark, d):
 
 @query("SELECT p_partkey AS id, p_partkey % 4 < 2 AS is_year FROM part")
 def year_strings(spark, d):
-    v = pick(PART, F.format_string("%d", 1990 + PART % 40), " 2024\n", "20245", F.col("p_name"))
-    return table(spark, d, "part").select(PART.alias("id"), text.is_year(v).alias("is_year"))
+    v = pick(_key(), F.format_string("%d", 1990 + _key() % 40), " 2024\n", "20245", F.col("p_name"))
+    return table(spark, d, "part").select(_key().alias("id"), text.is_year(v).alias("is_year"))
 
 
 @query("""SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN replace(p_name, ' ', '_') WHEN 1 THEN replace(p_name, ' ', '_') WHEN 2 THEN 'general' ELSE 'general' END AS bare,
 upper(p_name[1]) || substr(p_name, 2, strpos(p_name, ' ') - 1) || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] AS title FROM part""")
 def slug_functions(spark, d):
     slug = F.replace("p_name", S(" "), S("_"))
-    dated = pick(PART, F.concat(slug, S("_202301")), slug, "20230115", "2023_2024")
-    return table(spark, d, "part").select(PART.alias("id"), text.strip_date_tail(dated).alias("bare"), text.title_case(slug).alias("title"))
+    dated = pick(_key(), F.concat(slug, S("_202301")), slug, "20230115", "2023_2024")
+    return table(spark, d, "part").select(_key().alias("id"), text.strip_date_tail(dated).alias("bare"), text.title_case(slug).alias("title"))
 
 
 @query("""SELECT p_partkey AS id, 'Facture ' || p_name AS title, 'facture-' || replace(p_name, ' ', '_') AS stem, 'facture,' || replace(p_name, ' ', ',') AS words, p_partkey % 3 = 1 OR p_partkey % 3 = 0 AS generic,
@@ -333,15 +337,15 @@ CASE WHEN p_partkey % 3 = 1 OR p_partkey % 3 = 0 THEN '2024-01-02_Sfr_' || repla
 def filename_functions(spark, d):
     slug = F.replace("p_name", S(" "), S("_"))
     name = F.concat(S("facture-"), slug, S(".PDF"))
-    camera = pick(PART, F.concat(S("IMG_"), PART.cast("string"), S(".pdf")), "scan 12.pdf", name)
+    camera = pick(_key(), F.concat(S("IMG_"), _key().cast("string"), S(".pdf")), "scan 12.pdf", name)
     return table(spark, d, "part").select(
-        PART.alias("id"),
+        _key().alias("id"),
         paths.title_of(F.concat(S("Facture-"), slug, S(".pdf"))).alias("title"),
         text.stem(name).alias("stem"),
         F.array_join(text.filename_tokens(name), ",").alias("words"),
         paths.is_generic_name(camera).alias("generic"),
         paths.informed_name(camera, S("telecom/sfr"), F.col("p_name"), S("2024-01-02")).alias("informed"),
-        text.file_type(F.when(PART % 2 == 0, "a.PDF").otherwise("b.Jpeg")).alias("kind"),
+        text.file_type(F.when(_key() % 2 == 0, "a.PDF").otherwise("b.Jpeg")).alias("kind"),
     )
 
 
@@ -351,12 +355,12 @@ def text_functions(spark, d):
     name = F.col("p_name")
     down = text.download_name(F.concat(S("École/"), name))
     return table(spark, d, "part").select(
-        PART.alias("id"),
-        text.sanitize_segment(F.when(PART % 5 == 0, "!!!").otherwise(F.concat(S("École "), name)), "autre").alias("segment"),
+        _key().alias("id"),
+        text.sanitize_segment(F.when(_key() % 5 == 0, "!!!").otherwise(F.concat(S("École "), name)), "autre").alias("segment"),
         text.escape_html(F.concat(S("<"), name, S("> & \"x'"))).alias("escaped"),
         down["ascii"].alias("ascii"),
         down["encoded"].alias("encoded"),
-        F.array_join(text.rule_keywords(F.concat(S("INV"), PART.cast("string"), S("_2024_scan.pdf")), F.concat(name, S(" 2023"))), ",").alias("keywords"),
+        F.array_join(text.rule_keywords(F.concat(S("INV"), _key().cast("string"), S("_2024_scan.pdf")), F.concat(name, S(" 2023"))), ",").alias("keywords"),
         F.array_join(text.search_tokens(F.concat(S("the "), name, S(", une Facture?"))), ",").alias("words"),
     )
 
@@ -369,12 +373,12 @@ def cleaned_text(spark, d):
 
 @query("""SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN p_name || ' by hand' WHEN 1 THEN 'a fresh text' ELSE p_name END AS chosen, p_partkey % 2 = 0 AS refresh, p_partkey % 4 < 2 AS generic, 'bank' AS tree_category, CASE WHEN p_partkey % 2 = 0 THEN 'sfr' END AS tree_subcategory FROM part""")
 def text_choice(spark, d):
-    chosen = ops.chosen_text(pick(PART, F.concat("p_name", S(" by hand")), "old", F.col("p_name")), pick(PART, "a fresh text", "a fresh text", "short"), PART % 3 == 0)
-    refresh = ops.needs_text(F.when(PART % 2 == 0, "[no text]").otherwise("a stored text of some length"), S("a stored text of some length"))
-    generic = ops.is_generic_place(pick(PART, "personal", "bank", "bank", "bank"), pick(PART, "sfr", "Divers", "sfr", "edf"))
-    hint = paths.tree_hint(F.when(PART % 2 == 0, "bank/sfr/2024/a.pdf").otherwise("bank/a.pdf"))
+    chosen = ops.chosen_text(pick(_key(), F.concat("p_name", S(" by hand")), "old", F.col("p_name")), pick(_key(), "a fresh text", "a fresh text", "short"), _key() % 3 == 0)
+    refresh = ops.needs_text(F.when(_key() % 2 == 0, "[no text]").otherwise("a stored text of some length"), S("a stored text of some length"))
+    generic = ops.is_generic_place(pick(_key(), "personal", "bank", "bank", "bank"), pick(_key(), "sfr", "Divers", "sfr", "edf"))
+    hint = paths.tree_hint(F.when(_key() % 2 == 0, "bank/sfr/2024/a.pdf").otherwise("bank/a.pdf"))
     return table(spark, d, "part").select(
-        PART.alias("id"), chosen.alias("chosen"), refresh.alias("refresh"), generic.alias("generic"), hint["category"].alias("tree_category"), hint["subcategory"].alias("tree_subcategory")
+        _key().alias("id"), chosen.alias("chosen"), refresh.alias("refresh"), generic.alias("generic"), hint["category"].alias("tree_category"), hint["subcategory"].alias("tree_subcategory")
     )
 
 
@@ -400,17 +404,17 @@ def date_functions(spark, d):
 
 @query("""SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '{"a": ' || p_partkey || ', "b": [1, 2]}' WHEN 1 THEN '{"name": "' || p_name || '"}' WHEN 2 THEN '{"c": {"d": "' || p_name || '"}}' END AS json FROM part""")
 def repaired_json(spark, d):
-    key, name = PART.cast("string"), F.col("p_name")
-    raw = pick(PART, F.concat(S('```json\n{"a": '), key, S(', "b": [1, 2')), F.concat(S('Here: {"name": "'), name, S('",} done')), F.concat(S('{"c": {"d": "'), name), "no object")
-    return table(spark, d, "part").select(PART.alias("id"), markdown.clean_json(raw).alias("json"))
+    key, name = _key().cast("string"), F.col("p_name")
+    raw = pick(_key(), F.concat(S('```json\n{"a": '), key, S(', "b": [1, 2')), F.concat(S('Here: {"name": "'), name, S('",} done')), F.concat(S('{"c": {"d": "'), name), "no object")
+    return table(spark, d, "part").select(_key().alias("id"), markdown.clean_json(raw).alias("json"))
 
 
 @query("SELECT p_partkey AS id, p_name AS titre, '' AS summary, 0 AS tags FROM part")
 def metadata_records(spark, d):
     from folio.schema import metadata_defaults
 
-    rows = metadata_defaults(table(spark, d, "part").select(F.col("p_name").alias("titre"), PART.alias("id"), F.lit(None).cast("string").alias("summary")))
-    both = table(spark, d, "part").select(PART.alias("id"), F.col("p_name").alias("titre"))
+    rows = metadata_defaults(table(spark, d, "part").select(F.col("p_name").alias("titre"), _key().alias("id"), F.lit(None).cast("string").alias("summary")))
+    both = table(spark, d, "part").select(_key().alias("id"), F.col("p_name").alias("titre"))
     return both.join(rows.dropDuplicates(["titre"]), "titre").select("id", "titre", "summary", F.size("tags").alias("tags"))
 
 
@@ -420,7 +424,7 @@ def repaired_tables(spark, d):
     name, header = F.col("p_name"), F.concat(S("| "), F.col("p_name"), S(" | b |"))
     chunks = F.array(F.concat(S("| h |\n| "), name, S(" |\n")), S("\n| z |\n"), S("\nafter"))
     return table(spark, d, "part").select(
-        PART.alias("id"),
+        _key().alias("id"),
         markdown.fix_tables(F.concat(header, S("\n| x | y |\nend"))).alias("fixed"),
         markdown.open_header(F.concat(S("| old |\n\n"), header, S("\n| x | y |"))).alias("open_header"),
         markdown.join_chunks(chunks).alias("joined"),
@@ -432,33 +436,33 @@ def handed_headers(spark, d):
     """The header that each chunk has to be told of."""
     header = F.concat(S("| "), F.col("p_name"), S(" | b |"))
     heads = markdown.handed_headers(F.array(F.concat(S("text\n"), header, S("\n| 1 | 2 |")), S("| 3 | 4 |\n\nend"), S("| new |")))
-    return table(spark, d, "part").select(PART.alias("id"), *(F.get(heads, S(i)).alias(n) for i, n in enumerate(("first", "second", "third"))))
+    return table(spark, d, "part").select(_key().alias("id"), *(F.get(heads, S(i)).alias(n) for i, n in enumerate(("first", "second", "third"))))
 
 
 @query("""SELECT p_partkey AS id, 'a' || chr(10) || CASE WHEN p_partkey % 3 = 0 THEN '> ' ELSE '' END || repeat('| c ', 13 + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END) || '|' || chr(10) || CASE WHEN p_partkey % 3 = 0 THEN '> ' ELSE '' END || '| ' || p_name || ' |' || chr(10) || 'b' || chr(10) || '| d |' AS body FROM part""")
 def quoted_charts(spark, d):
-    header = F.concat(F.repeat(S("| c "), F.when(PART % 3 == 0, 14).otherwise(13)), S("|"))
+    header = F.concat(F.repeat(S("| c "), F.when(_key() % 3 == 0, 14).otherwise(13)), S("|"))
     body = F.concat(S("a\n"), header, S("\n| "), F.col("p_name"), S(" |\nb\n| d |"))
-    return table(spark, d, "part").select(PART.alias("id"), markdown.quote_charts(body).alias("body"))
+    return table(spark, d, "part").select(_key().alias("id"), markdown.quote_charts(body).alias("body"))
 
 
 @query("""SELECT p_partkey AS id, '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| x | ' || p_name || '|' || chr(10) || '| 1 | 2 |' AS rows, '| a |  |' || chr(10) || '| --- | --- |' AS header FROM part""")
 def malformed_tables(spark, d):
     body = F.concat(S("| a | b |\n| --- | --- |\n| x | "), F.col("p_name"), S("\n\n| 1 | 2 |"))
-    return table(spark, d, "part").select(PART.alias("id"), markdown.repair_tables(body).alias("rows"), markdown.repair_tables(S("| a |\n| --- | --- |")).alias("header"))
+    return table(spark, d, "part").select(_key().alias("id"), markdown.repair_tables(body).alias("rows"), markdown.repair_tables(S("| a |\n| --- | --- |")).alias("header"))
 
 
 @query("""SELECT p_partkey AS id, '<h4>' || p_name || '</h4><br>a <strong>b</strong> <em>c</em> <code>d</code> &lt;i&gt;<br><table><thead><tr><th>h</th><th>' || p_name || '</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr></tbody></table><br><li>item</li>' AS html FROM part""")
 def markdown_html(spark, d):
     body = F.concat(S("## "), F.col("p_name"), S("\na **b** *c* `d` <i>\n| h | "), F.col("p_name"), S(" |\n| 1 | 2 |\n- item"))
-    return table(spark, d, "part").select(PART.alias("id"), markdown.to_html(body).alias("html"))
+    return table(spark, d, "part").select(_key().alias("id"), markdown.to_html(body).alias("html"))
 
 
 @query("SELECT p_partkey AS id, CAST(ceil((1 + p_size) / 13.0) AS INTEGER) AS n, CASE WHEN 1 + p_size >= 13 THEN 1312 ELSE (1 + p_size) * 101 - 1 END AS longest FROM part")
 def chunk_counts(spark, d):
     """Lines of 100 characters: thirteen fill a chunk."""
     body = F.array_join(F.array_repeat(F.repeat(S("x"), 100), 1 + F.col("p_size")), "\n")
-    chunks = table(spark, d, "part").select(PART.alias("id"), markdown.chunk_text(body).alias("c"))
+    chunks = table(spark, d, "part").select(_key().alias("id"), markdown.chunk_text(body).alias("c"))
     return chunks.select("id", F.size("c").alias("n"), F.array_max(F.transform("c", F.length)).alias("longest"))
 
 
@@ -532,8 +536,8 @@ def bundle_pages(spark, d):
 
 @query("SELECT p_partkey AS id, p_partkey % 4 < 2 AS confined FROM part")
 def confined_paths(spark, d):
-    path = pick(PART, "/archive/x/a.pdf", "/Input/b.pdf", "/archive_old/c.pdf", "/archive/../etc/d.pdf")
-    return table(spark, d, "part").select(PART.alias("id"), paths.is_confined(path, ("/archive", "/input")).alias("confined"))
+    path = pick(_key(), "/archive/x/a.pdf", "/Input/b.pdf", "/archive_old/c.pdf", "/archive/../etc/d.pdf")
+    return table(spark, d, "part").select(_key().alias("id"), paths.is_confined(path, ("/archive", "/input")).alias("confined"))
 
 
 @query("SELECT c_custkey AS id FROM customer WHERE contains(c_name, '0012') UNION ALL SELECT -c_custkey - 1 AS id FROM customer WHERE c_mktsegment = 'FURNITURE'")
