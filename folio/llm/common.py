@@ -2,33 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that ``spark.checkpoint.dir`` names.
-
-    Where the setting is absent a local session (tests) gets a temporary folder of its own; any
-    other session gets an error, since executors would not share such a folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="folio-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/folio-{name}-{uuid.uuid4().hex}"
+from folio.session import scratch_path
 
 
 def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The table goes when the driver ends, or earlier by ``unstaged``.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files, at = _file_system(df.sparkSession, path)
+    files.deleteOnExit(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstaged(*tables: DataFrame) -> None:
+    """Delete staged tables whose last reader has been written itself."""
+    for table in tables:
+        files, at = _file_system(table.sparkSession, table.staged_at)
+        files.delete(at, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def documents_of(docs: DataFrame) -> DataFrame:
@@ -105,7 +108,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     before = seal(now)
     for _ in range(max_rounds if before[0] else 0):
-        now = staged(star(star(now, True), False), "cc")
+        last, now = now, staged(star(star(now, True), False), "cc")
+        unstaged(last)
         after = seal(now)
         if after == before:
             break

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import connected_components, documents_of, shuffle_partitions, staged
+from folio.llm.common import connected_components, documents_of, shuffle_partitions, staged, unstaged
 from folio.llm.embed_dedup import spanning_roots
 from folio.llm.vectors import groups
 from folio.llm.word_tokens import slices
@@ -431,6 +431,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
     second = staged(_forest(apart, maps, percent), "forest")
     groups_of = staged(connected_components(first.union(second)), "groups")
+    unstaged(first, second)
     members = groups_of.select(F.col("node").alias("rep"), F.col("component").alias("key")).join(classes.select("rep", "n"), "rep")
     cells = _cells(members, "key", TEXT_BLOCK, F.col("n") + TEXT_ROW, percent, "rep")
 

@@ -99,3 +99,57 @@ def test_language_vectors_of_long_and_varied_texts(monkeypatch):
     codes = rng.integers(0x4E00, 0x9FA5, 60_000)
     h, _ = langid.Profiler().vectors(["".join(map(chr, codes))])
     assert h.any() and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+
+
+def test_language_prototypes_are_sums_of_unit_vectors(spark):
+    rows = [("ab cd", "x"), ("abc", "x"), ("zz yy zz", "y"), (None, "y"), ("12", "y"), ("other", None)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string").repartition(3), dimensions=128)
+    h, _ = langid.Profiler(dimensions=128).vectors([t for t, _ in rows])
+    for lang, got in zip(model.languages, model.prototypes, strict=True):
+        mine = [i for i, (t, x) in enumerate(rows) if x == lang and t and t != "12"]
+        want = sum(h[i] / np.linalg.norm(h[i]) for i in mine)
+        assert np.allclose(got, want / np.linalg.norm(want), atol=1e-5)
+    names, score = model.predict(["ab", "zz", None])
+    cosines = [max(range(2), key=lambda k, v=v: v @ model.prototypes[k]) for v in langid.Profiler(dimensions=128).vectors(["ab", "zz"])[0]]
+    assert names == [*(model.languages[c] for c in cosines), "und"] and score[2] == 0
+
+
+def plain_quality(texts, labels, features=quality.FEATURES):
+    """Scores of all texts by closed forms: one matrix, one solve, isotonic levels by the min-max formula over bins."""
+    stats = quality.statistics(texts)
+    at = [i for i, y in enumerate(labels) if y is not None]
+    x, y = stats[at], np.array([labels[i] for i in at], float)
+    scale = x.std(axis=0)
+    rng = np.random.default_rng(quality.SEED)
+    w = rng.normal(size=(x.shape[1], features)) / quality.WIDTH
+    phase = rng.uniform(0, 2 * np.pi, features)
+    z = lambda s: np.hstack([np.cos(np.clip((s - x.mean(axis=0)) / np.where(scale > 1e-9, scale, 1), -6, 6) @ w + phase) * np.sqrt(2 / features), np.ones((len(s), 1))])
+    penalty = np.full(features + 1, quality.RIDGE * len(y) / features)
+    penalty[-1] = 0
+    beta = np.linalg.solve(z(x).T @ z(x) + np.diag(penalty), z(x).T @ y)
+    bins = np.clip(np.floor((z(x) @ beta + 0.5) / 2 * quality.BINS), 0, quality.BINS - 1)
+    values = np.unique(bins)
+    hits, n = (np.array([f(bins == v) for v in values], float) for f in (lambda m: y[m].sum(), np.sum))
+    mean = lambda j, k: hits[j : k + 1].sum() / n[j : k + 1].sum()
+    level = [max(min(mean(j, k) for k in range(i, len(values))) for j in range(i + 1)) for i in range(len(values))]
+    middle = (values + 0.5) / quality.BINS * 2 - 0.5
+    knots = [(np.average(middle[[i for i in range(len(level)) if level[i] == v]], weights=n[[i for i in range(len(level)) if level[i] == v]]), v) for v in sorted(set(level))]
+    return np.clip(np.interp(z(stats) @ beta, *zip(*knots, strict=True)), 0, 1)
+
+
+def test_quality_scores_equal_closed_forms(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()}
+    learn = [labels.get(d["doc_id"]) if zlib.crc32(str(d["doc_id"]).encode()) % 5 else None for d in docs]
+    want = plain_quality([d["text"] for d in docs], learn)
+    got = quality.held_out_quality(spark.createDataFrame(docs).repartition(3), spark.createDataFrame(list(labels.items()), "doc_id long, quality int"))
+    score = {r["doc_id"]: r["score"] for r in got.collect()}
+    assert np.allclose([score[d["doc_id"]] for d in docs], want, atol=1e-6)
+
+
+def test_statistics_of_a_small_text():
+    row = dict(zip(quality.STATISTICS, quality.statistics(["Ab cd cd\nAB! 12"])[0], strict=True))
+    assert np.isclose(row["log_chars"], np.log(16)) and np.isclose(row["log_words"], np.log(6))
+    assert np.isclose(row["mean_word"], 11 / 5) and np.isclose(row["distinct_words"], 4 / 5) and np.isclose(row["top_word"], 2 / 5)
+    assert np.isclose(row["lower"], 5 / 15) and np.isclose(row["upper"], 3 / 15) and np.isclose(row["digits"], 2 / 15) and np.isclose(row["upper_words"], 1 / 5)
+    assert np.isclose(row["bare_words"], 1 / 5) and np.isclose(row["bang_words"], 1 / 5) and row["stop_lines"] == 0
