@@ -156,10 +156,15 @@ def combined(text: Column, filename: Column, chars: int = READ_CHARS) -> Column:
     return F.lower(F.concat(filename, F.lit(" "), F.substring(F.coalesce(text, F.lit("")), 1, chars)))
 
 
-def rule_match(rule: Rule, text: Column, filename: Column) -> Column:
-    place = {"filename": F.lower(filename), "text": F.lower(F.substring(F.coalesce(text, F.lit("")), 1, READ_CHARS))}.get(
-        rule.scope, combined(text, filename)
-    )
+def _places(text: Column, filename: Column) -> Column:
+    """Where rules look, by scope."""
+    body = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, READ_CHARS))
+    name = F.lower(filename)
+    return F.struct(name.alias("filename"), body.alias("text"), F.concat(name, F.lit(" "), body).alias("both"))
+
+
+def _hit(rule: Rule, places: Column) -> Column:
+    place = places[rule.scope if rule.scope in ("filename", "text") else "both"]
     any_of = lambda words: reduce(lambda a, b: a | b, (_found(place, k.lower(), edge_pattern(k.lower())) for k in words))
     hit = any_of(rule.keywords)
     if rule.also:
@@ -169,6 +174,15 @@ def rule_match(rule: Rule, text: Column, filename: Column) -> Column:
     return hit
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once a row, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def rule_match(rule: Rule, text: Column, filename: Column) -> Column:
+    return _bound(_places(text, filename), lambda p: _hit(rule, p))
+
+
 def first_rule(text: Column, filename: Column, rules: tuple[Rule, ...]) -> Column:
     """``struct(priority, category, subcategory)`` of the first rule that matches; null without one.
 
@@ -176,13 +190,17 @@ def first_rule(text: Column, filename: Column, rules: tuple[Rule, ...]) -> Colum
     """
     kind = "struct<priority:int,category:string,subcategory:string>"
     pick = lambda r: F.struct(F.lit(r.priority).alias("priority"), F.lit(r.category).alias("category"), F.lit(r.subcategory).cast("string").alias("subcategory"))
-    out = F.when(F.lit(False), F.lit(None).cast(kind))
-    for r in sorted(rules, key=lambda r: r.priority):
-        hit = rule_match(r, text, filename)
-        if r.overlay and (others := [a for a in rules if a.anchor and a.category != r.category]):
-            hit = hit & ~reduce(lambda a, b: a | b, (rule_match(a, text, filename) for a in others))
-        out = out.when(hit, pick(r))
-    return out
+
+    def chain(places: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast(kind))
+        for r in sorted(rules, key=lambda r: r.priority):
+            hit = _hit(r, places)
+            if r.overlay and (others := [a for a in rules if a.anchor and a.category != r.category]):
+                hit = hit & ~reduce(lambda a, b: a | b, (_hit(a, places) for a in others))
+            out = out.when(hit, pick(r))
+        return out
+
+    return _bound(_places(text, filename), chain)
 
 
 def entity_rows(dictionary: dict[str, list[dict]]) -> list[tuple[int, str, str, str, str]]:
@@ -201,7 +219,7 @@ def entity_hits(text: Column, dictionary: dict[str, list[dict]]) -> Column:
     """``array<struct(ordinal, domain, category, slug)>`` of the entities in a lowered text, letters and digits not touching.
 
     Spelling is literal: accents are not folded. The text falls into words once; a surface can only be
-    there if its first word is one of them, so few surfaces are looked for. The dictionary is a literal.
+    there if its longest word is one of them, so few surfaces are looked for. The dictionary is a literal.
     """
     rows = entity_rows(dictionary)
     kind = "array<struct<ordinal:int,domain:string,category:string,slug:string>>"
@@ -210,8 +228,8 @@ def entity_hits(text: Column, dictionary: dict[str, list[dict]]) -> Column:
     names = ("ordinal", "domain", "category", "slug", "surface", "pattern")
     by_word: dict[str, list[dict]] = {}
     for r in rows:
-        first = re.search(r"[^\W_]+", r[4])
-        by_word.setdefault(first[0] if first else "", []).append(dict(zip(names, (*r, f"{BEFORE}{re.escape(r[4])}{AFTER}"), strict=True)))
+        longest = max(re.findall(r"[^\W_]+", r[4]), key=len, default="")
+        by_word.setdefault(longest, []).append(dict(zip(names, (*r, f"{BEFORE}{re.escape(r[4])}{AFTER}"), strict=True)))
     fields = "ordinal:int,domain:string,category:string,slug:string,surface:string,pattern:string"
     index = F.from_json(F.lit(json.dumps(by_word)), f"map<string,array<struct<{fields}>>>")
     words = F.from_json(F.lit(json.dumps(sorted(by_word))), "array<string>")

@@ -7,6 +7,7 @@ term that many documents hold spreads over several files. Weights apply when sea
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,7 @@ POSTINGS = "term string, id long, column string, at array<int>"
 
 
 def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return (F.crc32(term.cast("binary")) % BUCKETS).cast("int")
 
 
 def seal(docs: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
@@ -66,7 +67,7 @@ def ensure(docs: DataFrame, path: str, weights: dict[str, float] = WEIGHTS) -> b
 def terms_of(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
     """``term, id, column, at`` of some words: their buckets and row groups are read, no others."""
     found = spark.read.schema(f"{POSTINGS}, bucket int").parquet(f"{path}/postings")
-    buckets = [r["b"] for r in spark.createDataFrame([(w,) for w in words], "w string").select(bucket_of(F.col("w")).alias("b")).distinct().collect()]
+    buckets = sorted({zlib.crc32(w.encode()) % BUCKETS for w in words})
     return found.where(F.col("bucket").isin(buckets) & F.col("term").isin(words)).drop("bucket")
 
 

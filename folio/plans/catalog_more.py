@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -325,11 +327,12 @@ def year_strings(spark, d):
 
 
 @query("""SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN replace(p_name, ' ', '_') WHEN 1 THEN replace(p_name, ' ', '_') WHEN 2 THEN 'general' ELSE 'general' END AS bare,
-upper(p_name[1]) || substr(p_name, 2, strpos(p_name, ' ') - 1) || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] AS title FROM part""")
+upper(p_name[1]) || substr(p_name, 2, strpos(p_name, ' ') - 1) || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] AS title, p_partkey % 2 = 0 AS echo FROM part""")
 def slug_functions(spark, d):
     slug = F.replace("p_name", S(" "), S("_"))
     dated = pick(_key(), F.concat(slug, S("_202301")), slug, "20230115", "2023_2024")
-    return table(spark, d, "part").select(_key().alias("id"), text.strip_date_tail(dated).alias("bare"), text.title_case(slug).alias("title"))
+    echo = text.is_filename_echo(slug, F.when(_key() % 2 == 0, F.concat(S("scan_"), slug, S(".pdf"))).otherwise("other.pdf"))
+    return table(spark, d, "part").select(_key().alias("id"), text.strip_date_tail(dated).alias("bare"), text.title_case(slug).alias("title"), echo.alias("echo"))
 
 
 @query("""SELECT p_partkey AS id, 'Facture ' || p_name AS title, 'facture-' || replace(p_name, ' ', '_') AS stem, 'facture,' || replace(p_name, ' ', ',') AS words, p_partkey % 3 = 1 OR p_partkey % 3 = 0 AS generic,
@@ -661,6 +664,41 @@ def patched_twice(spark, d):
     return ops.patch(rows, patches, order="n")
 
 
+# -- sources --------------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT 'src=' || source AS folder, 1 AS files, true AS sized FROM documents")
+def scanned_files(spark, d):
+    """A recursive scan that leaves out dot folders, duplicates, blocked files and an ignored subtree."""
+    base = f"{scratch_path(spark, 'scan')}/in"
+    load(spark, d).select(F.col("category").alias("src"), "title").repartition(1).write.partitionBy("src").parquet(base)
+    for folder in ("__duplicates", "__blocked_files/x", "out/src=src1"):
+        spark.range(1).coalesce(1).write.parquet(f"{base}/{folder}")
+    inside = F.regexp_replace(S(base), "^[a-z]+:/+", "/")
+    rows = files.list_files(spark, base, ("parquet",)).where(~paths.is_inside(F.col("path"), F.concat(inside, S("/out"))))
+    return rows.groupBy(F.regexp_extract("path", "/([^/]*)/[^/]*$", 1).alias("folder")).agg(F.count(F.lit(1)).cast("int").alias("files"), F.bool_and((F.col("size") > 0) & F.col("filename").endswith(".parquet")).alias("sized"))
+
+
+def _json_file(spark, value: dict) -> str:
+    path = f"{scratch_path(spark, 'source')}/json"
+    spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+@query("""SELECT * FROM (VALUES ('taxonomy', 'bank', 'x', 'X', 'y'), ('taxonomy', 'bank', 'x/z', 'Z', ''), ('entity', 'banks', 's', 'S', '0'), ('entity', 'banks', 's', 'T', '1'), ('entity', 'gov', 'g', 'G', '0'), ('overlay', 'bank', 'sub', 'ab1', 'filename'), ('setting', 'model', '', '9b', '')) AS t(kind, category, slug, name, more)""")
+def configuration_sources(spark, d):
+    """Taxonomy of two levels, entity dictionary, personal rules and settings, each from its file."""
+    taxonomy = {"categories": [{"id": "bank", "name": "B", "aliases": [], "subcategories": [{"id": "x", "name": "X", "aliases": ["y"], "subcategories": [{"id": "z", "name": "Z"}]}]}]}
+    entities = {"banks": [{"slug": "s", "name": "S", "aliases": ["T"]}], "gov": [{"slug": "g", "name": "G"}]}
+    overlay = {"priorityRules": [{"keywords": ["ab1"], "category": "bank", "subcategory": "sub", "scope": "filename"}]}
+    kind = lambda k, *c: [S(k).alias("kind"), *(x.alias(n) for x, n in zip(c, ("category", "slug", "name", "more"), strict=True))]
+    one = files.read_taxonomy(spark, _json_file(spark, taxonomy)).select(*kind("taxonomy", F.col("category"), F.col("slug"), F.col("name"), F.coalesce(F.array_join("aliases", ","), S(""))))
+    two = files.read_entities(spark, _json_file(spark, entities)).select(*kind("entity", F.col("domain"), F.col("slug"), F.col("surface"), text_of("ordinal")))
+    three = files.read_overlay(spark, _json_file(spark, overlay)).select(*kind("overlay", F.col("category"), F.col("subcategory"), F.col("keywords")[0], F.col("scope")))
+    four = files.read_settings(spark, _json_file(spark, {"model": "9b"})).select(*kind("setting", F.col("key"), S(""), F.col("value"), S("")))
+    return one.union(two).union(three).union(four)
+
+
 # -- streams and logs -----------------------------------------------------------------------------
 
 
