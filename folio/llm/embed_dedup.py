@@ -27,8 +27,6 @@ THRESHOLD = 0.93
 RECALL = 0.9995
 BUCKET = 64
 BLOCK = 1024
-#: a bucket's number as it travels
-KEY = "<u4"
 SEED = 20240630
 
 
@@ -60,7 +58,12 @@ def spanning_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def block_links(left: pa.Table, right: pa.Table | None, table: int, threshold: float):
+def key_kind(bits: int) -> str:
+    """A bucket's number as it travels."""
+    return "<u2" if bits <= 16 else "<u4"
+
+
+def block_links(left: pa.Table, right: pa.Table | None, table: int, threshold: float, kind: str):
     """Links of one block pair: for each row with one, the weight of its partners and its root."""
     both = left if right is None else pa.concat_tables([left, right]).combine_chunks()
     n, split = len(both), len(left)
@@ -75,7 +78,7 @@ def block_links(left: pa.Table, right: pa.Table | None, table: int, threshold: f
     if not len(i):
         return None
     mine = np.unique(np.concatenate([i, j]))
-    keys = np.frombuffer(b"".join(both.column("keys").take(pa.array(mine)).to_pylist()), KEY).reshape(len(mine), -1)
+    keys = np.frombuffer(b"".join(both.column("keys").take(pa.array(mine)).to_pylist()), kind).reshape(len(mine), -1)
     first = np.empty(len(i), np.int64)
     for at in range(0, len(i), 200_000):
         part = slice(at, at + 200_000)
@@ -110,6 +113,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, recall: floa
         "classes",
     )
     bits, tables = plan_tables(classes.count(), threshold, recall)
+    kind = key_kind(bits)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +121,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, recall: floa
             for size in np.unique(sizes):
                 part = batch.take(pa.array(np.flatnonzero(sizes == size)))
                 keys = signs(matrix(part.column("embedding")), bits, tables)
-                packed = pa.array([row.astype(KEY).tobytes() for row in keys], pa.binary())
+                packed = pa.array([row.astype(kind).tobytes() for row in keys], pa.binary())
                 listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, tables, dtype=np.int32), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("group"), packed, listed], names=["rep", "group", "keys", "buckets"])
 
@@ -147,9 +151,9 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, recall: floa
             parts = [rows.filter(pa.array(side == s)) for s in (0, 1, 2)]
             out = []
             if len(parts[0]) > 1:
-                out.append(block_links(parts[0], None, int(number), threshold))
+                out.append(block_links(parts[0], None, int(number), threshold, kind))
             if len(parts[1]) and len(parts[2]):
-                out.append(block_links(parts[1], parts[2], int(number), threshold))
+                out.append(block_links(parts[1], parts[2], int(number), threshold, kind))
             for found in out:
                 if found is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["rep", "links", "root"])

@@ -112,9 +112,13 @@ def encode_block(ids: np.ndarray, table: Table, lanes: int = LANES, segment_rows
 
 
 def decode_block(data: bytes, table: Table, first: int = 0, last: int | None = None) -> np.ndarray:
-    """Ids of segments ``first`` to ``last`` (all by default). Raises ValueError on any damage."""
+    """Ids of segments ``first`` to ``last`` (all by default). Raises ValueError on any damage.
+
+    The whole block's checksum is verified when all of it is decoded; from a checkpoint on, each segment's.
+    """
     magic, n, lanes, bits, segment_rows, segments, n_words, crc = HEADER.unpack_from(data)
-    if magic != MAGIC or zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
+    whole = first == 0 and last is None
+    if magic != MAGIC or whole and zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
         raise ValueError("damaged block")
     if crc != table.crc:
         raise ValueError("the block was written with another table")
@@ -296,6 +300,34 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """``doc_id, ids`` of some documents: only their blocks are read, and of these only their segments decoded."""
+    row = spark.read.parquet(f"{path}/table").first()
+    table = Table(np.frombuffer(row.symbols, "<u4"), np.frombuffer(row.freqs, "<u4").astype(np.int64), row.bits)
+    shared = spark.sparkContext.broadcast((table, frozenset(doc_ids)))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, wanted = shared.value
+        for batch in batches:
+            for k in range(batch.num_rows):
+                data, names = batch.column("payload")[k].as_py(), batch.column("doc_ids")[k].as_py()
+                ends = np.cumsum(batch.column("lengths")[k].as_py())
+                _, _, lanes, _, segment_rows, _, _, _ = HEADER.unpack_from(data)
+                size = lanes * segment_rows
+                found, ids = [], []
+                for i, name in enumerate(names):
+                    if name in wanted:
+                        low, high = int(ends[i - 1]) if i else 0, int(ends[i])
+                        first, last = low // size, -(-high // size)
+                        part = decode_block(data, table, first, last)
+                        found.append(name)
+                        ids.append(part[low - first * size : high - first * size].tobytes())
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(found, pa.int64()), "ids": pa.array(ids, pa.binary())})
+
+    blocks = spark.read.parquet(f"{path}/blocks").where(F.arrays_overlap("doc_ids", F.lit(list(doc_ids)).cast("array<bigint>")))
+    return blocks.select("doc_ids", "lengths", "payload").mapInArrow(decode, "doc_id long, ids binary")
+
+
 def token_file_digest(docs: DataFrame, tokenizer: str | None = None, path: str | None = None) -> DataFrame:
     """Write ``docs`` to a token file, read it back, and return ``doc_id, start, n_tokens, ids_crc32``."""
     spark = docs.sparkSession

@@ -185,6 +185,17 @@ def test_search(spark):
     assert hits >= 0.95 * 5 * 60
 
 
+def test_recall_of_a_shard_of_production_size():
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(hnsw.SHARD_ROWS, 64)).astype(np.float32)
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    found = hnsw.Index(points).search(points[:200], 6)
+    sims = points[:200] @ points.T
+    truth = np.argsort(-sims, axis=1)[:, :6]
+    hits = sum(len(set(found[i]) & set(truth[i])) for i in range(200)) - 200  # each finds itself
+    assert hits >= 0.9 * 5 * 200
+
+
 @pytest.mark.parametrize("seed", [4, 5])
 def test_search_by_cells(spark, seed):
     rows = vectors(seed, 2500)
