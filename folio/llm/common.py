@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,16 @@ def _file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+_holder: list = []
+
+
+def hold(name: str, release: Callable[[], None]) -> None:
+    """The caches of a worker process belong to one operator at a time: those of the one before go."""
+    if _holder and _holder[0] != name:
+        _holder[1]()
+    _holder[:] = [name, release]
+
+
 def documents_of(docs: DataFrame) -> DataFrame:
     """``doc_id`` long and ``text`` string of a document table, whatever else it holds."""
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.common import hold
 from folio.llm.word_tokens import slices
 
 DIMENSIONS = 1024
@@ -25,7 +26,7 @@ UNDETERMINED = "und"
 #: integer steps of one unit length: sums over partitions are then the same in any order
 STEPS = 1 << 20
 #: vectors kept of n-grams and of letters, n-grams that are bundled together, characters of a text that are
-GRAM_CACHE, LETTER_CACHE, GROUP, LONG = 60_000, 32_768, 16_384, 1_000_000
+GRAM_CACHE, LETTER_CACHE, GROUP, LONG = 40_000, 32_768, 8_192, 1_000_000
 
 _profilers: dict = {}
 
@@ -156,7 +157,7 @@ class Profiler:
             if len(some) < len(distinct):
                 here = (column >= low) & (column < low + GROUP)
                 mine, at = own[here], column[here] - low
-            step = max(1, 8_000_000 // len(some))
+            step = max(1, 4_000_000 // len(some))
             for i in range(0, n, step):  # counts of a few texts at a time, as a dense matrix
                 j = min(n, i + step)
                 a, b = np.searchsorted(mine, [i, j])
@@ -166,6 +167,7 @@ class Profiler:
 
 
 def profiler(dimensions: int, gram: int, seed: int) -> Profiler:
+    hold("language id", _profilers.clear)
     key = dimensions, gram, seed
     if key not in _profilers:
         _profilers[key] = Profiler(*key)

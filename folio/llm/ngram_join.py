@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import connected_components, documents_of, shuffle_partitions, staged, unstaged
+from folio.llm.common import connected_components, documents_of, hold, shuffle_partitions, staged, unstaged
 from folio.llm.embed_dedup import spanning_roots
 from folio.llm.vectors import groups
 from folio.llm.word_tokens import slices
@@ -63,7 +63,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text: A-Z lowered, words between white space, ``k`` words a shingle."""
-    if len(_words) > 500_000:
+    hold("n-grams", _words.clear)
+    if len(_words) > 400_000:
         _words.clear()
     split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
     sizes = np.array([len(w) for w in split], np.int64)

@@ -16,6 +16,8 @@ import re
 
 import numpy as np
 
+from folio.llm.common import hold
+
 END_ID = 1
 CACHE_CHUNKS = 400_000
 CACHE_WORDS = 1_200_000
@@ -117,6 +119,7 @@ class ChunkEncoder:
 
 def encoder(path: str) -> ChunkEncoder:
     """One per worker process and file."""
+    hold("word tokens", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = ChunkEncoder(path)
     return _encoders[path]
