@@ -148,6 +148,12 @@ def decode_block(data: bytes, table: Table, first: int = 0, last: int | None = N
     return np.concatenate(out) if out else np.empty(0, "<u4")
 
 
+def segment_ids(data: bytes) -> int:
+    """Ids between two checkpoints of a block."""
+    _, _, lanes, _, segment_rows, _, _, _ = HEADER.unpack_from(data)
+    return lanes * segment_rows
+
+
 def ordered_blocks(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Blocks of whole documents' ids in ascending ``doc_id`` order, not yet coded.
 
@@ -230,7 +236,7 @@ def token_counts(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows["id"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
-def write_token_file(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
+def write_token_file(docs: DataFrame, path: str, tokenizer: str | None = None, lanes: int = LANES, segment_rows: int = SEGMENT_ROWS) -> None:
     """Encode all documents and write ``path/table`` and ``path/blocks`` in ascending ``doc_id`` order.
 
     Null text counts as empty; a null ``doc_id`` sorts first; rows with equal ids keep a fixed order by
@@ -255,7 +261,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str | None = None) -
         for batch in batches:
             for k, ids in enumerate(_raw_ids(batch)):
                 one = batch.slice(k, 1)
-                payload = pa.array([encode_block(ids.astype("<u4"), shared.value)], pa.binary())
+                payload = pa.array([encode_block(ids.astype("<u4"), shared.value, lanes, segment_rows)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*one.columns[:-1], payload], names=one.schema.names)
 
     raw.mapInArrow(code, BLOCK_ROW).write.option("compression", "none").parquet(f"{path}/blocks")
@@ -312,8 +318,7 @@ def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFr
             for k in range(batch.num_rows):
                 data, names = batch.column("payload")[k].as_py(), batch.column("doc_ids")[k].as_py()
                 ends = np.cumsum(batch.column("lengths")[k].as_py())
-                _, _, lanes, _, segment_rows, _, _, _ = HEADER.unpack_from(data)
-                size = lanes * segment_rows
+                size = segment_ids(data)
                 found, ids = [], []
                 for i, name in enumerate(names):
                     if name in wanted:
