@@ -17,13 +17,18 @@ def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    files, at = _file_system(df.sparkSession, path)
-    files.deleteOnExit(at)
+    gone_with_driver(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
 
 
+def gone_with_driver(spark: SparkSession, path: str) -> None:
+    """Have what lies at ``path`` deleted when the driver ends."""
+    files, at = _file_system(spark, path)
+    files.deleteOnExit(at)
+
+
 def unstaged(*tables: DataFrame) -> None:
     """Delete staged tables whose last reader has been written itself."""
     for table in tables:

@@ -70,6 +70,24 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.importance import importance_ranks
+
+    return importance_ranks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("key")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.spelling import spelling_variants
+
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folio.llm.chat_format import formatted_digest
+
+    return formatted_digest(read_table(spark, sf_dir, "conversations"))
+
+
 OPERATORS = (
     op1_rans_token_file,
     op2_sentencepiece_viterbi,
@@ -81,6 +99,9 @@ OPERATORS = (
     op8_best_fit_packing,
     op9_embedding_near_dedup,
     op10_quality_classifier,
+    op11_importance_resampling,
+    op12_spelling_variants,
+    op13_chat_formatting,
 )
 
 
