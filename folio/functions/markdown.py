@@ -70,11 +70,30 @@ def table_audit(text: Column) -> Column:
     return F.aggregate(ended, zero, step, lambda s: F.struct(*(s[n].alias(n) for n in ("blocks", "rows", "ragged", "headerless", "wide"))))
 
 
-def open_header(text: Column) -> Column:
-    """First line of the table that is still open at the end of a chunk, else null."""
-    start = F.struct(F.lit(None).cast("string").alias("header"), F.lit(False).alias("inside"))
-    step = lambda s, line: F.when(line.rlike(PIPE_LINE), F.struct(F.when(s["inside"], s["header"]).otherwise(line).alias("header"), F.lit(True).alias("inside"))).otherwise(start)
-    return F.aggregate(lines_of(text), start, step)["header"]
+def open_header(text: Column, carried: Column | None = None) -> Column:
+    """Header of the table that is still open at the end of a chunk, else null.
+
+    The last line that isn't blank must be a data row, with a header and its separator above it in the same block
+    of lines; or the whole chunk is rows that go on with a table whose header was ``carried`` to it.
+    """
+    lines = lines_of(trimmed(F.coalesce(text, F.lit(""))))
+    none, start = F.lit(None).cast("string"), carried if carried is not None else F.lit(None).cast("string")
+    zero = F.struct(none.alias("first"), F.lit(0).alias("n"), F.lit(False).alias("ruled"), F.lit(False).alias("data"), start.alias("handed"))
+
+    def step(s: Column, line: Column) -> Column:
+        pipe = line.rlike(PIPE_LINE)
+        rule = pipe & line.rlike(SEPARATOR)
+        n = F.when(pipe, s["n"] + 1).otherwise(0)
+        return F.struct(
+            F.when(~pipe, none).when(s["n"] == 0, line).otherwise(s["first"]).alias("first"),
+            n.alias("n"),
+            (pipe & (s["ruled"] | (rule & (s["n"] == 1)))).alias("ruled"),
+            (pipe & ~rule).alias("data"),
+            F.when(pipe, s["handed"]).alias("handed"),
+        )
+
+    end = F.aggregate(lines, zero, step)
+    return F.when(end["data"] & end["ruled"] & (end["n"] > 2), end["first"]).when(end["data"] & ~end["ruled"], end["handed"])
 
 
 def quote_charts(text: Column, cells: int = 14) -> Column:
@@ -90,8 +109,15 @@ def quote_charts(text: Column, cells: int = 14) -> Column:
 
 
 def handed_headers(chunks: Column) -> Column:
-    """For each chunk the header of the table that the chunk before it leaves open, else null."""
-    return F.transform(chunks, lambda c, i: F.when((i > 0) & c.rlike(r"^\s*\|"), open_header(F.get(chunks, i - 1))))
+    """For each chunk that begins with a row the header of the table that the chunks before it leave open, else null."""
+    none = F.lit(None).cast("string")
+    zero = F.struct(F.array().cast("array<string>").alias("out"), none.alias("header"))
+
+    def step(s: Column, chunk: Column) -> Column:
+        handed = F.when(chunk.rlike(r"^\s*\|"), s["header"])
+        return F.struct(F.concat(s["out"], F.array(handed)).alias("out"), open_header(chunk, handed).alias("header"))
+
+    return F.aggregate(chunks, zero, step)["out"]
 
 
 def to_html(text: Column) -> Column:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.paths import basename, canonical_path, extension, is_inside, suffixed
+from folio.functions.paths import basename, canonical_path, extension, is_inside
 from folio.functions.text import is_forbidden, is_year, natural_key, normalize_slug, path_title, trimmed
+from folio.operators.ordering import numbered
+from folio.session import staged
 
 # -- filters and projections ---------------------------------------------------------------------
 
@@ -83,19 +86,50 @@ def first_of_batch(incoming: DataFrame, order: str = "path") -> DataFrame:
     return joined.withColumn("copy_of", F.when(F.col("id") != F.col("first"), F.col("first"))).select(*incoming.columns, "copy_of")
 
 
-def collision_names(docs: DataFrame, name: str = "filename", mark: str = "_dup") -> DataFrame:
-    """Unique target names: the second file of a name gets ``_dup1`` and so on, by id."""
-    n = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy("id"))
-    return docs.withColumn("target", suffixed(F.col(name), n, mark))
+def free_names(docs: DataFrame, name: str, order: str = "id", occupied: DataFrame | None = None, mark: str = "_dup", out: str = "target") -> DataFrame:
+    """``docs`` with unique names in ``out``, none of them in ``occupied(name)``; case does not tell names apart.
+
+    The first row of a name that nobody has keeps it. Every other one gets ``mark`` and the smallest number from 1
+    that is free: neither an occupied name nor one that a row keeps has it, and the rows of a stem take the free
+    numbers in their order. A number after the last mark belongs to one stem only, so two stems never meet. Null
+    names stay null. No stem's rows meet in one task: numbers come from ranges of the order.
+    """
+    columns = docs.columns
+    key = F.lower(F.col(name))
+    rows = numbered(docs.withColumn("__key", key), ["__key"], [order, name], "__n")
+    taken = (occupied.select(F.lower("name").alias("__key")) if occupied is not None else rows.select("__key").limit(0)).where("__key is not null").distinct()
+    rows = staged(rows.join(taken.withColumn("__taken", F.lit(True)), "__key", "left"), "names")
+    keeps = F.col("__key").isNull() | ((F.col("__n") == 1) & F.col("__taken").isNull())
+    stem = F.regexp_replace("__key", r"\.[^./]*$", "")
+    ending = F.regexp_extract("__key", r"(\.[^./]*)$", 1)
+    moved = rows.where(~keeps).withColumns({"__stem": stem, "__end": ending})
+    moved = numbered(moved, ["__stem", "__end"], ["__key", "__n"], "__j")
+    # numbers in use, of the stems in question
+    used = rows.where(keeps).select("__key").union(taken).where("__key is not null")
+    pattern = rf"^(.*){re.escape(mark.lower())}([1-9][0-9]{{0,17}})(\.[^./]*)?$"
+    parsed = used.where(F.col("__key").rlike(pattern)).select(
+        F.regexp_extract("__key", pattern, 1).alias("__stem"), F.regexp_extract("__key", pattern, 3).alias("__end"), F.regexp_extract("__key", pattern, 2).cast("long").alias("__u")
+    )
+    parsed = parsed.distinct().join(moved.select("__stem", "__end").distinct(), ["__stem", "__end"], "left_semi")
+    # the i-th used number u has u - i free ones before it: it pushes on the requests beyond those
+    gaps = numbered(parsed, ["__stem", "__end"], ["__u"], "__i").select("__stem", "__end", (F.col("__u") - F.col("__i")).alias("__j"), F.lit(1).alias("__used"))
+    both = moved.withColumn("__used", F.lit(0)).unionByName(gaps, allowMissingColumns=True)
+    placed = numbered(both, ["__stem", "__end"], ["__j", "__used"], "__k").where("__used = 0")
+    fresh = F.concat(F.regexp_replace(name, r"\.[^./]*$", ""), F.lit(mark), F.col("__k").cast("string"), F.regexp_extract(name, r"(\.[^./]*)$", 1))
+    return rows.where(keeps).select(*columns, F.col(name).alias(out)).unionByName(placed.select(*columns, fresh.alias(out)))
+
+
+def collision_names(docs: DataFrame, name: str = "filename", mark: str = "_dup", occupied: DataFrame | None = None) -> DataFrame:
+    """Unique target names: the second file of a name gets ``_dup1``, or the next number that is free, and so on, by id."""
+    return free_names(docs, name, "id", occupied, mark)
 
 
 def without_overwrite(moves: DataFrame, files: DataFrame, at: Column) -> DataFrame:
-    """``moves(id, target)`` to ``placed``: a target that a file already has gets a time suffix, and the second move to one place a number."""
+    """``moves(id, target)`` to ``placed``: a target that a file already has gets a time suffix, and what then meets another move or file a number."""
     taken = files.select(F.lower("path").alias("__t"), F.lit(True).alias("__taken")).distinct()
     stamped = F.concat(F.regexp_replace("target", r"\.[^./]*$", ""), F.lit("_"), F.date_format(at, "yyyyMMddHHmmss"), F.regexp_extract("target", r"(\.[^./]*)$", 1))
-    marked = moves.withColumn("__t", F.lower("target")).join(taken, "__t", "left").withColumn("placed", F.when(F.col("__taken"), stamped).otherwise(F.col("target")))
-    n = F.row_number().over(Window.partitionBy(F.lower("placed")).orderBy("id"))
-    return marked.withColumn("placed", suffixed(F.col("placed"), n, "_")).drop("__t", "__taken")
+    marked = moves.withColumn("__t", F.lower("target")).join(taken, "__t", "left").withColumn("__wanted", F.when(F.col("__taken"), stamped).otherwise(F.col("target")))
+    return free_names(marked.drop("__t", "__taken"), "__wanted", "id", files.select(F.col("path").alias("name")), "_", "placed").drop("__wanted")
 
 
 # -- counts --------------------------------------------------------------------------------------

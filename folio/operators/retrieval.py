@@ -8,6 +8,8 @@ with a hit) are one aggregated row.
 
 from __future__ import annotations
 
+import math
+import warnings
 from collections.abc import Callable
 from functools import reduce
 
@@ -190,12 +192,31 @@ def dedupe_by_period(docs: DataFrame) -> DataFrame:
 def rerank(hits: DataFrame, limit: int, least: float = 0.15, reranker: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Candidates (``id, score, rank``) by a reranker's ``relevance``; below ``least`` they go, equals keep their rank.
 
-    Without a reranker the order stays. Fetch ``over_fetch(limit)`` candidates for it.
+    ``over_fetch(limit)`` candidates are scored, so their scores fit the driver. Without a reranker the order
+    stays, and so it does, with a warning, if the reranker fails at any point or doesn't give each candidate one
+    number.
     """
-    scored = reranker(hits) if reranker else hits.withColumn("relevance", F.lit(1.0))
+    first = hits.orderBy("rank").limit(over_fetch(limit))
+    scores = _relevance(first, reranker) if reranker else None
+    if scores is None:
+        return first.withColumn("relevance", F.lit(1.0)).orderBy("rank").limit(limit)
+    scored = first.join(F.broadcast(hits.sparkSession.createDataFrame(scores, f"id {dict(hits.dtypes)['id']}, relevance double")), "id")
     return scored.where(F.col("relevance") >= least).orderBy(F.col("relevance").desc(), "rank").limit(limit)
 
 
+def _relevance(candidates: DataFrame, reranker: Callable[[DataFrame], DataFrame]) -> list[tuple] | None:
+    """One finite number a candidate, or None if the reranker can't give them."""
+    try:
+        rows = [(r["id"], r["relevance"]) for r in reranker(candidates).select("id", "relevance").collect()]
+        wanted = [r["id"] for r in candidates.select("id").collect()]
+        if sorted(i for i, _ in rows) != sorted(wanted) or not all(x is not None and math.isfinite(x) for _, x in rows):
+            raise ValueError("not one score a candidate")
+        return [(i, float(x)) for i, x in rows]
+    except Exception as e:  # noqa: BLE001  a reranker may fail in any way, here or in its tasks; the order found stays
+        warnings.warn(f"reranker failed, the order stays: {e}", stacklevel=3)
+        return None
+
+
 def over_fetch(limit: int) -> int:
     return max(3 * limit, 30)
 

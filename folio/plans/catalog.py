@@ -12,7 +12,7 @@ from folio.operators import registry_ops as ops
 from folio.operators import retrieval, rules, search_index
 from folio.plans.query import StructuredQuery
 from folio.registry import REGISTRY_SQL, TODAY, load, registry
-from folio.session import scratch_path
+from folio.session import scratch_folder
 from folio.streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,7 +132,7 @@ def dedupe_batch(spark, d):
 SELECT doc_id AS id, name, row_number() OVER (PARTITION BY lower(name) ORDER BY doc_id) AS n FROM (SELECT doc_id, source || '_' || lang || '.pdf' AS name FROM documents))""")
 def name_collisions(spark, d):
     docs = load(spark, d).withColumn("filename", F.concat("category", F.lit("_"), "subcategory", F.lit(".pdf")))
-    return ops.collision_names(docs).select("id", "target")
+    return ops.collision_names(docs.select("id", "filename")).select("id", "target")
 
 
 @query("""WITH {reg}, n AS (SELECT id, CASE WHEN id % 10 < 8 THEN checksum END AS checksum FROM reg), t AS (SELECT * FROM n WHERE id % 2 = 0),
@@ -251,7 +251,7 @@ _indexes: dict[tuple[str, str], str] = {}
 def index(spark: SparkSession, sf_dir: str) -> str:
     """Path of the documents' search index, one per application and folder; built when it is missing or has drifted."""
     key = spark.sparkContext.applicationId, sf_dir
-    path = _indexes.setdefault(key, scratch_path(spark, "index"))
+    path = _indexes.setdefault(key, scratch_folder(spark, "index"))
     search_index.ensure(load(spark, sf_dir), path)
     return path
 
@@ -599,7 +599,7 @@ def stream_ingest(spark, d):
     """The documents as a stream of files into a fresh registry; then how many events had each status."""
     source = f"{d}/documents.parque[t]"  # a pattern, since a stream takes no single file
     stream = registry(spark.readStream.schema(table(spark, d, "documents").schema).parquet(source)).select("id", "path", "filename", "raw_text")
-    base = scratch_path(spark, "stream")
+    base = scratch_folder(spark, "stream")
     ingest(stream, f"{base}/registry", f"{base}/events", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/events").where("id is not null").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 

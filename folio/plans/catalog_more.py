@@ -13,8 +13,8 @@ from folio.operators import retrieval, rules, search_index
 from folio.plans.catalog import _DICTIONARY, _TAXONOMY_SQL, _taxonomy, index, load, now, query, table
 from folio.plans.query import StructuredQuery, limit_of, match_text, plan, plan_with, relaxed
 from folio.registry import TODAY
-from folio.session import scratch_path
-from folio.sources import files
+from folio.session import scratch_folder
+from folio.sources import files, versions
 from folio.streaming import ingest as streams
 
 S = lambda v: F.lit(v)
@@ -588,7 +588,7 @@ def package_names(spark, d):
 @query("WITH {reg} SELECT id, category, title FROM reg WHERE lower(category) = 'src3' AND lower(subcategory) = 'fr'")
 def csv_export(spark, d):
     """Filtered rows written as CSV and read back."""
-    path = f"{scratch_path(spark, 'export')}/csv"
+    path = f"{scratch_folder(spark, 'export')}/csv"
     files.write_csv(load(spark, d).select("id", "category", "subcategory", "title", "tags"), path, category="SRC3", subcategory="FR")
     rows = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
     first = rows.columns[0]
@@ -597,7 +597,7 @@ def csv_export(spark, d):
 
 @query("WITH {reg}, n AS (SELECT id, category, regexp_replace(title, '[\\\\/:*?\"<>|\\s]+', '_', 'g') AS name, count(*) OVER (PARTITION BY lower(title)) AS k, raw_text FROM (SELECT id, category, title[1:12] AS title, raw_text FROM reg)) SELECT category, CASE WHEN k > 1 THEN name || '_' || id ELSE name END || '.md' AS name, length(raw_text) AS size FROM n")
 def markdown_export(spark, d):
-    path = f"{scratch_path(spark, 'export')}/md"
+    path = f"{scratch_folder(spark, 'export')}/md"
     files.write_markdown(load(spark, d).withColumn("title", F.substring("title", 1, 12)), path)
     return spark.read.parquet(path).select("category", "name", F.length("body").alias("size"))
 
@@ -605,12 +605,13 @@ def markdown_export(spark, d):
 @query("WITH {reg} SELECT id, title, (SELECT count(*) FROM reg) AS total_count FROM reg")
 def registry_mirror(spark, d):
     """The JSON mirror, written twice over itself, and its envelope."""
-    path = f"{scratch_path(spark, 'export')}/mirror"
+    path = f"{scratch_folder(spark, 'export')}/mirror"
     docs = load(spark, d).select("id", "title")
     files.write_registry(docs.limit(1), path, TODAY)
     files.write_registry(docs, path, TODAY)
-    total = spark.read.json(f"{path}/envelope").select("total_count")
-    return spark.read.schema("id long, title string").json(f"{path}/documents").crossJoin(total)  # one row
+    now_at = versions.current(spark, path)
+    total = spark.read.json(f"{now_at}/envelope").select("total_count")
+    return spark.read.schema("id long, title string").json(f"{now_at}/documents").crossJoin(total)  # one row
 
 
 @query("""WITH {reg}, s AS (SELECT count(*) AS documents, CAST(sum(strlen(raw_text)) AS BIGINT) AS text_bytes FROM reg) SELECT documents, text_bytes, (SELECT count(*) FROM orders) AS files, (SELECT CAST(sum(o_orderkey) AS BIGINT) FROM orders) AS bytes, 2 AS formats FROM s""")
@@ -670,7 +671,7 @@ def patched_twice(spark, d):
 @query("SELECT DISTINCT 'src=' || source AS folder, 1 AS files, true AS sized FROM documents")
 def scanned_files(spark, d):
     """A recursive scan that leaves out dot folders, duplicates, blocked files and an ignored subtree."""
-    base = f"{scratch_path(spark, 'scan')}/in"
+    base = f"{scratch_folder(spark, 'scan')}/in"
     load(spark, d).select(F.col("category").alias("src"), "title").repartition(1).write.partitionBy("src").parquet(base)
     for folder in ("__duplicates", "__blocked_files/x", "out/src=src1"):
         spark.range(1).coalesce(1).write.parquet(f"{base}/{folder}")
@@ -680,7 +681,7 @@ def scanned_files(spark, d):
 
 
 def _json_file(spark, value: dict) -> str:
-    path = f"{scratch_path(spark, 'source')}/json"
+    path = f"{scratch_folder(spark, 'source')}/json"
     spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.text(path)
     return path
 
@@ -707,11 +708,11 @@ s AS (SELECT CASE WHEN skipped THEN 'SKIPPED' WHEN blocked THEN 'BLOCKED' WHEN r
 SELECT CASE WHEN status = 'MOVED' THEN 'FILE_COMPLETED' ELSE 'FILE_FAILED' END AS type, status, count(*) AS n FROM s GROUP BY 1, 2 UNION ALL SELECT t, NULL, 1 FROM (SELECT unnest(['TASK_STARTED', 'SCAN_STARTED', 'SCAN_COMPLETED', 'TASK_FINISHED', 'REGISTRY_UPDATED', 'DOCUMENTS_UPDATED']) AS t)""")
 def stream_events(spark, d):
     """A scan as a stream: files in the cache are skipped, and every event that the scan sends."""
-    base = scratch_path(spark, "stream")
+    base = scratch_folder(spark, "stream")
     docs = load(spark, d).select("id", "path", "filename", "raw_text", F.col("id").cast("double").alias("mtime_ms"), F.col("size").cast("long").alias("size"))
     docs.coalesce(1).write.parquet(f"{base}/in")
     cached = docs.where("id % 4 in (1, 2)").select(F.col("path").alias("original_path"), F.when(F.col("id") % 4 == 2, F.col("mtime_ms") - 1).otherwise(F.col("mtime_ms")).alias("mtime_ms"), "size")
-    cached.write.parquet(f"{base}/blocked/batch=-1")
+    cached.write.parquet(f"{base}/blocked/writer=earlier/batch=0")
     source = spark.readStream.schema(docs.schema).parquet(f"{base}/in")
     streams.ingest(source, f"{base}/registry", f"{base}/events", f"{base}/checkpoint", blocked_path=f"{base}/blocked").awaitTermination()
     return spark.read.parquet(f"{base}/events").groupBy("type", "status").agg(F.count(F.lit(1)).alias("n"))

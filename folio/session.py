@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: dict[str, str] = {}
 
@@ -36,3 +36,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="folio-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/folio-{name}-{uuid.uuid4().hex}"
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh empty folder in the shared one; it goes with the driver."""
+    path = scratch_path(spark, name)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: what is read again stays the same."""
+    path = f"{scratch_folder(df.sparkSession, name)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions.paths import basename, is_inside
-from folio.operators.registry_ops import list_filter
+from folio.operators.registry_ops import free_names, list_filter
 from folio.schema import DECISIONS, conform
+from folio.sources import versions
 
 IMAGES = ("png", "jpg", "jpeg", "webp", "bmp", "tiff")
 
@@ -92,21 +90,6 @@ def read_settings(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode("m").alias("key", "value"))
 
 
-def replaced(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
-    """Write beside ``path``, then rename over it, so that a reader sees the old table or the new one whole."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    fresh, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
-    write(fresh)
-    target = hadoop.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.rename(target, hadoop.Path(old))
-    if not fs.rename(hadoop.Path(fresh), target):
-        raise OSError(f"{fresh} could not be renamed")
-    if fs.exists(hadoop.Path(old)):
-        fs.delete(hadoop.Path(old), True)
-
-
 def write_csv(df: DataFrame, path: str, q: str = "", category: str = "", subcategory: str = "") -> None:
     """CSV of the rows that a list filter leaves, with a header whose first name carries the byte order mark that spreadsheets look for."""
     df = list_filter(df, q, category, subcategory)
@@ -116,18 +99,30 @@ def write_csv(df: DataFrame, path: str, q: str = "", category: str = "", subcate
 
 
 def write_registry(df: DataFrame, path: str, updated_at: str) -> None:
-    """The registry as JSON lines in parts and one row of envelope beside them, put in place as a whole."""
+    """The registry as JSON lines in parts and one row of envelope beside them, published as one version.
+
+    ``versions.current`` tells readers where the version that they begin with lies.
+    """
 
     def write(to: str) -> None:
         df.write.json(f"{to}/documents")
         df.agg(F.lit(updated_at).alias("updated_at"), F.count(F.lit(1)).alias("total_count")).coalesce(1).write.json(f"{to}/envelope")
 
-    replaced(df.sparkSession, path, write)
+    versions.publish(df.sparkSession, path, write)
+
+
+def markdown_names(df: DataFrame) -> DataFrame:
+    """``df`` with a file ``name`` a row from its title: unique whatever case and signs, by document id and, where that is taken, a number."""
+    base = df.withColumn("__base", F.regexp_replace(F.coalesce("title", F.lit("")), r'[\\/:*?"<>|\s]+', "_"))
+    many = base.groupBy(F.lower("__base").alias("__key")).agg(F.count(F.lit(1)).alias("__own"))
+    own = base.withColumn("__key", F.lower("__base")).join(many, "__key")
+    wanted = F.when(F.col("__own") > 1, F.concat_ws("_", "__base", F.col("id").cast("string"))).otherwise(F.col("__base"))
+    # of equal names the row whose title it is comes first
+    own = own.withColumn("__wanted", F.concat(wanted, F.lit(".md"))).withColumn("__order", F.struct(F.col("__own") > 1, F.col("id")))
+    return free_names(own, "__wanted", "__order", None, "_", "name").drop("__base", "__key", "__own", "__wanted", "__order")
 
 
 def write_markdown(df: DataFrame, path: str) -> None:
-    """One Markdown file's name and body a row, names unique by document id, partitioned by category."""
-    own = F.count(F.lit(1)).over(Window.partitionBy(F.lower("title")))
-    name = F.regexp_replace("title", r'[\\/:*?"<>|\s]+', "_")
-    named = df.withColumn("name", F.when(own > 1, F.concat(name, F.lit("_"), F.col("id").cast("string"))).otherwise(name))
-    named.select("category", F.concat("name", F.lit(".md")).alias("name"), F.col("raw_text").alias("body")).write.mode("overwrite").partitionBy("category").parquet(path)
+    """One Markdown file's name and body a row, partitioned by category."""
+    named = markdown_names(df.select("id", "title", "category", "raw_text"))
+    named.select("category", "name", F.col("raw_text").alias("body")).write.mode("overwrite").partitionBy("category").parquet(path)

@@ -135,7 +135,14 @@ def test_markdown_tables(value):
     fixed = value(markdown.fix_tables(F.lit(bare)))
     assert fixed == "a\n| x | y |\n| --- | --- |\n| 1 | 2 |\nb" and value(markdown.fix_tables(F.lit(fixed))) == fixed
     assert tuple(value(markdown.table_audit(F.lit("| a | b |\n| --- | --- |\n| 1 |\n\n| h |\n| 2 |")))) == (2, 4, 1, 1, 0)
-    assert value(markdown.open_header(F.lit("x\n| a |\n| b |"))) == "| a |" and value(markdown.open_header(F.lit("| a |\nx"))) is None
+    opened = lambda text: value(markdown.open_header(F.lit(text)))
+    assert opened("x\n| a |\n|---|\n| b |\n\n") == "| a |" and opened("| a |\n|---|\n| b |\nx") is None
+    assert opened("x\n| a |\n| b |") is None and opened("| a |\n|---|") is None and opened("| a |\n|---|\n| b |\n\n| c |") is None
+    handed = lambda *chunks: value(markdown.handed_headers(F.array(*map(F.lit, chunks))))
+    assert handed("t\n| a |\n|---|\n| 1 |", "| 2 |\n| 3 |\n", "\n| 4 |\nend", "| 5 |") == [None, "| a |", "| a |", None]
+    assert handed("t\n| a |\n| 1 |", "| 2 |", "| 3 |") == [None, None, None]
+    assert handed("| a |\n|---|\n| 1 |", "| b |\n|---|\n| 2 |", "| 3 |") == [None, "| a |", "| b |"]
+    assert handed("| a |\n|---|\n| 1 |", "text\n| 2 |", "| 3 |") == [None, None, None]
     wide = "|" + " x |" * 14
     assert value(markdown.quote_charts(F.lit(f"{wide}\n| 1 |\nz"))) == f"> {wide}\n> | 1 |\nz"
     assert value(markdown.join_chunks(F.array(F.lit("| a |"), F.lit("| b |"), F.lit("t")))) == "| a |\n| b |\n\nt"

@@ -1,12 +1,12 @@
 """No operator loses or multiplies rows: null contents, repeated keys, missing tables; and the stored search index."""
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from folio.operators import registry_ops as ops
 from folio.operators import retrieval, search_index
 from folio.plans.query import StructuredQuery
+from folio.sources import versions
 from folio.streaming import ingest as streams
 
 FILES = "id long, path string, filename string, raw_text string"
@@ -82,10 +82,18 @@ def test_one_scan_at_a_time(spark, tmp_path):
 
 def test_only_a_missing_registry_counts_as_empty(spark, tmp_path):
     assert streams.known_checksums(spark, str(tmp_path / "none")).count() == 0
-    (tmp_path / "batch=0").mkdir()
-    (tmp_path / "batch=0" / "part-0.parquet").write_text("not parquet")
-    with pytest.raises(PySparkException):
+    name, buckets = versions.write_files(spark.createDataFrame([("x",)], "checksum string"), str(tmp_path), "checksum")
+    versions.commit(spark, str(tmp_path), versions.State(), {(name, b) for b in buckets})
+    assert streams.known_checksums(spark, str(tmp_path)).count() == 1
+    for part in tmp_path.glob("commit=*/*/part-*"):
+        part.write_text("not parquet")
+    for crc in tmp_path.glob("commit=*/*/.*.crc"):
+        crc.unlink()
+    with pytest.raises(Exception, match="not a Parquet file"):
         streams.known_checksums(spark, str(tmp_path)).collect()
+    (tmp_path / "_manifest" / "0000000001").write_text("{")
+    with pytest.raises(ValueError):
+        streams.known_checksums(spark, str(tmp_path))
 
 
 @pytest.mark.parametrize(

@@ -1,6 +1,7 @@
 """Requests, their compilation and ranked retrieval."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from folio.operators import retrieval
 from folio.plans.query import StructuredQuery, ladder, limit_of, match_text, plan, plan_with, relaxed, requested_count
@@ -96,3 +97,20 @@ def test_relaxation_and_fallback(docs):
 def test_periods(docs):
     assert sorted(ids(retrieval.dedupe_by_period(docs))) == [2, 3, 4]
     assert retrieval.regressed({"mrr": 0.5}, {"mrr": 0.502}) == ["mrr"] and not retrieval.regressed({"mrr": 0.5}, {"mrr": 0.5005})
+
+
+def test_a_failing_reranker_keeps_the_order(spark):
+    hits = spark.createDataFrame([(i, 1.0 / i, i) for i in range(1, 41)], "id long, score double, rank int")
+    ids = lambda reranker: [r["id"] for r in retrieval.rerank(hits, 5, reranker=reranker).collect()]
+
+    def raises(h):
+        raise RuntimeError("no answer")
+
+    fails_later = lambda h: h.withColumn("relevance", F.raise_error(F.lit("no answer")).cast("double"))
+    too_few = lambda h: h.where("id > 3").withColumn("relevance", F.lit(0.9))
+    no_numbers = lambda h: h.withColumn("relevance", F.when(F.col("id") != 2, F.lit(0.5)))
+    for broken in (raises, fails_later, too_few, no_numbers, lambda h: h):
+        with pytest.warns(UserWarning, match="the order stays"):
+            assert ids(broken) == [1, 2, 3, 4, 5]
+    assert ids(lambda h: h.withColumn("relevance", F.col("id") / 100.0)) == [30, 29, 28, 27, 26]
+    assert ids(lambda h: h.withColumn("relevance", F.lit(0.1))) == [] and ids(None) == [1, 2, 3, 4, 5]
