@@ -3,8 +3,8 @@
 A word's mask has a bit a letter, set when the letter stands in it an odd number of times. One inserted, deleted
 or replaced letter flips two bits at most, so of three bands one stays equal. Letters are dealt to the bands in
 turn by how often they occur, so that no band is emptier than the others. Words meet on an equal band, equal or
-neighbouring lengths, and an equal first or last letter, since one edit leaves one of the two alone; a pair counts
-in the first band and at the first end that it shares, so none is met twice.
+neighbouring lengths, and an equal first or last half of the shorter one, since one edit leaves one of the two
+alone; a pair counts in the first band and at the first end that it shares, so none is met twice.
 """
 
 from __future__ import annotations
@@ -78,21 +78,32 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """
     places = letter_places(words)
     masks = words.select("word", "n", F.length("word").alias("len"), *(m.alias(f"m{b}") for b, m in enumerate(parity_bands(F.col("word"), places))))
-    masks = staged(masks.withColumns({"e0": F.substring("word", 1, 1), "e1": F.substring("word", -1, 1)}), "masks")
-    spots = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.lit(e).alias("end"), F.col(f"m{b}").alias("value"), F.col(f"e{e}").alias("letter")) for b in range(BANDS) for e in (0, 1))))
-    columns = ["word", "n", "len", *(f"m{b}" for b in range(BANDS)), "e0"]
-    keys = ["band", "end", "value", "letter", "size"]
-    short = masks.withColumn("spot", spots).select("spot.*", F.col("len").alias("size"), *columns)
-    long_ = masks.withColumn("spot", spots).withColumn("size", F.explode(F.array(F.col("len"), F.col("len") - 1))).select("spot.*", "size", *columns)
-    x, y = short.alias("x"), long_.alias("y")
+    masks = staged(masks, "masks")
+    spots = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.lit(e).alias("end"), F.col(f"m{b}").alias("value")) for b in range(BANDS) for e in (0, 1))))
+    columns = ["word", "n", "len", *(f"m{b}" for b in range(BANDS))]
+    keys = ["size", "end", "half", "band", "value"]
+    # ``size`` is the shorter word's length: the longer one looks for both that it may meet
+    half = F.when(F.col("end") == 0, F.col("word").substr(F.lit(1), F.floor(F.col("size") / 2).cast("int"))).otherwise(
+        F.col("word").substr((-F.floor(F.col("size") / 2)).cast("int"), F.col("size"))
+    )
+
+    def spread(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("spot", spots).select("spot.*", "size", *columns).withColumn("half", half)
+
+    x = spread(masks.withColumn("size", F.col("len"))).alias("x")
+    y = spread(masks.withColumn("size", F.explode(F.array(F.col("len"), F.col("len") - 1)))).alias("y")
     on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
-    flips = sum((F.bit_count(F.col(f"x.m{b}").bitwiseXOR(F.col(f"y.m{b}"))) for b in range(1, BANDS)), F.bit_count(F.col("x.m0").bitwiseXOR(F.col("y.m0"))))
+    apart = [F.col(f"x.m{b}").bitwiseXOR(F.col(f"y.m{b}")) for b in range(BANDS)]
+    flips = F.bit_count(apart[0])
+    for other in apart[1:]:
+        flips = flips + F.bit_count(other)
     once = (F.col("x.len") < F.col("y.len")) | (F.col("x.word") < F.col("y.word"))
     earlier = F.lit(False)
     for b in range(BANDS - 1):
-        earlier = earlier | ((F.col("x.band") > b) & (F.col(f"x.m{b}") == F.col(f"y.m{b}")))
-    earlier = earlier | ((F.col("x.end") == 1) & (F.col("x.e0") == F.col("y.e0")))
-    met = x.join(y, on).where(once & (flips <= 2) & ~earlier & (F.levenshtein("x.word", "y.word", 1) == 1))
+        earlier = earlier | ((F.col("x.band") > b) & (apart[b] == 0))
+    start = lambda side: F.col(f"{side}.word").substr(F.lit(1), F.floor(F.col("x.size") / 2).cast("int"))
+    earlier = earlier | ((F.col("x.end") == 1) & (start("x") == start("y")))
+    met = x.join(y, on).where((flips <= 2) & once & ~earlier & (F.levenshtein("x.word", "y.word", 1) == 1))
     return met.select(F.col("x.word").alias("a"), F.col("x.n").alias("n_a"), F.col("y.word").alias("b"), F.col("y.n").alias("n_b"))
 
 
