@@ -6,11 +6,11 @@ import re
 from collections import Counter, defaultdict
 from zlib import crc32
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from folio.llm import chat_format, importance, queries, spelling
 from folio.llm.chat_template import CHAT, CONTROLS, Guard, Template, TemplateError, parse
@@ -23,6 +23,20 @@ def as_dicts(df):
     return [r.asDict() for r in df.collect()]
 
 
+@pytest.mark.parametrize("name", ["op11_importance_resampling", "op12_spelling_variants", "op13_chat_formatting"])
+def test_queries_equal_their_sql(spark, name):
+    duck = duckdb.connect()
+    for table in ("documents", "benchmark", "conversations"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    found = queries.queries()[name](spark, SF).toPandas()
+    plain = duck.execute(queries.oracle_sql()[name]).df()
+    assert sorted(found.columns) == sorted(plain.columns)
+    columns = sorted(found.columns)
+    assert Counter(map(tuple, found[columns].astype(object).where(found[columns].notna(), None).values.tolist())) == Counter(
+        map(tuple, plain[columns].astype(object).where(plain[columns].notna(), None).values.tolist())
+    )
+
+
 # -- importance resampling -----------------------------------------------------------------------
 
 
