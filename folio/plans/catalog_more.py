@@ -434,12 +434,13 @@ def repaired_tables(spark, d):
     )
 
 
-@query("""SELECT p_partkey AS id, NULL AS first, '| ' || p_name || ' | b |' AS second, NULL AS third FROM part""")
+@query("""WITH h AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN '| ' || p_name || ' | b |' END AS header FROM part) SELECT id, NULL AS first, header AS second, CASE WHEN id % 3 > 0 THEN header END AS third, NULL AS fourth FROM h""")
 def handed_headers(spark, d):
-    """The header that each chunk has to be told of."""
-    header = F.concat(S("| "), F.col("p_name"), S(" | b |"))
-    heads = markdown.handed_headers(F.array(F.concat(S("text\n"), header, S("\n| 1 | 2 |")), S("| 3 | 4 |\n\nend"), S("| new |")))
-    return table(spark, d, "part").select(_key().alias("id"), *(F.get(heads, S(i)).alias(n) for i, n in enumerate(("first", "second", "third"))))
+    """The header that each chunk has to be told of: of a table over three chunks, where the first has its separator and none breaks it."""
+    header = F.concat(S("text\n| "), F.col("p_name"), S(" | b |\n"), F.when(_key() % 2 == 0, "| --- | :-: |\n").otherwise(""), S("| 1 | 2 |\n\n"))
+    middle = F.concat(S("| 3 | 4 |\n"), F.when(_key() % 3 == 0, "a note\n").otherwise(""), F.concat(S("| "), F.col("p_type"), S(" | 6 |")))
+    heads = markdown.handed_headers(F.array(header, middle, S("| 7 | 8 |\n\nend"), S("| new |")))
+    return table(spark, d, "part").select(_key().alias("id"), *(F.get(heads, S(i)).alias(n) for i, n in enumerate(("first", "second", "third", "fourth"))))
 
 
 @query("""SELECT p_partkey AS id, 'a' || chr(10) || CASE WHEN p_partkey % 3 = 0 THEN '> ' ELSE '' END || repeat('| c ', 13 + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END) || '|' || chr(10) || CASE WHEN p_partkey % 3 = 0 THEN '> ' ELSE '' END || '| ' || p_name || ' |' || chr(10) || 'b' || chr(10) || '| d |' AS body FROM part""")
