@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from folio.operators import registry_ops as ops
 from folio.operators import registry_store as store
-from folio.plans.catalog import load, query, table
+from folio.plans.catalog import SQL, load, query, table
 from folio.registry import registry
 from folio.session import scratch_folder
 from folio.sources import versions
 from folio.streaming import ingest as streams
+from folio.streaming import live_log
+from folio.streaming.ordered import suppressed_stream, task_history_stream
 
 #: a text without ten letters between its outer white space is blocked
 _BLOCKED = r"length(regexp_replace(regexp_replace(raw_text, '^\s+', ''), '\s+$', '')) < 10"
@@ -90,3 +92,56 @@ def free_names(spark, d):
         F.count(F.lit(1)).alias("files"), F.count_distinct(low).alias("names"), F.count("__t").alias("occupied"), F.count_if(F.col("target") == F.col("filename")).alias("kept"),
         F.count_if(~low.rlike(r"^.*(_dup[1-9][0-9]*)?\.pdf$")).alias("odd"),
     ).drop("__ours")
+
+
+# -- streams --------------------------------------------------------------------------------------
+
+
+def _replayed(spark, rows, name, files=4):
+    """The rows as a stream of several files, a batch each, in order of time from file to file but not inside; a row from far ahead ends them."""
+    base = f"{scratch_folder(spark, name)}/in"
+    span = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    part = F.least(F.floor((micros("ts") - micros("a")) * files / (micros("b") - micros("a") + 1)), F.lit(files - 1))
+    dealt = rows.crossJoin(F.broadcast(span)).withColumn("part", part).drop("a", "b")  # one row
+    ahead = rows.limit(1).withColumn("ts", F.make_timestamp(*map(F.lit, (2100, 1, 1, 0, 0, 0)))).withColumn(rows.columns[0], F.lit(-1).cast(dict(rows.dtypes)[rows.columns[0]]))
+    for k in range(files):
+        dealt.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(base)
+    ahead.coalesce(1).write.mode("append").parquet(base)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(base), base[: -len("/in")]
+
+
+def _written(stream, base):
+    stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+@query(SQL["message_suppression"])
+def streamed_suppression(spark, d):
+    """The messages of ``message_suppression`` as a stream of several batches, with keyed state that goes after its time."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    stream, base = _replayed(spark, rows, "suppression")
+    return _written(suppressed_stream(stream, 3600, "1 second", "bigint"), base).where("key >= 0")
+
+
+@query(SQL["task_transitions"])
+def streamed_tasks(spark, d):
+    """The task events of ``task_transitions`` as a stream of several batches."""
+    kinds = F.array(*map(F.lit, ("TASK_STARTED", "TASK_PROGRESS", "TASK_FINISHED", "TASK_FAILED", "SCAN_STARTED")))
+    kind = F.get(kinds, (F.col("event_id") % 5).cast("int"))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("task"), F.col("ts").cast("timestamp").alias("ts"), "event_id", kind.alias("type"))
+    stream, base = _replayed(spark, rows, "tasks")
+    out = _written(task_history_stream(stream, "1 second", 1e9, "bigint"), base).where("task >= 0")
+    return out.select("event_id", "state", "valid")
+
+
+@query("""WITH s AS (SELECT *, epoch_us(ts) AS t FROM events), b AS (SELECT min(t) AS a, max(t) AS z FROM s), p AS (SELECT s.*, (t - a) * 4 // (z - a + 1) AS part FROM s, b)
+SELECT 'INIT' AS frame, event_id FROM (SELECT event_id FROM p WHERE part = 0 ORDER BY ts DESC, event_id DESC LIMIT 300)
+UNION ALL SELECT CASE WHEN event_id % 1000 = 0 THEN 'RELOAD' ELSE 'LOG' END, event_id FROM p WHERE part > 0""")
+def live_frames(spark, d):
+    """The events as a log that is followed from its first file on, in two runs of one query: the newest so far, then each further one."""
+    rows = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    source, base = _replayed(spark, rows, "log")
+    for _ in range(2):
+        live_log.follow(source, f"{base}/frames", f"{base}/check", 300, F.col("event_id") % 1000 == 0).awaitTermination()
+    return live_log.frames(spark, f"{base}/frames").where("event_id >= 0").select("frame", "event_id")
