@@ -22,6 +22,10 @@ from folio.llm.word_tokens import slices
 DIMENSIONS = 1024
 GRAM = 3
 SEED = 20240630
+#: about five standard deviations of the cosine of unrelated vectors of 1,024 dimensions
+FLOOR = 0.15
+#: characters from which on texts of a learned language lie well above that
+SURE_CHARS = 200
 UNDETERMINED = "und"
 #: integer steps of one unit length: sums over partitions are then the same in any order
 STEPS = 1 << 20
@@ -277,9 +281,14 @@ def held_out_languages(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFr
     return predict(ids, model, ["doc_id", "held_out"]).withColumnRenamed("lang_score", "score")
 
 
-def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of ``docs``, all columns, in some learned language: rejected are null texts and texts without a letter.
+def identified(docs: DataFrame, model: LanguageModel, floor: float = FLOOR, sure: int = SURE_CHARS) -> DataFrame:
+    """The rows of ``docs``, all columns, in some learned language.
 
-    Repeated rows and null ids stay as they are; an empty table gives none.
+    Rejected are null texts, texts without a letter, and texts of ``sure`` characters or more whose cosine with
+    every prototype is under ``floor``, as letters of no learned language have it. Shorter texts say too little
+    and stay. While no language is learned nothing is in one. Repeated rows and null ids stay as they are; an
+    empty table gives none.
     """
-    return predict(docs, model, docs.columns, ("__lang", "__cosine")).where(F.col("__lang") != UNDETERMINED).select(*docs.columns)
+    judged = predict(docs, model, docs.columns, ("__lang", "__cosine"))
+    near = (F.col("__cosine") >= floor) | (F.char_length(F.col("text").cast("string")) < sure)
+    return judged.where((F.col("__lang") != UNDETERMINED) & near).select(*docs.columns)

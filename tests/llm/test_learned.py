@@ -45,7 +45,28 @@ def test_language_odd(odd, empty):
     assert all(by[i]["lang_pred"] == "und" and by[i]["score"] == 0 for i in (3, 4, 5, 6)) and by[None]["held_out"] is False
     assert langid.held_out_languages(empty).count() == 0
     kept = langid.identified(odd, langid.fit(odd))
-    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 7, 8, 9, 10, 11, None}
+    # 9 is forty thousand times one letter, which no language has
+    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 7, 8, 10, 11, None}
+
+
+def test_long_texts_of_no_learned_language_go(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(4)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    foreign = [draw("абвгдежзийклмнопрстуфхцчшщ   ", 2_000), draw([chr(c) for c in range(0x4E00, 0x9FA5)], 500), "x" * 30_000, draw("0123456789abcdef", 5_000)]
+    short = ["Avec.", "Ωραία μέρα", "x"]
+    rows = [(-1 - i, t, None) for i, t in enumerate(foreign + short)]
+    both = docs.union(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    model = langid.fit(both)
+    kept = {r["doc_id"] for r in langid.identified(both, model).collect()}
+    assert {i for i in kept if i < 0} == {-5, -6, -7}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert kept - {-5, -6, -7} == {i for i, t in texts.items() if any(c.isalpha() for c in t)}
+    # cosines by the plain definition
+    vectors, _ = langid.profiler(model.dimensions, model.gram, model.seed).vectors(foreign)
+    cosine = [max(float(np.dot(v, p)) / np.linalg.norm(v) for p in model.prototypes) for v in vectors]
+    assert max(cosine) < langid.FLOOR
+    assert langid.identified(both, langid.fit(both.where("lang is null"))).count() == 0
 
 
 def test_quality_held_out(spark):

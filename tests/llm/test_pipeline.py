@@ -8,6 +8,7 @@ from test_pairs import brute_classes
 from test_tokens import check_packing
 
 import __spark_entry__ as contract
+from folio.llm import langid
 from folio.llm.common import staged
 from folio.llm.word_tokens import default_tokenizer
 
@@ -27,8 +28,11 @@ def test_columns_and_order(stages):
 
 
 def test_language_stage(stages):
+    docs = stages[0].collect()
+    _, cosine = langid.fit(stages[0]).predict([d["text"] for d in docs])
     kept = {r["doc_id"] for r in stages[1].collect()}
-    assert kept == {d["doc_id"] for d in stages[0].collect() if any(c.isalpha() for c in d["text"] or "")}
+    near = {d["doc_id"] for d, c in zip(docs, cosine, strict=True) if c >= 0.15 or len(d["text"] or "") < 200}
+    assert kept == {d["doc_id"] for d in docs if any(c.isalpha() for c in d["text"] or "")} & near
 
 
 def test_quality_stage_equals_closed_forms(spark, stages):
@@ -80,13 +84,13 @@ def test_odd_rows(spark, odd, unlabelled):
     ids = lambda df: sorted(r["doc_id"] or 0 for r in df.collect())
     language, score, one, pack = (f for _, f in corpus_pipeline.STAGES)
     kept = staged(language(spark, docs, unlabelled), "odd")
-    assert kept.columns == docs.columns and ids(kept) == [0, 1, 2, 2, 7, 8, 9, 10, 11]
+    assert kept.columns == docs.columns and ids(kept) == [0, 1, 2, 2, 7, 8, 10, 11]  # 9 is one letter over and over
     good = staged(score(spark, kept, unlabelled), "odd")
     assert good.columns == docs.columns and ids(good) == ids(kept)
     once = staged(one(spark, good, unlabelled), "odd")
-    assert once.columns == docs.columns and ids(once) == [0, 1, 7, 8, 9, 10]
+    assert once.columns == docs.columns and ids(once) == [0, 1, 7, 8, 10]
     pieces = pack(spark, once, unlabelled).collect()
-    assert {r["doc_id"] or 0 for r in pieces} == {0, 1, 7, 8, 9, 10} and sum(r["doc_id"] == 8 for r in pieces) > 1
+    assert {r["doc_id"] or 0 for r in pieces} == {0, 1, 7, 8, 10} and sum(r["doc_id"] == 8 for r in pieces) > 1
 
 
 def test_empty_tables(spark, empty, unlabelled):
