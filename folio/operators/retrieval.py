@@ -106,11 +106,13 @@ def search(
 
 
 def ranked(
-    table: DataFrame, query: StructuredQuery, rungs: list[StructuredQuery], names: dict[str, str], limit: int | None, k1: float = K1, b: float = B, collection: DataFrame | None = None
+    table: DataFrame, query: StructuredQuery, rungs: list[StructuredQuery], names: dict[str, str], limit: int | None, k1: float = K1, b: float = B,
+    collection: DataFrame | None = None, frequencies: dict[str, int] | None = None,
 ) -> DataFrame:
     """Scores of rows ``id, len``, filter columns and a weighted frequency a term (``names``).
 
-    ``collection`` is one row ``n, avg`` if ``table`` lacks the rows without any term.
+    ``collection`` is one row ``n, avg`` if ``table`` lacks the rows without any term, and ``frequencies`` are the
+    documents that hold each of ``names`` if it lacks some of those, too.
     """
 
     def has(term: str) -> Column:
@@ -138,7 +140,7 @@ def ranked(
     inside = reduce(lambda x, y: x & y, [_in_filters(query), F.col("level").isNotNull()])
     whole = [F.count(F.lit(1)).alias("s_n"), F.avg("len").alias("s_avg")] if collection is None else []
     stats = rows.agg(
-        *whole, F.min(F.when(inside, F.col("level"))).alias("s_rung"), *(F.count_if(F.col(c) > 0).alias(f"s_{c}") for c in names.values())
+        *whole, F.min(F.when(inside, F.col("level"))).alias("s_rung"), *((F.count_if(F.col(c) > 0) if frequencies is None else F.lit(frequencies[c])).alias(f"s_{c}") for c in names.values())
     )
     if collection is not None:
         stats = stats.crossJoin(collection.select(F.col("n").alias("s_n"), F.col("avg").alias("s_avg")))  # one row each

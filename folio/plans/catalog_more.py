@@ -88,7 +88,7 @@ def index_figures(spark, d):
     """The stored index tells whether it still fits its documents."""
     path, docs = index(spark, d), load(spark, d)
     changed = docs.withColumn("title", F.when(F.col("id") == 1, "changed").otherwise(F.col("title")))
-    rows = spark.read.parquet(f"{path}/figures")
+    rows = search_index.figures(spark, path)
     return rows.select("n", F.round("avg_raw_text", 6).alias("words"), S(search_index.drifted(docs, path)).alias("drifted"), S(search_index.drifted(changed, path)).alias("drifted_after"))
 
 

@@ -135,3 +135,83 @@ def test_bursts_of_messages(spark):
     shown = ops.suppressed(spark.createDataFrame(rows, "key string, t long").select("key", F.timestamp_seconds("t").alias("ts")), 30)
     got = sorted((r["key"], int(r["ts"].timestamp())) for r in shown.select("key", F.col("ts")).collect())
     assert got == [("j", 5), ("j", 36), ("k", 0), ("k", 30), ("k", 60), ("k", 200), ("k", 231)]
+
+
+@pytest.fixture(scope="module")
+def indexed_documents(spark, tmp_path_factory):
+    from conftest import SF
+
+    from folio.plans import catalog
+
+    docs = catalog.load(spark, SF).select("id", "title", "tags", "category", "subcategory", "filename", "raw_text", "date")
+    path = str(tmp_path_factory.mktemp("segments") / "index")
+    search_index.build(docs, path)
+    return docs, path
+
+
+def rows_of(df):
+    return sorted((r["id"], round(r["score"], 8), r["rung"]) for r in df.collect())
+
+
+WORDS = [StructuredQuery(keywords=("license", "the")), StructuredQuery(keywords=("und",), category="src1"), StructuredQuery(entities=("de",), keywords=("la", "src2"), not_terms=("que",)), StructuredQuery(keywords=("the and",))]
+
+
+@pytest.mark.parametrize("query", WORDS)
+def test_an_updated_index_equals_a_rebuilt_one(spark, indexed_documents, query, tmp_path_factory):
+    docs, path = indexed_documents
+    before = search_index.state_of(spark, path)
+    changed = docs.where("id % 100 = 3").withColumn("raw_text", F.concat(F.lit("the license und de la "), F.col("raw_text"))).withColumn("category", F.lit("src1"))
+    added = docs.where("id % 100 = 4").withColumn("id", F.col("id") + 1_000_000)
+    gone = docs.where("id % 100 = 5").select("id")
+    after = search_index.update(changed.union(added), path, gone)
+    if after["version"] == before["version"] + 1:  # else segments were merged
+        assert after["segments"][-1]["postings"] < 0.2 * before["segments"][0]["postings"]
+    now = docs.where("id % 100 not in (3, 5)").union(changed).union(added)
+    assert rows_of(search_index.search(spark, path, query, None)) == rows_of(retrieval.search(now, query, None))
+    assert rows_of(search_index.search(spark, path, query, 10)) == rows_of(retrieval.search(now, query, 10))
+    found = search_index.figures(spark, path).first()
+    assert found["n"] == now.count() and len(search_index.state_of(spark, path)["segments"]) < search_index.TIER + 1
+
+
+def test_dead_documents_are_merged_away(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"alpha w{i % 3}", "t") for i in range(100)], "id long, raw_text string, title string")
+    path = str(tmp_path / "index")
+    search_index.build(docs, path)
+    state = search_index.update(docs.where("id < 30").withColumn("raw_text", F.lit("beta")), path, docs.where("id >= 90").select("id"))
+    assert len(state["segments"]) == 1 and not state["tombstones"] and state["segments"][0]["n"] == 90
+    assert len(rows_of(search_index.search(spark, path, StructuredQuery(keywords=("alpha",)), None))) == 60
+    empty = search_index.update(docs.limit(0), path, docs.select("id"))
+    assert search_index.figures(spark, path).first()["n"] == 0 and empty["segments"][0]["n"] == 0
+    assert rows_of(search_index.search(spark, path, StructuredQuery(keywords=("alpha",)), None)) == []
+
+
+def test_the_best_rows_need_few_blocks(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i * 16, " ".join(rng.choices(["the", "of", f"x{rng.randrange(50)}", "rare"], [50, 30, 20, 0.2], k=rng.randrange(5, 60))), rng.choice("abc")) for i in range(8_000)]
+    docs = spark.createDataFrame(rows, "id long, raw_text string, category string").repartition(4)
+    path = str(tmp_path / "index")
+    search_index.build(docs, path)
+    state = search_index.state_of(spark, path)
+    for query in (StructuredQuery(keywords=("the",)), StructuredQuery(keywords=("the", "rare")), StructuredQuery(entities=("of",), keywords=("the",), category="a"), StructuredQuery(keywords=("the",), not_terms=("of",))):
+        plan = search_index.pruned(spark, path, state, query, 5)
+        plain = retrieval.search(docs, query, 5)
+        assert rows_of(search_index.search(spark, path, query, 5)) == rows_of(plain) == rows_of(search_index.search(spark, path, query, 5, prune=False))
+        assert plan["read"] <= plan["all"]
+    cost = search_index.pruned(spark, path, state, StructuredQuery(keywords=("rare",)), 5)
+    assert cost is None or cost["read"] < 0.7 * cost["all"]
+    text = {"raw_text": 0.5}
+    assert rows_of(search_index.search(spark, path, StructuredQuery(keywords=("the",)), 5, text)) == rows_of(retrieval.search(docs, StructuredQuery(keywords=("the",)), 5, text))
+
+
+def test_drift_is_told_by_files_where_there_are_files(spark, tmp_path, monkeypatch):
+    base, path = str(tmp_path / "docs"), str(tmp_path / "index")
+    spark.createDataFrame([(1, "alpha", "t")], "id long, raw_text string, title string").write.parquet(base)
+    search_index.build(spark.read.parquet(base), path)
+    plain = search_index.seal
+    monkeypatch.setattr(search_index, "seal", lambda *a: pytest.fail("all documents were read"))
+    assert not search_index.drifted(spark.read.parquet(base), path)
+    monkeypatch.setattr(search_index, "seal", plain)
+    spark.createDataFrame([(2, "beta", "t")], "id long, raw_text string, title string").write.mode("append").parquet(base)
+    assert search_index.drifted(spark.read.parquet(base), path)
