@@ -33,10 +33,12 @@ def expiry_bucket(expiry: Column, now: Column, soon: int = 60) -> Column:
 
 
 def reconcile_date(date: Column, title: Column, now: Column) -> Column:
-    """A date after ``now`` takes the year that the title names, if that is another one."""
+    """A date after ``now`` takes the year that the title names, if that is another one; without such a day there, the month's last."""
     year = F.regexp_extract(title, rf"{_EDGE_L}((?:19|20)\d{{2}}){_EDGE_R}", 1)
     wrong = (parse_date(date) > now) & (year != "") & (year != F.substring(date, 1, 4))
-    return F.when(wrong, F.concat(year, F.substring(date, 5, 6))).otherwise(date)
+    moved = F.concat(year, F.substring(date, 5, 6))
+    last = F.date_format(F.last_day(parse_date(F.concat(year, F.substring(date, 5, 4), F.lit("01")))), "yyyy-MM-dd")
+    return F.when(wrong, F.when(parse_date(moved).isNotNull(), moved).otherwise(last)).otherwise(date)
 
 
 def pay_period(date: Column) -> Column:

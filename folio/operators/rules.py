@@ -376,3 +376,14 @@ def category_description(taxonomy: list[dict], dictionary: dict[str, list[dict]]
         subs = ", ".join(s["id"] for s in c["subcategories"]) if c.get("subcategories") is not None else "none"
         lines.append(f"- Category '{c['id']}' ({c['name']}): {c.get('description', '')}. Existing subcategories: [{subs}].{entity_hint(c['id'], dictionary)}")
     return "\n".join(lines)
+
+
+def category_lines(entries: DataFrame, hints: dict[str, str]) -> DataFrame:
+    """``category, line`` of ``category_description`` for stored ``entries(category, slug, name)``, slugs once and sorted, null slugs left out."""
+    hint = F.lit("")
+    for category, text in hints.items():
+        hint = F.when(F.col("category") == category, text).otherwise(hint)
+    subs = F.array_join(F.array_sort(F.collect_set("slug")), ", ")
+    lines = entries.where("category is not null").groupBy("category").agg(subs.alias("subs"), F.min("name").alias("name"))
+    line = F.concat(F.lit("- Category '"), "category", F.lit("' ("), "name", F.lit("): . Existing subcategories: ["), "subs", F.lit("]."), hint)
+    return lines.select("category", line.alias("line"))

@@ -158,14 +158,32 @@ def _taxonomy(spark):
     return spark.createDataFrame(_PUBLIC, kind), spark.createDataFrame(_PRIVATE, kind)
 
 
-@query(f"WITH {_TAXONOMY_SQL} SELECT category, slug, name, array_to_string(aliases, ',') AS aliases FROM merged")
+_ENTRIES_SQL = """pub AS (SELECT p_brand AS category, 's' || p_partkey AS slug, p_name AS name, [p_type] AS aliases FROM part),
+priv AS (SELECT p_brand AS category, 's' || p_partkey AS slug, CASE WHEN p_partkey % 6 = 0 THEN p_name ELSE upper(p_name) END AS name, [p_type] AS aliases FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT p_brand, 'x' || p_partkey, p_name, [] FROM part WHERE p_partkey % 5 = 0),
+merged AS (SELECT * FROM priv UNION ALL SELECT * FROM pub WHERE (category, slug) NOT IN (SELECT (category, slug) FROM priv))"""
+
+
+def _entries(spark, d):
+    """Public entries, one a part, and private ones: a third of these again, half of them renamed, and some more."""
+    key, part = F.col("p_partkey"), table(spark, d, "part")
+    slug = lambda mark: F.concat(F.lit(mark), key.cast("string")).alias("slug")
+    brand = F.col("p_brand").alias("category")
+    public = part.select(brand, slug("s"), F.col("p_name").alias("name"), F.array("p_type").alias("aliases"))
+    renamed = F.when(key % 6 == 0, F.col("p_name")).otherwise(F.upper("p_name"))
+    again = part.where(key % 3 == 0).select(brand, slug("s"), renamed.alias("name"), F.array("p_type").alias("aliases"))
+    more = part.where(key % 5 == 0).select(brand, slug("x"), F.col("p_name").alias("name"), F.array().cast("array<string>").alias("aliases"))
+    return public, again.union(more)
+
+
+@query(f"WITH {_ENTRIES_SQL} SELECT category, slug, name, array_to_string(aliases, ',') AS aliases FROM merged")
 def taxonomy_merge(spark, d):
-    return ops.merge_taxonomy(*_taxonomy(spark)).withColumn("aliases", F.array_join("aliases", ","))
+    return ops.merge_taxonomy(*_entries(spark, d)).withColumn("aliases", F.array_join("aliases", ","))
 
 
-@query(f"WITH {_TAXONOMY_SQL} SELECT category, slug, name FROM (SELECT * FROM merged EXCEPT SELECT * FROM pub)")
+@query(f"WITH {_ENTRIES_SQL} SELECT category, slug, name FROM (SELECT * FROM merged EXCEPT SELECT * FROM pub)")
 def taxonomy_overlay_diff(spark, d):
-    public, private = _taxonomy(spark)
+    public, private = _entries(spark, d)
     return ops.taxonomy_overlay(ops.merge_taxonomy(public, private), public).select("category", "slug", "name")
 
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,10 +52,10 @@ def bm25_sql(words: list[str]) -> str:
 s AS (SELECT count(*) AS n, avg(len) AS av, {d} FROM f), hits AS (SELECT id, date, category, {score} AS score FROM f, s WHERE {' OR '.join(f'f{i} > 0' for i in n)})"""
 
 
-@query(f"WITH {bm25_sql(['license', 'rights'])} SELECT id, round(score, 6) AS score FROM hits WHERE category = 'src1' AND date >= '2023-03-01' AND date <= '2024-01-31' ORDER BY hits.score DESC, id LIMIT 10")
+@query(f"WITH {bm25_sql(['the', 'rights', 'und'])} SELECT id, round(score, 6) AS score FROM hits WHERE category = 'src1' AND date >= '2023-03-01' AND date <= '2024-01-31' ORDER BY hits.score DESC, id LIMIT 10")
 def filtered_search(spark, d):
     """Category and dates hold before the limit; collection figures cover all documents."""
-    q = StructuredQuery(keywords=("license", "rights"), category="SRC1", date_from="2023-03-01", date_to="2024-01-31")
+    q = StructuredQuery(keywords=("the", "rights", "und"), category="SRC1", date_from="2023-03-01", date_to="2024-01-31")
     return search_index.search(spark, index(spark, d), q, 10).select("id", F.round("score", 6).alias("score"))
 
 
@@ -112,23 +111,32 @@ def embedding_write(spark, d):
     return retrieval.with_embedding(docs, embed).select("id", F.size("embedding").alias("n"), F.get("embedding", S(0)).alias("first"))
 
 
-_MESSAGES = ("les 3 derniers bulletins SFR 2023", "find my last invoice", "deux factures EDF", "the and of", "contrat 1999 2021")
-
-
-@query("""SELECT * FROM (VALUES (0, 'sfr', 'derniers,bulletins', '2023-01-01', 3, '("sfr") AND ("derniers" OR "bulletins")', 'sfr|'), (1, '', 'last,invoice', NULL, 1, '("last" OR "invoice")', '|'),
-(2, 'edf', 'deux,factures', NULL, 2, '("edf") AND ("deux" OR "factures")', 'edf|'), (3, '', '', NULL, 10, NULL, ''), (4, '', 'contrat', '2021-01-01', 10, '("contrat")', '|')) AS t(i, entities, keywords, date_from, n, expression, looser)""")
+@query("""WITH c AS (SELECT c_custkey AS i, c_custkey % 9 + 1 AS n, 2000 + c_custkey % 25 AS y FROM customer)
+SELECT i, CASE i % 5 WHEN 0 THEN 'sfr' WHEN 2 THEN 'edf' ELSE '' END AS entities, CASE i % 5 WHEN 0 THEN 'derniers,bulletins' WHEN 1 THEN 'last,invoice' WHEN 2 THEN 'deux,factures' WHEN 3 THEN '' ELSE 'contrat' END AS keywords,
+CASE WHEN i % 5 IN (0, 4) THEN y || '-01-01' END AS date_from, CASE i % 5 WHEN 0 THEN n WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 10 END AS n,
+CASE i % 5 WHEN 0 THEN '("sfr") AND ("derniers" OR "bulletins")' WHEN 1 THEN '("last" OR "invoice")' WHEN 2 THEN '("edf") AND ("deux" OR "factures")' WHEN 4 THEN '("contrat")' END AS expression,
+CASE i % 5 WHEN 0 THEN 'sfr|' WHEN 2 THEN 'edf|' WHEN 3 THEN '' ELSE '|' END AS looser FROM c""")
 def request_plans(spark, d):
-    """Requests planned without a model (and by one that fails), their limits, their expressions, and a step looser."""
+    """A request a customer, planned without a model (every other one after a model that fails): its limit, its expression, and a step looser."""
+    n, year = (F.col("c_custkey") % 9 + 1).cast("string"), (2000 + F.col("c_custkey") % 25).cast("string")
+    said = F.lit("")
+    for i, m in enumerate((F.concat(S("les "), n, S(" derniers bulletins SFR "), year), S("find my last invoice"), S("deux factures EDF"), S("the and of"), F.concat(S("contrat "), year))):
+        said = F.when(F.col("c_custkey") % 5 == i, m).otherwise(said)
 
     def broken(message):
         raise RuntimeError(message)
 
-    rows = []
-    for i, m in enumerate(_MESSAGES):
-        p = plan_with(m, broken, ("sfr", "edf")) if i % 2 else plan(m, ("sfr", "edf"))
-        looser = relaxed(p)
-        rows.append((i, ",".join(p.entities), ",".join(p.keywords), p.date_from, limit_of(m, p), match_text(p), "" if looser is None else f"{','.join(looser.entities)}|{','.join(looser.keywords)}"))
-    return spark.createDataFrame(rows, "i int, entities string, keywords string, date_from string, n int, expression string, looser string")
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for i, m in zip(frame["i"].tolist(), frame["message"].tolist(), strict=True):
+                p = plan_with(m, broken, ("sfr", "edf")) if i % 2 else plan(m, ("sfr", "edf"))
+                looser = relaxed(p)
+                rows.append((i, ",".join(p.entities), ",".join(p.keywords), p.date_from, limit_of(m, p), match_text(p), "" if looser is None else f"{','.join(looser.entities)}|{','.join(looser.keywords)}"))
+            yield pd.DataFrame(rows, columns=["i", "entities", "keywords", "date_from", "n", "expression", "looser"])
+
+    kind = "i long, entities string, keywords string, date_from string, n int, expression string, looser string"
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("i"), said.alias("message")).mapInPandas(run, kind)
 
 
 # -- rules and taxonomy ---------------------------------------------------------------------------
@@ -273,17 +281,25 @@ def decision_rules(spark, d):
     return ops.decision_rules(rows)
 
 
-@query("""SELECT 'health' AS category, ' Known real-world entities: copyright (all rights reserved), apache (Apache License).' AS hint, '- Category ''economy'' (Economy): . Existing subcategories: [widgets, cold_bolt].' AS line""")
+@query("""WITH {reg}, e AS (SELECT DISTINCT category, subcategory AS slug FROM reg WHERE category IS NOT NULL AND subcategory IS NOT NULL)
+SELECT category, '- Category ' || chr(39) || category || chr(39) || ' (' || upper(category) || '): . Existing subcategories: [' || string_agg(slug, ', ' ORDER BY slug) || '].' ||
+CASE WHEN category = 'src1' THEN ' Known real-world entities: copyright (all rights reserved), apache (Apache License).' ELSE '' END AS line FROM e GROUP BY category""")
 def prompt_lines(spark, d):
-    line = rules.category_description([{**_KINDS[0], "name": "Economy"}], {})
-    return spark.createDataFrame([("health", rules.entity_hint("health", _DICTIONARY), line)], "category string, hint string, line string")
+    """What a prompt is told of each category: the subcategories in use and the entities that belong there."""
+    hints = {"src1": rules.entity_hint("health", _DICTIONARY)}
+    entries = load(spark, d).select("category", F.col("subcategory").alias("slug"), F.upper("category").alias("name"))
+    return rules.category_lines(entries, hints)
 
 
-@query("""SELECT * FROM (VALUES ('c', 'win', 'l,lose,w'), ('c', 'alone', 'a'), ('d', 'lose', 'x')) AS t(category, slug, aliases)""")
+@query("""WITH e AS (SELECT 'c' || (p_partkey // 4) AS category, 's' || p_partkey AS slug, p_partkey AS k, p_name AS alias FROM part)
+SELECT w.category, w.slug, array_to_string(list_sort(list_distinct(CASE WHEN l.slug IS NULL THEN [w.alias] ELSE [w.alias, l.slug, l.alias] END)), ',') AS aliases
+FROM e w LEFT JOIN e l ON w.k % 4 = 1 AND l.k = w.k + 1 WHERE w.k % 4 <> 2""")
 def folded_aliases(spark, d):
-    entries = spark.createDataFrame([("c", "win", ["w"]), ("c", "lose", ["l"]), ("c", "alone", ["a"]), ("d", "lose", ["x"])], "category string, slug string, aliases array<string>")
-    merges = spark.createDataFrame([("c", "lose", "win")], "category string, loser string, winner string")
-    return ops.fold_aliases(entries, merges).select("category", "slug", F.array_join("aliases", ",").alias("aliases"))
+    """Every fourth entry loses to its neighbour, which takes its slug and aliases."""
+    slug = F.concat(S("s"), _key().cast("string"))
+    entries = table(spark, d, "part").select(F.concat(S("c"), F.floor(_key() / 4).cast("string")).alias("category"), slug.alias("slug"), F.array("p_name").alias("aliases"), _key().alias("k"))
+    merges = entries.where("k % 4 = 2").select("category", F.col("slug").alias("loser"), F.concat(S("s"), (F.col("k") - 1).cast("string")).alias("winner"))
+    return ops.fold_aliases(entries.drop("k"), merges).select("category", "slug", F.array_join("aliases", ",").alias("aliases"))
 
 
 @query(f"""WITH {{reg}}, {_TAXONOMY_SQL}, c AS (SELECT lower(category) AS category, lower(subcategory) AS slug, count(*) AS n FROM reg GROUP BY 1, 2),
@@ -309,11 +325,11 @@ def canonical_owners(spark, d):
     return table(spark, d, "part").select(_key().alias("id"), ops.owner_of(current, owners).alias("owner"))
 
 
-@query("WITH {reg} SELECT category, lower(regexp_replace(title[1:6], '[^A-Za-z]+', '', 'g')) AS slug, min(path) AS first_path FROM reg WHERE length(regexp_replace(title[1:6], '[^A-Za-z]+', '', 'g')) = 6 GROUP BY 1, 2")
+@query("WITH {reg} SELECT category, 'entry' || lower(regexp_replace(title[1:6], '[^A-Za-z]+', '', 'g')) AS slug, min(path) AS first_path FROM reg WHERE title IS NOT NULL GROUP BY 1, 2")
 def proposed_entries(spark, d):
     """Entries that a batch would add, each once, by the first path."""
-    word = F.regexp_replace(F.substring("title", 1, 6), "[^A-Za-z]+", "")
-    rows = load(spark, d).select(F.upper("category").alias("category"), word.alias("subcategory"), "path").where(F.length("subcategory") == 6)
+    word = F.concat(S("Entry"), F.regexp_replace(F.substring("title", 1, 6), "[^A-Za-z]+", ""))
+    rows = load(spark, d).where("title is not null").select(F.upper("category").alias("category"), word.alias("subcategory"), "path")
     return ops.new_entries(rows).select("category", "slug", "first_path")
 
 
@@ -385,12 +401,13 @@ def text_choice(spark, d):
     )
 
 
-@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN '2021-' ELSE CASE WHEN o_orderkey % 3 = 1 THEN '2031-' ELSE '2020-' END END || strftime(o_orderdate, '%m-%d') AS date,
-CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m') END AS period, round(o_totalprice, 2) AS amount FROM orders WHERE strftime(o_orderdate, '%m-%d') <> '02-29'""")
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN '2021-' WHEN 1 THEN '2032-' ELSE '2020-' END || CASE WHEN o_orderkey % 3 = 0 AND strftime(o_orderdate, '%m-%d') = '02-29' THEN '02-28' ELSE strftime(o_orderdate, '%m-%d') END AS date,
+CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m') END AS period, round(o_totalprice, 2) AS amount FROM orders""")
 def date_functions(spark, d):
-    rows = table(spark, d, "orders").where(F.date_format("o_orderdate", "MM-dd") != "02-29")
+    """A future date takes the year of the title; where that has no such day, the month's last."""
+    rows = table(spark, d, "orders")
     k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "-MM-dd")
-    date = F.concat(F.when(k % 3 == 2, "2020").otherwise("2031"), day)
+    date = F.concat(F.when(k % 3 == 2, "2020").otherwise("2032"), day)
     title = F.when(k % 3 == 0, "Bulletin 2021 mai").otherwise("Bulletin mai")
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     shown = F.concat(F.format_string("%,d", F.floor(cents / 100)), S(","), F.lpad((cents % 100).cast("string"), 2, "0"), S(" €"))
@@ -681,23 +698,35 @@ def scanned_files(spark, d):
     return rows.groupBy(F.regexp_extract("path", "/([^/]*)/[^/]*$", 1).alias("folder")).agg(F.count(F.lit(1)).cast("int").alias("files"), F.bool_and((F.col("size") > 0) & F.col("filename").endswith(".parquet")).alias("sized"))
 
 
-def _json_file(spark, value: dict) -> str:
-    path = f"{scratch_folder(spark, 'source')}/json"
-    spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.text(path)
+def _json_file(df, whole: str | None = None) -> str:
+    """One row, or one column of it, as the text of a JSON file."""
+    path = f"{scratch_folder(df.sparkSession, 'source')}/json"
+    df.select(F.to_json(F.struct(*df.columns) if whole is None else F.col(whole)).alias("value")).coalesce(1).write.text(path)
     return path
 
 
-@query("""SELECT * FROM (VALUES ('taxonomy', 'bank', 'x', 'X', 'y'), ('taxonomy', 'bank', 'x/z', 'Z', ''), ('entity', 'banks', 's', 'S', '0'), ('entity', 'banks', 's', 'T', '1'), ('entity', 'gov', 'g', 'G', '0'), ('overlay', 'bank', 'sub', 'ab1', 'filename'), ('setting', 'model', '', '9b', '')) AS t(kind, category, slug, name, more)""")
+@query("""WITH {reg}, p AS (SELECT DISTINCT category, subcategory AS slug FROM reg WHERE category IS NOT NULL AND subcategory IS NOT NULL), l AS (SELECT slug, min(category) AS first FROM p GROUP BY slug), c AS (SELECT category, count(*) AS n FROM p GROUP BY 1)
+SELECT 'taxonomy' AS kind, category, slug, upper(slug) AS name, slug || category AS more FROM p UNION ALL SELECT 'taxonomy', category, slug || '/z', 'Z', '' FROM p
+UNION ALL SELECT 'entity', 'banks', slug, upper(slug), '0' FROM l UNION ALL SELECT 'entity', 'banks', slug, first, '1' FROM l UNION ALL SELECT 'entity', 'gov', slug, slug, '0' FROM l
+UNION ALL SELECT 'overlay', category, 'sub', category || '1', 'filename' FROM c UNION ALL SELECT 'setting', category, '', CAST(n AS VARCHAR), '' FROM c""")
 def configuration_sources(spark, d):
-    """Taxonomy of two levels, entity dictionary, personal rules and settings, each from its file."""
-    taxonomy = {"categories": [{"id": "bank", "name": "B", "aliases": [], "subcategories": [{"id": "x", "name": "X", "aliases": ["y"], "subcategories": [{"id": "z", "name": "Z"}]}]}]}
-    entities = {"banks": [{"slug": "s", "name": "S", "aliases": ["T"]}], "gov": [{"slug": "g", "name": "G"}]}
-    overlay = {"priorityRules": [{"keywords": ["ab1"], "category": "bank", "subcategory": "sub", "scope": "filename"}]}
+    """Taxonomy of two levels, entity dictionary, personal rules and settings, each from its file, made of the places in use."""
+    places = load(spark, d).select("category", F.col("subcategory").alias("slug")).where("category is not null and slug is not null").distinct()
+    below = F.array(F.struct(S("z").alias("id"), S("Z").alias("name")))
+    subs = F.collect_list(F.struct(F.col("slug").alias("id"), F.upper("slug").alias("name"), F.array(F.concat("slug", "category")).alias("aliases"), below.alias("subcategories")))
+    counts = places.groupBy("category").agg(F.count(F.lit(1)).alias("n"), subs.alias("subcategories"))
+    taxonomy = counts.agg(F.collect_list(F.struct(F.col("category").alias("id"), F.upper("category").alias("name"), "subcategories")).alias("categories"))
+    slugs = places.groupBy("slug").agg(F.min("category").alias("first"))
+    banks = F.collect_list(F.struct("slug", F.upper("slug").alias("name"), F.array("first").alias("aliases")))
+    entities = slugs.agg(banks.alias("banks"), F.collect_list(F.struct("slug", F.col("slug").alias("name"))).alias("gov"))
+    keyword = F.array(F.concat("category", S("1")))
+    overlay = counts.agg(F.collect_list(F.struct(keyword.alias("keywords"), "category", S("sub").alias("subcategory"), S("filename").alias("scope"))).alias("priorityRules"))
+    settings = counts.agg(F.map_from_entries(F.collect_list(F.struct("category", F.col("n").cast("string")))).alias("m"))
     kind = lambda k, *c: [S(k).alias("kind"), *(x.alias(n) for x, n in zip(c, ("category", "slug", "name", "more"), strict=True))]
-    one = files.read_taxonomy(spark, _json_file(spark, taxonomy)).select(*kind("taxonomy", F.col("category"), F.col("slug"), F.col("name"), F.coalesce(F.array_join("aliases", ","), S(""))))
-    two = files.read_entities(spark, _json_file(spark, entities)).select(*kind("entity", F.col("domain"), F.col("slug"), F.col("surface"), text_of("ordinal")))
-    three = files.read_overlay(spark, _json_file(spark, overlay)).select(*kind("overlay", F.col("category"), F.col("subcategory"), F.col("keywords")[0], F.col("scope")))
-    four = files.read_settings(spark, _json_file(spark, {"model": "9b"})).select(*kind("setting", F.col("key"), S(""), F.col("value"), S("")))
+    one = files.read_taxonomy(spark, _json_file(taxonomy)).select(*kind("taxonomy", F.col("category"), F.col("slug"), F.col("name"), F.coalesce(F.array_join("aliases", ","), S(""))))
+    two = files.read_entities(spark, _json_file(entities)).select(*kind("entity", F.col("domain"), F.col("slug"), F.col("surface"), text_of("ordinal")))
+    three = files.read_overlay(spark, _json_file(overlay)).select(*kind("overlay", F.col("category"), F.col("subcategory"), F.col("keywords")[0], F.col("scope")))
+    four = files.read_settings(spark, _json_file(settings, "m")).select(*kind("setting", F.col("key"), S(""), F.col("value"), S("")))
     return one.union(two).union(three).union(four)
 
 
