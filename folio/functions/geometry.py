@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 
 def point(x, y) -> Column:
@@ -110,9 +113,15 @@ def iou(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(both, a["width"] * a["height"] + b["width"] * b["height"] - both), F.lit(0.0))
 
 
-def histogram(levels: Column) -> Column:
-    """Counts of the gray levels 0 to 255 in an array of levels."""
-    return F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: F.size(F.filter(levels, lambda x: x == v)))
+@F.pandas_udf(ArrayType(IntegerType()))
+def histogram(levels: pd.Series) -> pd.Series:
+    """Counts of the gray levels 0 to 255 in an array of levels; null and other levels are not counted, a null array has none."""
+    out = []
+    for found in levels:
+        values = np.array([] if found is None else [x for x in found if x is not None], np.float64)
+        values = values[(values >= 0) & (values < 256) & (values == np.floor(values))]
+        out.append(np.bincount(values.astype(np.int64), minlength=256).astype(np.int32))
+    return pd.Series(out)
 
 
 def clip_points(counts: Column, share: float = 0.01) -> Column:

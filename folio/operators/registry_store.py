@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.operators import registry_ops as ops
@@ -83,3 +83,16 @@ def events_between(
     rows = versions.changes(spark, path, schema, since, until, key)
     kind: Callable = lambda c: F.coalesce(*(F.when(c == k, v) for k, v in kinds.items()))
     return rows.select(kind(F.col("change")).alias("type"), "change", F.col("key").cast("string").alias("key"))
+
+
+HINTS = "id long, hint string, created_at timestamp"
+
+
+def keep_hints(placed: DataFrame, path: str, at: Column) -> versions.State:
+    """Rows of ``placed(id, category, slug, to_category, to_slug, hint)`` that a guard moved become hints that later prompts are given.
+
+    A row without a hint keeps none; what was kept before stays.
+    """
+    text = F.concat_ws(" ", F.col("hint"), F.lit(":"), F.concat_ws("/", "category", "slug"), F.lit("->"), F.concat_ws("/", "to_category", "to_slug"))
+    rows = placed.where("hint is not null").select(F.col("id").cast("long").alias("id"), text.alias("hint"), at.alias("created_at"))
+    return versions.append(rows, path, "id", note="hints")

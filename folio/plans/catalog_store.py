@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import functions as F
 
+from folio.functions import geometry, markdown, paths
 from folio.operators import registry_ops as ops
 from folio.operators import registry_store as store
-from folio.plans.catalog import SQL, load, query, table
-from folio.registry import registry
+from folio.operators import rules
+from folio.plans.catalog import SQL, load, now, query, table
+from folio.plans.query import StructuredQuery
 from folio.session import scratch_folder
-from folio.sources import versions
+from folio.sources import files, versions
 from folio.streaming import ingest as streams
 from folio.streaming import live_log
 from folio.streaming.ordered import suppressed_stream, task_history_stream
@@ -145,3 +150,87 @@ def live_frames(spark, d):
     for _ in range(2):
         live_log.follow(source, f"{base}/frames", f"{base}/check", 300, F.col("event_id") % 1000 == 0).awaitTermination()
     return live_log.frames(spark, f"{base}/frames").where("event_id >= 0").select("frame", "event_id")
+
+
+# -- guards, requests, tables, crops ----------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'bank' WHEN 1 THEN 'tax' WHEN 2 THEN 'bank' ELSE 'tax' END AS category,
+CASE p_partkey % 4 WHEN 0 THEN 'impot' WHEN 1 THEN 'impot' WHEN 2 THEN 'tax' ELSE 'impots' END AS slug FROM part)
+SELECT id, CASE id % 4 WHEN 0 THEN 'owned elsewhere : bank/impot -> tax/impot' WHEN 2 THEN 'category name : bank/tax -> bank/general' ELSE 'spelling : tax/impots -> tax/impot' END AS hint FROM p WHERE id % 4 <> 1""")
+def kept_hints(spark, d):
+    """Placements that a guard changed, kept as hints in two commits."""
+    taxonomy = [{"id": "tax", "subcategories": [{"id": "impot", "aliases": []}]}, {"id": "bank", "subcategories": [{"id": "releve", "aliases": []}]}]
+    key = F.col("p_partkey")
+    category = F.when(key % 2 == 0, "bank").otherwise("tax")
+    slug = F.when(key % 4 == 2, "tax").when(key % 4 == 3, "impots").otherwise("impot")
+    rows = table(spark, d, "part").select(key.alias("id"), category.alias("category"), slug.alias("slug"))
+    guard = rules.placement_guard(F.col("category"), F.col("slug"), taxonomy, ["tax", "bank"])
+    placed = rows.withColumn("g", guard).select("id", "category", "slug", F.col("g.category").alias("to_category"), F.col("g.slug").alias("to_slug"), F.col("g.hint").alias("hint"))
+    path = scratch_folder(spark, "hints")
+    for half in (0, 1):
+        store.keep_hints(placed.where(F.floor(F.col("id") / 8) % 2 == half), path, now().cast("timestamp"))
+    return versions.rows_of(spark, path, store.HINTS).select("id", "hint")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_name || '|b' END AS keywords, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'src' || c_custkey % 7 END AS category,
+CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 1 WHEN 2 THEN 50 WHEN 3 THEN 1 + c_custkey % 50 ELSE NULL END AS n FROM customer""")
+def request_validation(spark, d):
+    """Loose requests: non-strings leave term lists, null means absent, strings are trimmed, the limit is bounded."""
+    key = F.col("c_custkey")
+    terms = F.when(key % 2 == 0, F.to_json(F.array(F.concat(F.lit(" "), "c_name")))).otherwise(F.concat(F.lit('["'), "c_name", F.lit('", 3, null, " b "]')))
+    category = F.when(key % 3 == 0, F.when(key % 2 == 0, "null").otherwise('"  "')).otherwise(F.concat(F.lit('" src'), (key % 7).cast("string"), F.lit(' "')))
+    limit = F.when(key % 5 == 0, "null").when(key % 5 == 1, "-4").when(key % 5 == 2, "1e3").when(key % 5 == 3, F.concat(F.lit('"'), (1 + key % 50).cast("string"), F.lit('"'))).otherwise('"many"')
+    raw = F.concat(F.lit('{"keywords": '), terms, F.lit(', "category": '), category, F.lit(', "limit": '), limit, F.lit("}"))
+
+    def run(frames):
+        for frame in frames:
+            found = [StructuredQuery.parse(json.loads(x)) for x in frame["raw"]]
+            yield pd.DataFrame({"id": frame["id"], "keywords": ["|".join(q.keywords) for q in found], "category": [q.category for q in found], "n": pd.array([q.limit for q in found], "Int64")})
+
+    return table(spark, d, "customer").select(key.alias("id"), raw.alias("raw")).mapInPandas(run, "id long, keywords string, category string, n long")
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 < 2 THEN 'sg' END AS found FROM part""")
+def accents_count(spark, d):
+    """An accent is part of a letter: an entity is found as it is written or as an alias of it is, not by folding."""
+    body = F.concat(F.when(F.col("p_partkey") % 3 == 0, "banque générale ").when(F.col("p_partkey") % 3 == 1, "banque generale ").otherwise("banque génerale "), F.col("p_name"))
+    entities = {"banks": [{"slug": "sg", "name": "Banque Générale", "aliases": ["banque generale"]}]}
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), rules.first_entity(F.lower(body), entities)["slug"].alias("found"))
+
+
+@query("""SELECT p_partkey AS id, '| h | ' || p_name || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 |' || chr(10) || CASE WHEN p_partkey % 3 = 0 THEN '| 3 | 4 |' WHEN p_partkey % 3 = 1 THEN chr(10) || '## Part' || chr(10) || '| 3 | 4 | 5 |' ELSE '|3 | 4|' || chr(10) || '| 5 | ' || p_type || ' |' END AS body FROM part""")
+def cut_tables(spark, d):
+    """A table cut by a heading goes on, one of another width does not, and rows without ends get them."""
+    k = F.col("p_partkey") % 3
+    tail = F.when(k == 0, "\n## Part\n| 3 | 4 |").when(k == 1, "\n## Part\n| 3 | 4 | 5 |").otherwise(F.concat(F.lit("|3 | 4\n\n| 5 | "), "p_type", F.lit(" |")))
+    body = F.concat(F.lit("| h | "), "p_name", F.lit(" |\n| --- | --- |\n| 1 | 2 |\n"), tail)
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), markdown.repair_tables(body).alias("body"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, 2.0 * l_quantity AS w, l_discount * 400 AS px, l_tax * 100 AS t FROM lineitem),
+c AS (SELECT *, [sqrt(px * px + 225), sqrt((px - w) * (px - w) + 225), sqrt((px - w) * (px - w) + 225), sqrt(px * px + 225)] AS c,
+[sqrt((px - w / 2) * (px - w / 2) + 225), abs(px - w), sqrt((px - w / 2) * (px - w / 2) + 225), abs(px)] AS e FROM l)
+SELECT l_orderkey, l_linenumber, round(least(100, w + t), 6) AS corner_x, round(30 + t * 4, 6) AS edge_y, round(greatest(1, w), 6) AS box_width, round(30 + t * 4, 6) AS box_height,
+CASE WHEN list_min(c) < 18 THEN 'c' || (list_position(c, list_min(c)) - 1) WHEN list_min(e) < 18 THEN 'e' || (list_position(e, list_min(e)) - 1) WHEN px < w THEN 'move' ELSE 'none' END AS handle FROM c""")
+def crop_handles(spark, d):
+    """A corner and an edge of a crop are dragged, its box, and what a pointer at half height takes hold of."""
+    w, t = F.col("l_quantity") * 2, F.col("l_tax") * 100
+    quad = geometry.full_frame(w, 30)
+    edge = geometry.edge_moved(quad, 2, 3.0, t * 4, 100, 90)
+    box = geometry.bounds(edge, 100, 90)
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.round(geometry.corner_moved(quad, 1, t, -5.0, 100, 60)[1]["x"], 6).alias("corner_x"), F.round(edge[3]["y"], 6).alias("edge_y"),
+        F.round(box["width"], 6).alias("box_width"), F.round(box["height"], 6).alias("box_height"), geometry.handle_at(quad, F.col("l_discount") * 400, F.lit(15.0)).alias("handle"),
+    )
+
+
+@query("SELECT 'src=' || source AS folder, 2 AS files FROM documents GROUP BY source")
+def walked_files(spark, d):
+    """Every file below a root, whatever its ending; marks that a writer leaves are in a dot folder's place."""
+    base = f"{scratch_folder(spark, 'walk')}/in"
+    rows = load(spark, d).select(F.col("category").alias("src"), "title").repartition(1)
+    rows.write.partitionBy("src").parquet(base)
+    rows.select("src", F.coalesce("title", F.lit("")).alias("title")).write.mode("append").partitionBy("src").text(base)
+    found = files.list_files(spark, base, None).where(paths.basename(F.col("path")).startswith("part-"))
+    return found.groupBy(F.regexp_extract("path", "/([^/]*)/[^/]*$", 1).alias("folder")).agg(F.count(F.lit(1)).cast("int").alias("files"))
