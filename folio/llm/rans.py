@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import documents_of, scratch_path, shuffle_partitions, staged
+from folio.llm.common import documents_of, gone_with_driver, scratch_path, shuffle_partitions, staged
 from folio.llm.word_tokens import default_tokenizer, encoder, slices
 
 MAGIC = b"FRA1"
@@ -243,7 +243,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str | None = None, l
     text hash. An empty input writes a table and no blocks. Ties are split over partitions, so one
     repeated id does not land in one task. Texts are encoded once: the ids wait in a staged table while
     they are counted. Blocks are rows of binary in Parquet: Spark's commit protocol then covers lost
-    executors on any file system.
+    executors on any file system. Texts of any length are encoded whole; other columns are left out.
     """
     spark = docs.sparkSession
     raw = staged(ordered_blocks(documents_of(docs), tokenizer or default_tokenizer()), "raw-ids", "zstd")
@@ -334,10 +334,16 @@ def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFr
 
 
 def token_file_digest(docs: DataFrame, tokenizer: str | None = None, path: str | None = None) -> DataFrame:
-    """Write ``docs`` to a token file, read it back, and return ``doc_id, start, n_tokens, ids_crc32``."""
+    """Write ``docs`` to a token file, read it back, and return ``doc_id, start, n_tokens, ids_crc32``.
+
+    Nulls, ties, repeated rows and empty tables as in ``write_token_file``; texts of any length are encoded whole;
+    other columns, whatever their names, are left out. Without a ``path`` the file goes with the driver.
+    """
     spark = docs.sparkSession
-    path = path or scratch_path(spark, "token-file")
-    write_token_file(docs, path, tokenizer)
-    return read_token_file(spark, path).select(
+    at = path or scratch_path(spark, "token-file")
+    write_token_file(docs, at, tokenizer)
+    if path is None:
+        gone_with_driver(spark, at)
+    return read_token_file(spark, at).select(
         "doc_id", "start", F.expr("cast(octet_length(ids) / 4 as bigint)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )

@@ -431,7 +431,8 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
     """``doc_id, n_ids, ids, ids_crc32, decoded_crc32``: ids of every whole text, and the crc32 of the text decoded from them.
 
     ``ids`` is binary, little-endian unsigned 32-bit. Null and empty texts have no ids; rows stay rows,
-    repeated or not; an empty table gives none; other columns are left out.
+    repeated or not, also without an id; an empty table gives none; other columns, whatever their names, are left
+    out. Long texts are coded whole, a long word in windows that join exactly.
     """
     model = model or default_model()
 

@@ -232,8 +232,9 @@ def counter(path: str) -> WordPieceCounter:
 def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``doc_id, n_words, n_tokens`` of every whole text.
 
-    Null and empty texts have none; rows stay rows, repeated or not; an empty table gives none; other
-    columns are left out.
+    Null and empty texts have none; rows stay rows, repeated or not, also without an id; an empty table gives
+    none; other columns, whatever their names, are left out. Texts of any length are counted whole, a very long
+    word letter by letter.
     """
     path = vocabulary or default_tokenizer()
 
