@@ -239,6 +239,40 @@ def entity_hits(text: Column, dictionary: dict[str, list[dict]]) -> Column:
     return F.transform(hits, lambda e: F.struct(e["ordinal"], e["domain"], e["category"], e["slug"]))
 
 
+def entity_table(entries: DataFrame) -> DataFrame:
+    """``ordinal, domain, category, slug, surface, head`` of ``entries(domain, entry, slug, ordinal, surface)``: what ``entities_by_join`` looks up.
+
+    The order is that of domains by name, entries and surfaces; ``head`` is a surface's longest word, the first of equals.
+    """
+    words = F.regexp_extract_all(F.lower("surface"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    longest = F.array_max(F.transform(words, lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"), w.alias("w"))))["w"]
+    category = F.coalesce(*(F.when(F.col("domain") == d, c) for d, c in DOMAIN_CATEGORIES.items()), F.col("domain"))
+    order = F.struct("domain", "entry", "ordinal")
+    return entries.where("surface <> ''").select(order.alias("ordinal"), "domain", category.alias("category"), "slug", F.lower("surface").alias("surface"), F.coalesce(longest, F.lit("")).alias("head"))
+
+
+def entities_by_join(docs: DataFrame, table: DataFrame, key: str = "id", text: str = "raw_text") -> DataFrame:
+    """``key, ordinal, domain, category, slug`` of every entity of ``entity_table`` in every text, letters and digits not touching.
+
+    A text's distinct words meet the heads of the surfaces; the planner broadcasts a table that is small and deals
+    a large one by words. Only texts that hold a head are read again to look for the surface itself. The hits are
+    those of ``entity_hits``. Keys are unique; texts without one, and null texts, have no hits.
+    """
+    body = docs.select(key, F.lower(F.col(text)).alias("__text")).where(F.col(key).isNotNull() & F.col("__text").isNotNull())
+    words = body.select(key, F.explode(F.array_distinct(F.concat(tokens(F.col("__text")), F.array(F.lit(""))))).alias("head"))
+    near = words.join(table, "head").drop("head")
+    plain = F.regexp_replace("surface", r"([^\p{L}\p{N}\s])", r"\\$1")
+    found = body.join(near, key).where(F.col("__text").contains(F.col("surface")))
+    return found.where(F.regexp_like("__text", F.concat(F.lit(BEFORE), plain, F.lit(AFTER)))).select(key, "ordinal", "domain", "category", "slug").distinct()
+
+
+def first_by_join(docs: DataFrame, table: DataFrame, key: str = "id", text: str = "raw_text") -> DataFrame:
+    """``key, domain, category, slug`` of each text's first entity in the table's order."""
+    hits = entities_by_join(docs, table, key, text)
+    best = hits.groupBy(key).agg(F.min(F.struct("ordinal", "domain", "category", "slug")).alias("e"))
+    return best.select(key, "e.domain", "e.category", "e.slug")
+
+
 def first_of_hits(hits: Column, domains: tuple[str, ...] | None = None) -> Column:
     """``struct(ordinal, domain, category, slug)`` of the first hit in the dictionary's order, of some domains or of all; null without one."""
     return F.array_min(hits if domains is None else F.filter(hits, lambda e: e["domain"].isin(*domains)))

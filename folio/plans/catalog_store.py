@@ -234,3 +234,14 @@ def walked_files(spark, d):
     rows.select("src", F.coalesce("title", F.lit("")).alias("title")).write.mode("append").partitionBy("src").text(base)
     found = files.list_files(spark, base, None).where(paths.basename(F.col("path")).startswith("part-"))
     return found.groupBy(F.regexp_extract("path", "/([^/]*)/[^/]*$", 1).alias("folder")).agg(F.count(F.lit(1)).cast("int").alias("files"))
+
+
+@query("""WITH p AS (SELECT c_custkey AS id, c_name AS name, c_custkey % 4 AS k FROM customer)
+SELECT id, CASE k WHEN 0 THEN 'w' || id WHEN 1 THEN 'all' WHEN 2 THEN 'w' || id END AS slug, CASE k WHEN 1 THEN 'gov' ELSE 'banks' END AS domain FROM p WHERE k < 3""")
+def entity_join(spark, d):
+    """A dictionary that grows with the table: every customer's name, met in texts by its longest word, and one entity of another domain."""
+    key, customers = F.col("c_custkey"), table(spark, d, "customer")
+    entries = customers.select(F.lit("banks").alias("domain"), key.alias("entry"), F.concat(F.lit("w"), key.cast("string")).alias("slug"), F.lit(0).alias("ordinal"), F.col("c_name").alias("surface"))
+    entries = entries.union(spark.createDataFrame([("gov", 0, "all", 0, "Avis & Taxes (fin.)")], entries.schema))
+    body = F.concat(F.when(key % 4 == 1, "x avis & taxes (fin.) y ").otherwise("compte "), F.when(key % 4 == 1, "").when(key % 4 == 3, F.concat("c_name", F.lit("9"))).otherwise(F.col("c_name")), F.lit(", client"))
+    return rules.first_by_join(customers.select(key.alias("id"), body.alias("raw_text")), rules.entity_table(entries)).select("id", "slug", "domain")

@@ -177,3 +177,9 @@ def test_chunks_and_table_repair():
     assert markdown.chunks_of("") == [] and markdown.chunks_of(None) == []
     assert markdown.repaired_tables("| a | b |\n| --- | --- |\n\n| 1 | 2 |") == "| a | b |\n| --- | --- |\n| 1 | 2 |"
     assert markdown.repaired_tables("| a |\n| --- | --- |") == "| a |  |\n| --- | --- |"
+
+
+def test_histogram_counts_whole_levels(spark):
+    rows = spark.createDataFrame([([0, 0, 255, None, 256, -1],), ([],), (None,)], "levels array<int>")
+    counts = [r["h"] for r in rows.select(geometry.histogram("levels").alias("h")).collect()]
+    assert all(len(c) == 256 for c in counts) and counts[0][0] == 2 and counts[0][255] == 1 and [sum(c) for c in counts] == [3, 0, 0]
