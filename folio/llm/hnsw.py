@@ -254,6 +254,24 @@ def _dealt(distinct: DataFrame, queries: DataFrame, k: int, shard_rows: int) ->
     return placed.withColumn("shard", place), asked, total
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
+    """``(length, shard, kind)`` and rows of it: a shard's points at once, its queries as their batches come.
+
+    Points are as many as a shard holds, queries as many as the table is large; those are never put together.
+    """
+    held: list[pa.RecordBatch] = []
+    now: tuple | None = None
+    for batch in batches:
+        for values, rows in groups([batch], "length", "shard", "kind"):
+            if held and (values != now or values[2] == 1):
+                yield now, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            now = values
+            held += rows.to_batches()
+    if held:
+        yield now, pa.Table.from_batches(held).combine_chunks()
+
+
 def search(table: DataFrame, k: int = 5, every: int = 50, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found by cosine of every row whose id is divisible by ``every``.
 
@@ -278,7 +296,7 @@ def search(table: DataFrame, k: int = 5, every: int = 50, shard_rows: int = SHAR
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index | None = None
         held: tuple = ()
-        for (length, shard, kind), rows in groups(batches, "length", "shard", "kind"):
+        for (length, shard, kind), rows in _runs(batches):
             if kind == 0:
                 vectors = matrix(rows.column("embedding").combine_chunks())
                 index, held = Index(unit(vectors)), (length, shard, vectors, rows.column("ids").to_pylist())
