@@ -14,7 +14,7 @@ from folio.operators import rules
 from folio.plans.catalog import SQL, load, now, query, table
 from folio.plans.query import StructuredQuery
 from folio.session import scratch_folder
-from folio.sources import files, versions
+from folio.sources import archive, files, versions
 from folio.streaming import ingest as streams
 from folio.streaming import live_log
 from folio.streaming.ordered import suppressed_stream, task_history_stream
@@ -245,3 +245,15 @@ def entity_join(spark, d):
     entries = entries.union(spark.createDataFrame([("gov", 0, "all", 0, "Avis & Taxes (fin.)")], entries.schema))
     body = F.concat(F.when(key % 4 == 1, "x avis & taxes (fin.) y ").otherwise("compte "), F.when(key % 4 == 1, "").when(key % 4 == 3, F.concat("c_name", F.lit("9"))).otherwise(F.col("c_name")), F.lit(", client"))
     return rules.first_by_join(customers.select(key.alias("id"), body.alias("raw_text")), rules.entity_table(entries)).select("id", "slug", "domain")
+
+
+@query("""SELECT doc_id AS id, 'doc_' || doc_id || '.md' AS name, md5(coalesce(text, '')) AS content FROM documents WHERE doc_id % 10 < 3 UNION ALL SELECT -1, NULL, NULL""")
+def package_archive(spark, d):
+    """Chosen documents as a zip archive that is read back, and a chosen id that has none."""
+    docs = load(spark, d).withColumn("filename", F.concat(F.lit("doc_"), F.col("id").cast("string"), F.lit(".md"))).select("id", "filename", "raw_text")
+    wanted = docs.where("id % 10 < 3").select("id").union(spark.createDataFrame([(-1,)], "id long"))
+    found, missing = ops.package(docs, wanted)
+    path = f"{scratch_folder(spark, 'package')}/package.zip"
+    archive.write_archive(found.select(F.col("target").alias("name"), F.col("raw_text").alias("body")), path)
+    members = archive.read_archives(spark, path).select(F.regexp_extract("name", "doc_([0-9]+)", 1).cast("long").alias("id"), "name", F.md5("body").alias("content"))
+    return members.union(missing.select("id", F.lit(None).cast("string"), F.lit(None).cast("string")))
