@@ -1,9 +1,9 @@
 """Exact ids of a word-splitting tokenizer, with one library call per distinct word.
 
 The tokenizer splits at white space before anything else and drops it, so the ids of a text are the
-ids of its chunks between spaces and newlines put together. A chunk of plain letters and signs is
-split into lower-case words here, by the tokenizer's own pattern; any other chunk goes to the library
-whole. Both chunks and words repeat, so each worker keeps bounded caches of their ids. New words go to
+ids of its chunks between spaces and newlines put together. A text of plain letters and signs is
+split into lower-case words here, by the tokenizer's own pattern, and so is a plain chunk of any other
+text; other chunks go to the library whole. Both chunks and words repeat, so each worker keeps bounded caches of their ids. New words go to
 the library side by side, through its model and byte letters only, since their form is settled: only
 the last id of a word is one that ends words, so the ids fall apart again.
 """
@@ -25,6 +25,10 @@ CACHE_CHARS = 48
 #: characters on which the pattern below, lower case and composed form agree with the tokenizer's
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ¡¿«»]*")
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: the same for whole texts of such characters, spaces and line ends: no word goes over one of these
+PLAIN_TEXT = re.compile(r"[ \n!-~À-ÖØ-öø-ÿ¡¿«»]*")
+TEXT_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \na-zß-öø-ÿ0-9]+")
+PIECE_CHARS = 1_000_000
 
 _encoders: dict[str, ChunkEncoder] = {}
 
@@ -70,17 +74,20 @@ class ChunkEncoder:
 
     def _learn_words(self, words: list[str]) -> None:
         known = self.words
-        for at in range(0, len(words), 100):
-            some = words[at : at + 100]
-            ids = np.array(self.lean.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) == len(some) and last[-1] == len(ids):
-                data, start = ids.tobytes(), 0
-                for word, end in zip(some, last.tolist(), strict=True):
-                    known[word] = data[4 * start : 4 * end]
-                    start = end
-            else:
-                known.update(zip(some, self._library(some), strict=True))
+        lists = [words[at : at + 100] for at in range(0, len(words), 100)]
+        for at in range(0, len(lists), 50):
+            some = lists[at : at + 50]
+            coded = self.lean.encode_batch_fast([" ".join(ws) for ws in some], add_special_tokens=False)
+            for ws, one in zip(some, coded, strict=True):
+                ids = np.array(one.ids, "<u4")
+                last = np.flatnonzero(self.ends[ids]) + 1
+                if len(last) == len(ws) and last[-1] == len(ids):
+                    data, start = ids.tobytes(), 0
+                    for word, end in zip(ws, (4 * last).tolist(), strict=True):
+                        known[word] = data[start:end]
+                        start = end
+                else:
+                    known.update(zip(ws, self._library(ws), strict=True))
 
     def _learn(self, chunks: set[str]) -> None:
         split, whole = [], []
@@ -99,14 +106,44 @@ class ChunkEncoder:
         if len(words) > CACHE_WORDS:
             words.clear()
 
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of plain texts: their words at once, each looked up."""
+        found = [TEXT_WORD.findall(t.lower()) for t in texts]
+        known = self.words
+        missing = set().union(*found).difference(known)
+        self._learn_words(list(missing))
+        out = [b"".join(map(known.__getitem__, words)) for words in found]
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        else:
+            for w in missing:
+                if len(w) > CACHE_CHARS:
+                    del known[w]
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, then ``END_ID``, as little-endian unsigned 32-bit integers."""
         end = END_ID.to_bytes(4, "little")
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        out, plain, other = [b""] * len(texts), [], []
+        for i, t in enumerate(texts):
+            if t:
+                whole = self.splits and PLAIN_TEXT.fullmatch(t) and not any(s in t for s in self.special)
+                (plain if whole else other).append(i)
+        for i in [i for i in plain if len(texts[i]) > PIECE_CHARS]:
+            out[i] = b"".join(self._plain([piece])[0] for piece in _pieces(texts[i]))
+        short = [i for i in plain if len(texts[i]) <= PIECE_CHARS]
+        for i, ids in zip(short, self._plain([texts[i] for i in short]), strict=True):
+            out[i] = ids
+        for i, ids in zip(other, self._chunked([texts[i] for i in other]), strict=True):
+            out[i] = ids
+        return [ids + end for ids in out]
+
+    def _chunked(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.chunks
         missing = {c for chunks in split for c in chunks if c not in known}
         self._learn(missing)
-        out = [b"".join(map(known.__getitem__, chunks)) + end for chunks in split]
+        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
         if len(known) > CACHE_CHUNKS:
             known.clear()
             known[""] = b""
@@ -117,6 +154,18 @@ class ChunkEncoder:
         return out
 
 
+def _pieces(text: str):
+    """A long text in pieces that end where a space or line end follows."""
+    at = 0
+    while at < len(text):
+        end = len(text)
+        if end - at > PIECE_CHARS:
+            stops = [x for x in (text.find(" ", at + PIECE_CHARS), text.find("\n", at + PIECE_CHARS)) if x >= 0]
+            end = min(stops, default=end)
+        yield text[at:end]
+        at = end
+
+
 def encoder(path: str) -> ChunkEncoder:
     """One per worker process and file."""
     hold("word tokens", _encoders.clear)

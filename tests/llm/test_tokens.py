@@ -275,3 +275,24 @@ def test_counts_equal_greedy_matching(small, odd, empty):
     got = {(r["doc_id"], r["n_words"], r["n_tokens"]) for r in token_counts.count_tokens(odd).collect()}
     assert got == {(d["doc_id"], *want(d["text"])) for d in odd.collect()}
     assert token_counts.count_tokens(empty).count() == 0
+
+
+def test_plain_texts_by_words_equal_the_library(monkeypatch):
+    """Plain texts go by words at once, long ones in pieces, and others by chunks: the ids are the library's."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from folio.llm import word_tokens
+
+    monkeypatch.setattr(word_tokens, "PIECE_CHARS", 50)
+    monkeypatch.setattr(word_tokens, "CACHE_WORDS", 400)
+    rng, letters = random.Random(7), list("abzÀÉßöÿ ' ''sstrevmlld 0123 .,;:!?<|>[]«»¡¿×÷ªº\t\n ’")
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(120))) for _ in range(1_500)]
+    texts += ["it's we'LL they'Re I'M 'D don'T\nend", "a" * 3_000, "Ab, " * 500 + "\n" + "x" * 60 + " y", "<|endoftext|> x", "a<|startoftext|>b", "", None]
+    path = word_tokens.default_tokenizer()
+    coder, library = word_tokens.ChunkEncoder(path), Tokenizer.from_file(path)
+    for at in range(0, len(texts), 300):
+        part = texts[at : at + 300]
+        want = library.encode_batch([t or "" for t in part], add_special_tokens=False)
+        assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(part)] == [[*w.ids, 1] for w in want]
