@@ -446,7 +446,7 @@ def repaired_tables(spark, d):
     return table(spark, d, "part").select(
         _key().alias("id"),
         markdown.fix_tables(F.concat(header, S("\n| x | y |\nend"))).alias("fixed"),
-        markdown.open_header(F.concat(S("| old |\n\n"), header, S("\n| x | y |"))).alias("open_header"),
+        markdown.open_header(F.concat(S("| old |\n\n"), header, S("\n| --- | --- |\n| x | y |"))).alias("open_header"),
         markdown.join_chunks(chunks).alias("joined"),
     )
 

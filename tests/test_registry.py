@@ -12,7 +12,7 @@ import __spark_entry__ as contract
 from folio import schema
 from folio.operators import registry_ops as ops
 from folio.plans import catalog, catalog_more  # noqa: F401
-from folio.sources import files
+from folio.sources import files, versions
 from folio.streaming.ingest import ingest
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -105,7 +105,7 @@ def test_sinks(spark, tmp_path):
     first = next(p for p in Path(tmp_path / "csv").glob("part-*") if p.stat().st_size).read_text("utf-8")
     assert first.startswith("﻿id,title")
     files.write_registry(docs, str(tmp_path / "json"), "2024-06-30")
-    assert spark.read.json(str(tmp_path / "json/envelope")).first()["total_count"] == 2
+    assert spark.read.json(f"{versions.current(spark, str(tmp_path / 'json'))}/envelope").first()["total_count"] == 2
     files.write_markdown(docs, str(tmp_path / "md"))
     assert sorted(r["name"] for r in spark.read.parquet(str(tmp_path / "md")).collect()) == ["T_1.md", "t_2.md"]
 

@@ -8,7 +8,7 @@ from folio.functions import markdown, paths
 from folio.operators import registry_ops as ops
 from folio.operators import rules
 from folio.schema import DECISIONS
-from folio.sources import files
+from folio.sources import files, versions
 
 
 def test_json_sources(spark, tmp_path):
@@ -28,12 +28,12 @@ def test_json_sources(spark, tmp_path):
     assert files.read_rows(spark, write("r.json", {"rows": [{"v": 1}, {"v": 2}]}), "v: INT", "rows").count() == 2
 
 
-def test_replaced_by_rename(spark, tmp_path):
+def test_published_tables_replace_each_other(spark, tmp_path):
     path = str(tmp_path / "out")
     for n in (1, 3):
-        files.replaced(spark, path, lambda to, n=n: spark.range(n).write.parquet(to))
-        assert spark.read.parquet(path).count() == n
-    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+        versions.publish(spark, path, lambda to, n=n: spark.range(n).write.parquet(to), keep=1)
+        assert spark.read.parquet(versions.current(spark, path)).count() == n
+    assert len([p for p in (tmp_path / "out").iterdir() if not p.name.startswith("_")]) == 1
 
 
 def test_nothing_is_overwritten(spark):
