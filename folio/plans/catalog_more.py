@@ -387,7 +387,7 @@ def text_functions(spark, d):
 @query("""SELECT doc_id AS id, CASE WHEN length(b) < 10 THEN '' ELSE b END AS cleaned FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+', ''), '\\s+$', '') AS b FROM documents)""")
 def cleaned_text(spark, d):
     noisy = F.concat(S("\x00"), F.replace("raw_text", S("\n"), S("\r\n")))
-    return load(spark, d).select("id", text.clean_text(noisy).alias("cleaned"))
+    return load(spark, d).select("id", text.clean_text(noisy, after=True).alias("cleaned"))
 
 
 @query("""SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN p_name || ' by hand' WHEN 1 THEN 'a fresh text' ELSE p_name END AS chosen, p_partkey % 2 = 0 AS refresh, p_partkey % 4 < 2 AS generic, 'bank' AS tree_category, CASE WHEN p_partkey % 2 = 0 THEN 'sfr' END AS tree_subcategory FROM part""")

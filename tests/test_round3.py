@@ -2,9 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from folio.functions import dates
+from folio.functions import dates, text
 
 
 def test_bytes_beyond_the_last_unit(value):
     sizes = (1023, 1024**3 - 1, 1024**3, 1024**4, 1536 * 1024**3)
     assert [value(dates.format_bytes(F.lit(n))) for n in sizes] == ["1023 B", "1024 MB", "1 GB", "1024 GB", "1536 GB"]
+
+
+def test_short_after_cleaning(value):
+    noisy = F.lit("\x00ab\r\ncd\r\nefg")  # nine characters once NUL and carriage returns are gone
+    assert value(text.clean_text(noisy, after=True)) == "" and value(text.clean_text(noisy)) == "ab\ncd\nefg"
+    assert value(text.clean_text(F.lit(None).cast("string"))) is None
