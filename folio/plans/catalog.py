@@ -12,7 +12,7 @@ from folio.operators import registry_ops as ops
 from folio.operators import retrieval, rules, search_index
 from folio.plans.query import StructuredQuery
 from folio.registry import REGISTRY_SQL, TODAY, load, registry
-from folio.session import scratch_folder
+from folio.session import scratch_folder, spread
 from folio.streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def worked(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of short rows with much work on each: dealt over all cores, however few its files are."""
+    return spread(table(spark, sf_dir, name))
+
+
 # -- counts, filters ------------------------------------------------------------------------------
 
 

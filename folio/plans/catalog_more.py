@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from folio.functions import dates, geometry, markdown, paths, text
 from folio.operators import registry_ops as ops
 from folio.operators import retrieval, rules, search_index
-from folio.plans.catalog import _DICTIONARY, _TAXONOMY_SQL, _taxonomy, index, load, now, query, table
+from folio.plans.catalog import _DICTIONARY, _TAXONOMY_SQL, _taxonomy, index, load, now, query, table, worked
 from folio.plans.query import StructuredQuery, limit_of, match_text, plan, plan_with, relaxed
 from folio.registry import TODAY
 from folio.session import scratch_folder
@@ -136,7 +136,7 @@ def request_plans(spark, d):
             yield pd.DataFrame(rows, columns=["i", "entities", "keywords", "date_from", "n", "expression", "looser"])
 
     kind = "i long, entities string, keywords string, date_from string, n int, expression string, looser string"
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("i"), said.alias("message")).mapInPandas(run, kind)
+    return worked(spark, d, "customer").select(F.col("c_custkey").alias("i"), said.alias("message")).mapInPandas(run, kind)
 
 
 # -- rules and taxonomy ---------------------------------------------------------------------------
@@ -147,7 +147,7 @@ def rule_edges(spark, d):
     """A keyword counts unless a letter touches it; digits may, and an end that is a sign needs no guard."""
     body = pick(_key(), "un CDI signé", "acdi", "12cdi34", "cdisse", "form W-2 2023", "w-2form", "facture n°x", "nothing")
     found = F.coalesce(*(F.when(rules.rule_match(rules.Rule(1, (k,), "x"), body, S("f.pdf")), k) for k in ("cdi", "w-2", "n°")))
-    return table(spark, d, "part").select(_key().alias("id"), found.alias("found"))
+    return worked(spark, d, "part").select(_key().alias("id"), found.alias("found"))
 
 
 @query("""SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN 'bank' WHEN 1 THEN 'administrative' WHEN 2 THEN 'administrative' WHEN 3 THEN 'housing' WHEN 4 THEN 'housing' WHEN 5 THEN 'bulletin_salaire' WHEN 6 THEN 'housing' WHEN 7 THEN 'identity' END AS category,
@@ -157,7 +157,7 @@ def rule_anchors(spark, d):
     overlay = rules.overlay_rules([{"keywords": ["Foncia"], "category": "housing", "subcategory": "foncia"}])
     body = pick(_key(), "Relevé de compte foncia avis d'impôt", "avis d'impôt foncia", "Taxe foncière, Finances publiques, foncia", "foncia taxe foncière", "quittance foncia", "Payslip foncia gross pay", "foncia invoice", "carte grise")
     rule = rules.first_rule(body, S("f.pdf"), (*overlay, *rules.DEFAULT_RULES))
-    return table(spark, d, "part").select(_key().alias("id"), rule["category"].alias("category"), rule["subcategory"].alias("subcategory"))
+    return worked(spark, d, "part").select(_key().alias("id"), rule["category"].alias("category"), rule["subcategory"].alias("subcategory"))
 
 
 _CATALOGUE = """STEP 1: FIRST
@@ -174,7 +174,7 @@ CASE WHEN starts_with(p_name, 'cold ') THEN 'cool' WHEN starts_with(p_name, 'sma
 def rule_catalogue(spark, d):
     """Rules read from a catalogue in prose."""
     rule = rules.first_rule(F.col("p_name"), S("f.pdf"), rules.read_catalogue(_CATALOGUE))
-    return table(spark, d, "part").select(_key().alias("id"), rule["priority"].alias("priority"), rule["category"].alias("category"), rule["subcategory"].alias("subcategory"))
+    return worked(spark, d, "part").select(_key().alias("id"), rule["priority"].alias("priority"), rule["category"].alias("category"), rule["subcategory"].alias("subcategory"))
 
 
 @query("SELECT c_custkey AS id, 'w' || c_custkey AS slug FROM customer WHERE c_custkey < 2700")
@@ -182,7 +182,7 @@ def entity_dictionary(spark, d):
     """A dictionary of 2,700 surfaces."""
     dictionary = {"banks": [{"slug": f"w{i}", "name": f"Customer#{i:09d}"} for i in range(2700)]}
     found = rules.first_entity(F.lower(F.concat(S("compte de "), F.col("c_name"), S(", client"))), dictionary)
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), found["slug"].alias("slug")).where("slug is not null")
+    return worked(spark, d, "customer").select(F.col("c_custkey").alias("id"), found["slug"].alias("slug")).where("slug is not null")
 
 
 def _dated(pattern: str, order: str) -> str:
@@ -223,7 +223,7 @@ FROM (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'administrative' ELSE
 def resolve_categories(spark, d):
     raw = F.when(F.col("c_custkey") % 10 == 0, "").otherwise(F.concat(S(" "), F.col("c_mktsegment")))
     found = rules.resolve_category(raw, _SEGMENTS)
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), found["id"].alias("category"), found["is_new"].alias("is_new"), found["new_name"].alias("new_name"))
+    return worked(spark, d, "customer").select(F.col("c_custkey").alias("id"), found["id"].alias("category"), found["is_new"].alias("is_new"), found["new_name"].alias("new_name"))
 
 
 _KINDS = [
@@ -240,7 +240,7 @@ def resolve_subcategories(spark, d):
     raw = F.when(_key() % 9 == 0, "Other").otherwise(F.concat(F.upper("p_name"), S("_202301")))
     body = F.when(_key() % 4 == 0, "nothing").otherwise(F.concat(S("une "), F.replace("p_name", S(" "), S("-")), S("!")))
     found = rules.resolve_subcategory(F.lower("p_type"), raw, _KINDS, body, S("scan.pdf"))
-    return table(spark, d, "part").select(_key().alias("id"), found["id"].alias("subcategory"), found["is_new"].alias("is_new"))
+    return worked(spark, d, "part").select(_key().alias("id"), found["id"].alias("subcategory"), found["is_new"].alias("is_new"))
 
 
 @query("""SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'economy' WHEN 1 THEN 'economy' WHEN 2 THEN 'standard' WHEN 3 THEN 'other' WHEN 4 THEN 'other' ELSE 'other' END AS category,
@@ -253,7 +253,7 @@ def placements(spark, d):
     guard = rules.placement_guard(
         pick(_key(), "economy", "other", "standard", "other", "other", "other"), pick(_key(), "widgets", "widgets", "shared", "cold_bolts", "economy", "unknown_thing"), [*_KINDS, *shared, *many], ["economy", "standard"]
     )
-    return table(spark, d, "part").select(_key().alias("id"), guard["category"].alias("category"), guard["slug"].alias("slug"), guard["hint"].alias("hint"))
+    return worked(spark, d, "part").select(_key().alias("id"), guard["category"].alias("category"), guard["slug"].alias("slug"), guard["hint"].alias("hint"))
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 3 = 1 THEN 'keep' WHEN (o_orderkey % 100) / 100.0 >= CASE WHEN o_orderkey % 2 = 0 THEN 0.85 ELSE 0.6 END THEN 'override' ELSE 'block' END AS action FROM orders""")
@@ -348,7 +348,7 @@ def slug_functions(spark, d):
     slug = F.replace("p_name", S(" "), S("_"))
     dated = pick(_key(), F.concat(slug, S("_202301")), slug, "20230115", "2023_2024")
     echo = text.is_filename_echo(slug, F.when(_key() % 2 == 0, F.concat(S("scan_"), slug, S(".pdf"))).otherwise("other.pdf"))
-    return table(spark, d, "part").select(_key().alias("id"), text.strip_date_tail(dated).alias("bare"), text.title_case(slug).alias("title"), echo.alias("echo"))
+    return worked(spark, d, "part").select(_key().alias("id"), text.strip_date_tail(dated).alias("bare"), text.title_case(slug).alias("title"), echo.alias("echo"))
 
 
 @query("""SELECT p_partkey AS id, 'Facture ' || p_name AS title, 'facture-' || replace(p_name, ' ', '_') AS stem, 'facture,' || replace(p_name, ' ', ',') AS words, p_partkey % 3 = 1 OR p_partkey % 3 = 0 AS generic,
@@ -357,7 +357,7 @@ def filename_functions(spark, d):
     slug = F.replace("p_name", S(" "), S("_"))
     name = F.concat(S("facture-"), slug, S(".PDF"))
     camera = pick(_key(), F.concat(S("IMG_"), _key().cast("string"), S(".pdf")), "scan 12.pdf", name)
-    return table(spark, d, "part").select(
+    return worked(spark, d, "part").select(
         _key().alias("id"),
         paths.title_of(F.concat(S("Facture-"), slug, S(".pdf"))).alias("title"),
         text.stem(name).alias("stem"),
@@ -373,7 +373,7 @@ def filename_functions(spark, d):
 def text_functions(spark, d):
     name = F.col("p_name")
     down = text.download_name(F.concat(S("École/"), name))
-    return table(spark, d, "part").select(
+    return worked(spark, d, "part").select(
         _key().alias("id"),
         text.sanitize_segment(F.when(_key() % 5 == 0, "!!!").otherwise(F.concat(S("École "), name)), "autre").alias("segment"),
         text.escape_html(F.concat(S("<"), name, S("> & \"x'"))).alias("escaped"),
@@ -426,7 +426,7 @@ def date_functions(spark, d):
 def repaired_json(spark, d):
     key, name = _key().cast("string"), F.col("p_name")
     raw = pick(_key(), F.concat(S('```json\n{"a": '), key, S(', "b": [1, 2')), F.concat(S('Here: {"name": "'), name, S('",} done')), F.concat(S('{"c": {"d": "'), name), "no object")
-    return table(spark, d, "part").select(_key().alias("id"), markdown.clean_json(raw).alias("json"))
+    return worked(spark, d, "part").select(_key().alias("id"), markdown.clean_json(raw).alias("json"))
 
 
 @query("SELECT p_partkey AS id, p_name AS titre, '' AS summary, 0 AS tags FROM part")
@@ -443,7 +443,7 @@ def metadata_records(spark, d):
 def repaired_tables(spark, d):
     name, header = F.col("p_name"), F.concat(S("| "), F.col("p_name"), S(" | b |"))
     chunks = F.array(F.concat(S("| h |\n| "), name, S(" |\n")), S("\n| z |\n"), S("\nafter"))
-    return table(spark, d, "part").select(
+    return worked(spark, d, "part").select(
         _key().alias("id"),
         markdown.fix_tables(F.concat(header, S("\n| x | y |\nend"))).alias("fixed"),
         markdown.open_header(F.concat(S("| old |\n\n"), header, S("\n| --- | --- |\n| x | y |"))).alias("open_header"),
@@ -457,33 +457,33 @@ def handed_headers(spark, d):
     header = F.concat(S("text\n| "), F.col("p_name"), S(" | b |\n"), F.when(_key() % 2 == 0, "| --- | :-: |\n").otherwise(""), S("| 1 | 2 |\n\n"))
     middle = F.concat(S("| 3 | 4 |\n"), F.when(_key() % 3 == 0, "a note\n").otherwise(""), F.concat(S("| "), F.col("p_type"), S(" | 6 |")))
     heads = markdown.handed_headers(F.array(header, middle, S("| 7 | 8 |\n\nend"), S("| new |")))
-    return table(spark, d, "part").select(_key().alias("id"), *(F.get(heads, S(i)).alias(n) for i, n in enumerate(("first", "second", "third", "fourth"))))
+    return worked(spark, d, "part").select(_key().alias("id"), *(F.get(heads, S(i)).alias(n) for i, n in enumerate(("first", "second", "third", "fourth"))))
 
 
 @query("""SELECT p_partkey AS id, 'a' || chr(10) || CASE WHEN p_partkey % 3 = 0 THEN '> ' ELSE '' END || repeat('| c ', 13 + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END) || '|' || chr(10) || CASE WHEN p_partkey % 3 = 0 THEN '> ' ELSE '' END || '| ' || p_name || ' |' || chr(10) || 'b' || chr(10) || '| d |' AS body FROM part""")
 def quoted_charts(spark, d):
     header = F.concat(F.repeat(S("| c "), F.when(_key() % 3 == 0, 14).otherwise(13)), S("|"))
     body = F.concat(S("a\n"), header, S("\n| "), F.col("p_name"), S(" |\nb\n| d |"))
-    return table(spark, d, "part").select(_key().alias("id"), markdown.quote_charts(body).alias("body"))
+    return worked(spark, d, "part").select(_key().alias("id"), markdown.quote_charts(body).alias("body"))
 
 
 @query("""SELECT p_partkey AS id, '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| x | ' || p_name || '|' || chr(10) || '| 1 | 2 |' AS rows, '| a |  |' || chr(10) || '| --- | --- |' AS header FROM part""")
 def malformed_tables(spark, d):
     body = F.concat(S("| a | b |\n| --- | --- |\n| x | "), F.col("p_name"), S("\n\n| 1 | 2 |"))
-    return table(spark, d, "part").select(_key().alias("id"), markdown.repair_tables(body).alias("rows"), markdown.repair_tables(S("| a |\n| --- | --- |")).alias("header"))
+    return worked(spark, d, "part").select(_key().alias("id"), markdown.repair_tables(body).alias("rows"), markdown.repair_tables(S("| a |\n| --- | --- |")).alias("header"))
 
 
 @query("""SELECT p_partkey AS id, '<h4>' || p_name || '</h4><br>a <strong>b</strong> <em>c</em> <code>d</code> &lt;i&gt;<br><table><thead><tr><th>h</th><th>' || p_name || '</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr></tbody></table><br><li>item</li>' AS html FROM part""")
 def markdown_html(spark, d):
     body = F.concat(S("## "), F.col("p_name"), S("\na **b** *c* `d` <i>\n| h | "), F.col("p_name"), S(" |\n| 1 | 2 |\n- item"))
-    return table(spark, d, "part").select(_key().alias("id"), markdown.to_html(body).alias("html"))
+    return worked(spark, d, "part").select(_key().alias("id"), markdown.to_html(body).alias("html"))
 
 
 @query("SELECT p_partkey AS id, CAST(ceil((1 + p_size) / 13.0) AS INTEGER) AS n, CASE WHEN 1 + p_size >= 13 THEN 1312 ELSE (1 + p_size) * 101 - 1 END AS longest FROM part")
 def chunk_counts(spark, d):
     """Lines of 100 characters: thirteen fill a chunk."""
     body = F.array_join(F.array_repeat(F.repeat(S("x"), 100), 1 + F.col("p_size")), "\n")
-    chunks = table(spark, d, "part").select(_key().alias("id"), markdown.chunk_text(body).alias("c"))
+    chunks = worked(spark, d, "part").select(_key().alias("id"), markdown.chunk_text(body).alias("c"))
     return chunks.select("id", F.size("c").alias("n"), F.array_max(F.transform("c", F.length)).alias("longest"))
 
 
@@ -517,7 +517,7 @@ CASE WHEN (s[99] - s[2]) / 255.0 < 0.05 THEN 0 ELSE CAST(round(greatest(-50, lea
 FROM (SELECT c_custkey AS id, list_sort(list_transform(range(0, 100), lambda i: CAST((i * c_custkey) % (20 + c_custkey % 236) AS INTEGER))) AS s FROM customer)""")
 def gray_levels(spark, d):
     levels = F.transform(F.sequence(S(0), S(99)), lambda i: ((i * F.col("c_custkey")) % (20 + F.col("c_custkey") % 236)).cast("int"))
-    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), geometry.histogram(levels).alias("h")).select("id", geometry.clip_points(F.col("h")).alias("p"))
+    rows = worked(spark, d, "customer").select(F.col("c_custkey").alias("id"), geometry.histogram(levels).alias("h")).select("id", geometry.clip_points(F.col("h")).alias("p"))
     auto = geometry.auto_levels(F.col("p.black"), F.col("p.white"))
     return rows.select("id", "p.black", "p.white", auto["brightness"].alias("brightness"), auto["contrast"].alias("contrast"))
 

@@ -11,7 +11,7 @@ from folio.functions import geometry, markdown, paths
 from folio.operators import registry_ops as ops
 from folio.operators import registry_store as store
 from folio.operators import rules
-from folio.plans.catalog import SQL, load, now, query, table
+from folio.plans.catalog import SQL, load, now, query, table, worked
 from folio.plans.query import StructuredQuery
 from folio.session import scratch_folder
 from folio.sources import archive, files, versions
@@ -164,7 +164,7 @@ def kept_hints(spark, d):
     key = F.col("p_partkey")
     category = F.when(key % 2 == 0, "bank").otherwise("tax")
     slug = F.when(key % 4 == 2, "tax").when(key % 4 == 3, "impots").otherwise("impot")
-    rows = table(spark, d, "part").select(key.alias("id"), category.alias("category"), slug.alias("slug"))
+    rows = worked(spark, d, "part").select(key.alias("id"), category.alias("category"), slug.alias("slug"))
     guard = rules.placement_guard(F.col("category"), F.col("slug"), taxonomy, ["tax", "bank"])
     placed = rows.withColumn("g", guard).select("id", "category", "slug", F.col("g.category").alias("to_category"), F.col("g.slug").alias("to_slug"), F.col("g.hint").alias("hint"))
     path = scratch_folder(spark, "hints")
@@ -188,7 +188,7 @@ def request_validation(spark, d):
             found = [StructuredQuery.parse(json.loads(x)) for x in frame["raw"]]
             yield pd.DataFrame({"id": frame["id"], "keywords": ["|".join(q.keywords) for q in found], "category": [q.category for q in found], "n": pd.array([q.limit for q in found], "Int64")})
 
-    return table(spark, d, "customer").select(key.alias("id"), raw.alias("raw")).mapInPandas(run, "id long, keywords string, category string, n long")
+    return worked(spark, d, "customer").select(key.alias("id"), raw.alias("raw")).mapInPandas(run, "id long, keywords string, category string, n long")
 
 
 @query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 < 2 THEN 'sg' END AS found FROM part""")
@@ -196,7 +196,7 @@ def accents_count(spark, d):
     """An accent is part of a letter: an entity is found as it is written or as an alias of it is, not by folding."""
     body = F.concat(F.when(F.col("p_partkey") % 3 == 0, "banque générale ").when(F.col("p_partkey") % 3 == 1, "banque generale ").otherwise("banque génerale "), F.col("p_name"))
     entities = {"banks": [{"slug": "sg", "name": "Banque Générale", "aliases": ["banque generale"]}]}
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), rules.first_entity(F.lower(body), entities)["slug"].alias("found"))
+    return worked(spark, d, "part").select(F.col("p_partkey").alias("id"), rules.first_entity(F.lower(body), entities)["slug"].alias("found"))
 
 
 @query("""SELECT p_partkey AS id, '| h | ' || p_name || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 |' || chr(10) || CASE WHEN p_partkey % 3 = 0 THEN '| 3 | 4 |' WHEN p_partkey % 3 = 1 THEN chr(10) || '## Part' || chr(10) || '| 3 | 4 | 5 |' ELSE '|3 | 4|' || chr(10) || '| 5 | ' || p_type || ' |' END AS body FROM part""")
@@ -205,7 +205,7 @@ def cut_tables(spark, d):
     k = F.col("p_partkey") % 3
     tail = F.when(k == 0, "\n## Part\n| 3 | 4 |").when(k == 1, "\n## Part\n| 3 | 4 | 5 |").otherwise(F.concat(F.lit("|3 | 4\n\n| 5 | "), "p_type", F.lit(" |")))
     body = F.concat(F.lit("| h | "), "p_name", F.lit(" |\n| --- | --- |\n| 1 | 2 |\n"), tail)
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), markdown.repair_tables(body).alias("body"))
+    return worked(spark, d, "part").select(F.col("p_partkey").alias("id"), markdown.repair_tables(body).alias("body"))
 
 
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber, 2.0 * l_quantity AS w, l_discount * 400 AS px, l_tax * 100 AS t FROM lineitem),

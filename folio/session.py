@@ -48,6 +48,12 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt anew over all cores: for rows that cost far more to work on than to move, which a few small files would leave to a few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: what is read again stays the same."""
     path = f"{scratch_folder(df.sparkSession, name)}/rows"

@@ -1,8 +1,10 @@
 """Faults found by the third review."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import dates, text
+from folio.plans import catalog_more
 from folio.sources import files
 
 
@@ -23,3 +25,9 @@ def test_markdown_names_in_folders(spark, tmp_path):
     files.write_markdown(df, str(tmp_path / "md"))
     out = {r["body"]: r["name"] for r in spark.read.parquet(str(tmp_path / "md")).collect()}
     assert out == {"body 1": "a_b.md", "body 2": "A_b.md", "body 3": "a_b_1.md", "body 4": "t_4.md", "body 5": "T_5.md", "body 6": None, "body 7": ".md"}
+
+
+@pytest.mark.parametrize("name", ["entity_dictionary", "quoted_charts", "handed_headers", "markdown_html", "gray_levels", "resolve_subcategories", "repaired_tables", "malformed_tables"])
+def test_short_rows_with_much_work_use_all_cores(spark, name):
+    rows = getattr(catalog_more, name)(spark, "/root/testdata/sf0.001")
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism  # one file and one row group before
