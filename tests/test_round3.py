@@ -38,3 +38,14 @@ def test_no_row_works_through_a_large_dictionary(spark):
     assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
     customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").where("c_custkey < 2700")
     assert {r["id"]: r["slug"] for r in found.collect()} == {r["c_custkey"]: f"w{r['c_custkey']}" for r in customers.collect()}
+
+
+def test_a_scan_is_not_written_by_one_task(spark, tmp_path, monkeypatch):
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3)
+    source.write.parquet(str(tmp_path / "documents.parquet"))
+    bases = []
+    plain = catalog_more.scratch_folder
+    monkeypatch.setattr(catalog_more, "scratch_folder", lambda *a: bases.append(plain(*a)) or bases[-1])
+    rows = catalog_more.stream_events(spark, str(tmp_path)).collect()
+    assert len(spark.read.parquet(f"{bases[0]}/in").inputFiles()) > 1
+    assert sum(r["n"] for r in rows if r["status"]) == source.count()
