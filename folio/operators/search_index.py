@@ -1,9 +1,11 @@
 """A stored inverted index in segments: immutable postings, tombstones, and one small manifest a version.
 
-A posting is a term's positions in one column of one document. A segment keeps its postings in folders by the
-term's hash, sorted by term and block of documents inside, so a search reads the row groups of its own terms;
-beside them lie lengths and filter columns a document, and what a term can weigh at most in each block of 128
-neighbouring ids. A changed document gets a posting list in a new, small segment and a tombstone in the old
+A posting is a term's positions in one column of one document. A row of a segment holds the postings of a term and
+column, as far as these were met together: of a frequent term those in one block of 128 neighbouring ids, of a
+rarer one those in several (``wide``). Beside them lies what the term can weigh at most in a block, and is read
+alone where that is enough. Rows lie in folders by the term's hash, sorted by
+term and block inside, so a search reads the row groups of its own terms; lengths and filter columns a document lie
+beside them. A changed document gets a posting list in a new, small segment and a tombstone in the old
 one; segments of like size are merged when there are several. Weights apply when searching.
 """
 
@@ -20,7 +22,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.operators.retrieval import B, FILTERED, K1, WEIGHTS, _tokens, indexed, nothing, ranked, request, token_lengths
@@ -32,9 +34,17 @@ BUCKETS = 64
 BLOCK_BITS = 7
 #: segments whose numbers of postings are of one power of this are merged once there are as many
 TIER = 4
+#: postings a block that a term has at least, on average, for a row a block
+DENSE = 8
+#: wide rows of merged segments end with so many blocks, as a power of two
+SPAN_BITS = 6
 TOKENS_AT_ONCE = 2_000_000
-POSTINGS = "term string, id long, column string, at array<int>, words int, block long, first boolean"
-BLOCKS = "term string, block long, column string, most int, short int, n long, firsts long"
+#: how rows are laid out; an index of another layout counts as drifted
+LAYOUT = 2
+#: ``block`` is a wide row's first; ``first``: whether no earlier column of the document holds the term
+BLOCKS = "term string, column string, wide boolean, block long, most int, short int, n long, firsts long, id array<long>, words array<int>, times array<int>, first array<boolean>"
+POSTINGS = f"{BLOCKS}, at array<array<int>>"
+NAMES = [c.split(" ")[0] for c in POSTINGS.split(", ")]
 
 
 def bucket_of(term: Column) -> Column:
@@ -76,7 +86,7 @@ def _put(spark: SparkSession, path: str, before: dict | None, after: dict) -> di
     # the version before stays for searches under way, older ones go
     if before:
         live = {s["name"] for m in (before, after) for s in m["segments"]} | {t["name"] for m in (before, after) for t in m["tombstones"]}
-        for kind in ("postings", "documents", "blocks", "tombstones"):
+        for kind in ("postings", "documents", "tombstones"):
             for name in storage.names_in(spark, f"{path}/{kind}"):
                 if name.partition("=")[2] not in live:
                     storage.delete(spark, f"{path}/{kind}/{name}")
@@ -105,30 +115,50 @@ def figures(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _postings(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Postings of every indexed column: words are found by the same expression as in a scan, positions inside the row."""
+    """Postings of every indexed column: words are found by the same expression as in a scan, positions inside the row.
+
+    A row holds no more than what was met at once, so it is bounded; a block whose documents are apart is in several.
+    """
     columns = list(indexed(docs, weights))
 
     def part(ids: np.ndarray, lists: list[pa.ListArray]) -> pa.RecordBatch:
+        if (ids[1:] < ids[:-1]).any():  # neighbouring ids meet in one row
+            order = np.argsort(ids, kind="stable")
+            ids, lists = ids[order], [x.take(pa.array(order)) for x in lists]
         lengths = [np.diff(x.offsets.to_numpy()) for x in lists]
         values = pa.chunked_array([x.flatten() for x in lists], pa.string()).combine_chunks().dictionary_encode()
         code, names = values.indices.to_numpy(zero_copy_only=False), values.dictionary
         doc = np.concatenate([np.repeat(np.arange(len(ids)), n) for n in lengths])
         column = np.repeat(np.arange(len(lists)), [n.sum() for n in lengths])
         pos = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in lengths])
-        order = np.lexsort((pos, column, code, doc))
+        order = np.argsort(code, kind="stable")  # inside a term they lie by column, document and position already
         doc, code, column, pos = doc[order], code[order], column[order], pos[order]
-        new = lambda *keys: np.flatnonzero(np.concatenate(([True], reduce(np.logical_or, [k[1:] != k[:-1] for k in keys])))) if len(doc) else np.zeros(0, int)
-        start = new(doc, code, column)
-        firsts = np.isin(start, new(doc, code))
-        d, c = doc[start], column[start]
-        offsets = np.append(start, len(pos)).astype(np.int32)
-        words = np.stack(lengths)[c, d] if len(start) else np.zeros(0)
+        new = lambda *keys: np.flatnonzero(np.concatenate(([True], reduce(np.logical_or, [k[1:] != k[:-1] for k in keys])))) if len(keys[0]) else np.zeros(0, int)
+        start = new(code, column, doc)
+        ends = np.append(start, len(pos)).astype(np.int32)
+        d, c, t, times = doc[start], column[start], code[start], np.diff(ends)
+        words = np.stack(lengths)[c, d] if len(start) else np.zeros(0, int)
+        order = np.lexsort((c, d, t)) if len(lists) > 1 else np.arange(len(start))
+        first = np.zeros(len(start), bool)
+        first[order[new(t[order], d[order])]] = True
+        block = ids[d] >> BLOCK_BITS
+        run, row = new(t, c), new(t, c, block)
+        of = np.searchsorted(run, row, "right") - 1  # the run of each block
+        blocks = np.bincount(of, minlength=len(run))
+        wide = (blocks > 1) & (np.diff(np.append(run, len(start))) < DENSE * blocks)
+        keep = ~wide[of] | np.isin(row, run)
+        row, wide = row[keep], wide[of[keep]]
+        rows = np.append(row, len(start)).astype(np.int32)
+        per = lambda x: pa.ListArray.from_arrays(rows, x)
+        least = lambda f, x: f.reduceat(x, row) if len(row) else x[:0]
         return pa.RecordBatch.from_arrays(
             [
-                names.take(pa.array(code[start])), pa.array(ids[d], pa.int64()), pa.array(columns, pa.string()).take(pa.array(c)), pa.ListArray.from_arrays(offsets, pa.array(pos, pa.int32())),
-                pa.array(words, pa.int32()), pa.array(ids[d] >> BLOCK_BITS, pa.int64()), pa.array(firsts),
+                names.take(pa.array(t[row])), pa.array(columns, pa.string()).take(pa.array(c[row])), pa.array(wide), pa.array(block[row], pa.int64()),
+                pa.array(least(np.maximum, times), pa.int32()), pa.array(least(np.minimum, words), pa.int32()), pa.array(np.diff(rows), pa.int64()),
+                pa.array(least(np.add, first.astype(np.int64)), pa.int64()),
+                per(pa.array(ids[d], pa.int64())), per(pa.array(words, pa.int32())), per(pa.array(times, pa.int32())), per(pa.array(first)), per(pa.ListArray.from_arrays(ends, pa.array(pos, pa.int32()))),
             ],
-            names=["term", "id", "column", "at", "words", "block", "first"],
+            names=NAMES,
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,25 +184,17 @@ def _clustered(rows: DataFrame, to: str, *order: str) -> None:
 
 
 def _finish(spark: SparkSession, path: str, name: str, columns: list[str]) -> dict:
-    """What the manifest says of a segment whose postings and documents are written; its blocks are written here."""
-    rows = spark.read.schema(f"{POSTINGS}, bucket int").parquet(f"{path}/postings/segment={name}")
-    blocks = rows.groupBy("term", "block", "column").agg(
-        F.max(F.size("at")).alias("most"), F.min("words").alias("short"), F.count(F.lit(1)).alias("n"), F.count_if("first").alias("firsts")
-    )
-    _clustered(blocks, f"{path}/blocks/segment={name}", "block")
+    """What the manifest says of a segment whose postings and documents are written."""
+    postings = spark.read.schema("n long").parquet(f"{path}/postings/segment={name}").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     documents = spark.read.parquet(f"{path}/documents/segment={name}")
     sums = documents.agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(f"len_{c}"), F.lit(0)).alias(c) for c in columns)).first()
-    return {"name": name, "n": sums["n"], "words": {c: sums[c] for c in columns}, "postings": _total(spark, path, name)}
-
-
-def _total(spark: SparkSession, path: str, name: str) -> int:
-    return spark.read.schema(f"{BLOCKS}, bucket int").parquet(f"{path}/blocks/segment={name}").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return {"name": name, "n": sums["n"], "words": {c: sums[c] for c in columns}, "postings": postings}
 
 
 def _segment(docs: DataFrame, path: str, weights: dict[str, float]) -> dict:
-    """Write one segment of ``docs``: one shuffle of postings, which are as many as terms a document and column."""
+    """Write one segment of ``docs``: one shuffle of postings, together where neighbouring ids hold a term."""
     spark, name = docs.sparkSession, uuid.uuid4().hex
-    _clustered(_postings(docs, weights), f"{path}/postings/segment={name}", "block", "id")
+    _clustered(_postings(docs, weights), f"{path}/postings/segment={name}", "block")
     carried = [c for c in FILTERED if c in docs.columns]
     lengths = token_lengths(docs, weights)
     rows = docs.where("id is not null").select(F.col("id").cast("long").alias("id"), *carried, *(n.alias(f"len_{c}") for c, n in lengths.items()))
@@ -185,7 +207,7 @@ def build(docs: DataFrame, path: str, weights: dict[str, float] = WEIGHTS) -> di
     spark = docs.sparkSession
     before = state_of(spark, path)
     one = _segment(docs, path, weights)
-    return _put(spark, path, before, {"segments": [one], "tombstones": [], "columns": list(indexed(docs, weights)), "source": version_of(docs, weights), "seal": seal(docs, weights)})
+    return _put(spark, path, before, {"layout": LAYOUT, "segments": [one], "tombstones": [], "columns": list(indexed(docs, weights)), "source": version_of(docs, weights), "seal": seal(docs, weights)})
 
 
 def drifted(docs: DataFrame, path: str, weights: dict[str, float] = WEIGHTS) -> bool:
@@ -194,7 +216,7 @@ def drifted(docs: DataFrame, path: str, weights: dict[str, float] = WEIGHTS) ->
     Equal files made use of in an equal way settle it without reading them; only otherwise all is read.
     """
     state = state_of(docs.sparkSession, path)
-    if state is None or state["columns"] != list(indexed(docs, weights)):
+    if state is None or state.get("layout") != LAYOUT or state["columns"] != list(indexed(docs, weights)):
         return True
     source = version_of(docs, weights)
     return (source is None or source != state["source"]) and seal(docs, weights) != state["seal"]
@@ -216,6 +238,8 @@ def update(docs: DataFrame, path: str, gone: DataFrame | None = None, weights: d
     """
     spark = docs.sparkSession
     before = state_of(spark, path)
+    if before.get("layout") != LAYOUT:
+        raise ValueError(f"the index at {path} has an older layout and must be built anew")
     ids = docs.select(F.col("id").cast("long").alias("id"))
     ids = (ids if gone is None else ids.union(gone.select(F.col("id").cast("long")))).where("id is not null").distinct()
     columns = before["columns"]
@@ -243,7 +267,7 @@ def merge(spark: SparkSession, path: str, state: dict | None = None) -> dict:
     if not chosen:
         return state
     some, name = {**state, "segments": chosen}, uuid.uuid4().hex
-    _clustered(_live_postings(spark, path, some).drop("bucket", "segment"), f"{path}/postings/segment={name}", "block", "id")
+    _clustered(_in_rows(_without_dead(spark, path, some, _each(_read(spark, path, "postings", some, POSTINGS)))), f"{path}/postings/segment={name}", "block")
     _documents(spark, path, some).drop("segment").write.parquet(f"{path}/documents/segment={name}")
     one = _finish(spark, path, name, state["columns"])
     lost = {s["name"] for s in chosen}
@@ -275,8 +299,33 @@ def _documents(spark: SparkSession, path: str, state: dict) -> DataFrame:
     return _without_dead(spark, path, state, spark.read.option("basePath", f"{path}/documents").parquet(*names).withColumn("segment", F.col("segment").cast("string")))
 
 
-def _live_postings(spark: SparkSession, path: str, state: dict) -> DataFrame:
-    return _without_dead(spark, path, state, _read(spark, path, "postings", state, f"{POSTINGS}, bucket int"))
+def _each(rows: DataFrame) -> DataFrame:
+    """A row a posting."""
+    each = rows.select("segment", "term", "column", F.inline(F.arrays_zip("id", "words", "at", "first")))
+    return each.withColumn("block", F.shiftright("id", BLOCK_BITS))
+
+
+def _each_block(rows: DataFrame) -> DataFrame:
+    """``term, column, block, most, short, n, firsts`` without positions; a block may have several rows."""
+    whole = F.array(F.struct("block", "most", "short", "n", "firsts"))
+    one = lambda x: F.struct(F.shiftright(x["id"], BLOCK_BITS).alias("block"), x["times"].alias("most"), x["words"].alias("short"), F.lit(1).cast("long").alias("n"), x["first"].cast("long").alias("firsts"))
+    return rows.select("term", "column", F.inline(F.when(F.col("wide"), F.transform(F.arrays_zip("id", "times", "words", "first"), one)).otherwise(whole)))
+
+
+def _in_rows(postings: DataFrame) -> DataFrame:
+    """Postings in rows again, as ``_postings`` makes them; a group is a term's in ``2 ** SPAN_BITS`` blocks at most."""
+    near = Window.partitionBy("term", "column", F.shiftright("block", SPAN_BITS))
+    blocks = F.size(F.collect_set("block").over(near))
+    wide = (blocks > 1) & (F.count(F.lit(1)).over(near) < DENSE * blocks)
+    first = F.min("block").over(near)
+    rows = postings.withColumns({"wide": wide, "block": F.when(wide, first).otherwise(F.col("block")), "times": F.size("at")})
+    key = ["term", "column", "wide", "block"]
+    before = Window.partitionBy(*key).orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    piece = F.floor(F.coalesce(F.sum("times").over(before), F.lit(0)) / TOKENS_AT_ONCE)
+    figures = [F.max("times").alias("most"), F.min("words").alias("short"), F.count(F.lit(1)).alias("n"), F.count_if("first").alias("firsts")]
+    lists = NAMES[NAMES.index("id") :]
+    found = rows.withColumn("piece", piece).groupBy(*key, "piece").agg(*figures, F.sort_array(F.collect_list(F.struct(*lists))).alias("p"))
+    return found.select(*(F.col(f"p.{c}").alias(c) if c in lists else c for c in NAMES))
 
 
 def _of_words(rows: DataFrame, words: list[str]) -> DataFrame:
@@ -289,10 +338,13 @@ def terms_of(spark: SparkSession, path: str, words: list[str], state: dict | Non
     state = state or state_of(spark, path)
     found = _of_words(_read(spark, path, "postings", state, f"{POSTINGS}, bucket int"), words)
     if isinstance(blocks, list):
-        found = found.where(F.col("block").isin(blocks))
+        found = found.where(F.col("wide") | F.col("block").isin(blocks))
+    each = _each(found)
+    if isinstance(blocks, list):
+        each = each.where(F.col("block").isin(blocks))
     elif blocks is not None:
-        found = found.join(blocks, "block", "left_semi")
-    return _without_dead(spark, path, state, found).drop("bucket", "segment")
+        each = each.join(blocks, "block", "left_semi")
+    return _without_dead(spark, path, state, each).drop("segment")
 
 
 def term_statistics(spark: SparkSession, path: str, words: list[str], columns: tuple[str, ...] | None = None) -> DataFrame:
@@ -362,7 +414,7 @@ def pruned(
     if state["tombstones"] or not (whole or len(used) == 1) or any(len(ws) > 1 for ws in terms.values()):
         return None
     words = {ws[0] for ws in terms.values()}
-    meta = _of_words(_read(spark, path, "blocks", state, f"{BLOCKS}, bucket int"), sorted(words)).where(F.col("column").isin(used))
+    meta = _each_block(_of_words(_read(spark, path, "postings", state, f"{BLOCKS}, bucket int"), sorted(words)).where(F.col("column").isin(used)))
     counts = {r["term"]: r for r in meta.groupBy("term").agg(F.sum("firsts" if whole else "n").alias("df"), F.sum("n").alias("n"), F.count_distinct("block").alias("blocks")).collect()}
     first = max(4 * limit, 32)
     if max((r["blocks"] for r in counts.values()), default=0) <= 2 * first:

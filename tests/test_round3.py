@@ -1,10 +1,14 @@
 """Faults found by the third review."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import dates, text
+from folio.operators import retrieval, search_index
 from folio.plans import catalog_more
+from folio.plans.query import StructuredQuery
 from folio.sources import files
 
 
@@ -49,3 +53,50 @@ def test_a_scan_is_not_written_by_one_task(spark, tmp_path, monkeypatch):
     rows = catalog_more.stream_events(spark, str(tmp_path)).collect()
     assert len(spark.read.parquet(f"{bases[0]}/in").inputFiles()) > 1
     assert sum(r["n"] for r in rows if r["status"]) == source.count()
+
+
+@pytest.fixture(scope="module")
+def dense_and_rare(spark, tmp_path_factory):
+    """``the`` in every document, ``r<i // 40>`` in forty neighbours, ids in any order."""
+    rows = [((i * 7919) % 2000, "the " * (i % 3 + 1) + f"r{(i * 7919) % 2000 // 40}", f"r{i % 50}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "id long, raw_text string, title string").repartition(3)
+    path = str(tmp_path_factory.mktemp("rows") / "index")
+    search_index.build(docs, path)
+    return docs, path
+
+
+def test_rare_terms_are_stored_together(spark, dense_and_rare):
+    docs, path = dense_and_rare
+    stored = spark.read.parquet(f"{path}/postings").groupBy("term", "column").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"), F.max("wide").alias("wide")).collect()
+    rows = {(r["term"], r["column"]): r for r in stored}
+    assert not rows["the", "raw_text"]["wide"] and rows["the", "raw_text"]["rows"] <= 3 * 16  # a row a block and place; one a posting before
+    assert rows["r7", "title"]["wide"] and rows["r7", "title"]["n"] == 40 and rows["r7", "title"]["rows"] <= 3
+    assert not (Path(path) / "blocks").exists()  # no second pass over all postings
+
+
+def test_rows_of_a_merged_index(spark, dense_and_rare, tmp_path):
+    docs, _ = dense_and_rare
+    path = str(tmp_path / "index")
+    search_index.build(docs.where("id % 4 = 0"), path)
+    for k in (1, 2, 3):
+        state = search_index.update(docs.where(f"id % 4 = {k}"), path)
+    assert len(state["segments"]) < 4
+    now = docs
+    for query in (StructuredQuery(keywords=("the", "r7")), StructuredQuery(keywords=("the r7",)), StructuredQuery(keywords=("r7",), not_terms=("r9",))):
+        for limit in (None, 5):
+            found, plain = search_index.search(spark, path, query, limit), retrieval.search(now, query, limit)
+            assert sorted((r["id"], round(r["score"], 9)) for r in found.collect()) == sorted((r["id"], round(r["score"], 9)) for r in plain.collect())
+    statistics = {r["term"]: (r["df"], r["cf"]) for r in search_index.term_statistics(spark, path, ["the", "r7"], ("raw_text",)).collect()}
+    assert statistics == {"the": (2000, sum(i % 3 + 1 for i in range(2000))), "r7": (40, 40)}
+
+
+def test_an_index_of_an_older_layout_is_built_anew(spark, tmp_path):
+    path = str(tmp_path / "index")
+    docs = spark.createDataFrame([(1, "alpha", "t")], "id long, raw_text string, title string")
+    state = search_index.build(docs, path)
+    assert not search_index.drifted(docs, path)
+    old = {k: v for k, v in state.items() if k != "layout"}
+    search_index._put(spark, path, state, old)
+    assert search_index.drifted(docs, path)
+    with pytest.raises(ValueError, match="layout"):
+        search_index.update(docs, path)
