@@ -102,31 +102,41 @@ def free_names(spark, d):
 # -- streams --------------------------------------------------------------------------------------
 
 
-def _replayed(spark, rows, name, files=4):
-    """The rows as a stream of several files, a batch each, in order of time from file to file but not inside; a row from far ahead ends them."""
-    base = f"{scratch_folder(spark, name)}/in"
+def _replayed(spark, rows, name, run, files=4):
+    """``run(stream, base)`` over the rows as a stream: a run and a batch each for parts in order of time, in any order inside; a row from far ahead ends them.
+
+    A part is written by as many tasks as read the rows.
+    """
+    base = scratch_folder(spark, name)
     span = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     part = F.least(F.floor((micros("ts") - micros("a")) * files / (micros("b") - micros("a") + 1)), F.lit(files - 1))
     dealt = rows.crossJoin(F.broadcast(span)).withColumn("part", part).drop("a", "b")  # one row
     ahead = rows.limit(1).withColumn("ts", F.make_timestamp(*map(F.lit, (2100, 1, 1, 0, 0, 0)))).withColumn(rows.columns[0], F.lit(-1).cast(dict(rows.dtypes)[rows.columns[0]]))
-    for k in range(files):
-        dealt.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(base)
-    ahead.coalesce(1).write.mode("append").parquet(base)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(base), base[: -len("/in")]
+    for one in (*(dealt.where(F.col("part") == k).drop("part") for k in range(files)), ahead.coalesce(1)):
+        one.write.mode("append").parquet(f"{base}/in")
+        run(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), base)
+    return base
+
+
+def _told(spark, rows, name, stateful):
+    """What ``stateful`` makes of the rows as a stream."""
+    schemas = []
 
+    def run(stream, base):
+        out = stateful(stream)
+        schemas.append(out.schema)
+        out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
 
-def _written(stream, base):
-    stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out")
+    base = _replayed(spark, rows, name, run)
+    return spark.read.schema(schemas[0]).parquet(f"{base}/out")
 
 
 @query(SQL["message_suppression"])
 def streamed_suppression(spark, d):
     """The messages of ``message_suppression`` as a stream of several batches, with keyed state that goes after its time."""
     rows = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
-    stream, base = _replayed(spark, rows, "suppression")
-    return _written(suppressed_stream(stream, 3600, "1 second", "bigint"), base).where("key >= 0")
+    return _told(spark, rows, "suppression", lambda stream: suppressed_stream(stream, 3600, "1 second", "bigint")).where("key >= 0")
 
 
 @query(SQL["task_transitions"])
@@ -135,8 +145,7 @@ def streamed_tasks(spark, d):
     kinds = F.array(*map(F.lit, ("TASK_STARTED", "TASK_PROGRESS", "TASK_FINISHED", "TASK_FAILED", "SCAN_STARTED")))
     kind = F.get(kinds, (F.col("event_id") % 5).cast("int"))
     rows = table(spark, d, "events").select(F.col("user_id").alias("task"), F.col("ts").cast("timestamp").alias("ts"), "event_id", kind.alias("type"))
-    stream, base = _replayed(spark, rows, "tasks")
-    out = _written(task_history_stream(stream, "1 second", 1e9, "bigint"), base).where("task >= 0")
+    out = _told(spark, rows, "tasks", lambda stream: task_history_stream(stream, "1 second", 1e9, "bigint")).where("task >= 0")
     return out.select("event_id", "state", "valid")
 
 
@@ -144,11 +153,9 @@ def streamed_tasks(spark, d):
 SELECT 'INIT' AS frame, event_id FROM (SELECT event_id FROM p WHERE part = 0 ORDER BY ts DESC, event_id DESC LIMIT 300)
 UNION ALL SELECT CASE WHEN event_id % 1000 = 0 THEN 'RELOAD' ELSE 'LOG' END, event_id FROM p WHERE part > 0""")
 def live_frames(spark, d):
-    """The events as a log that is followed from its first file on, in two runs of one query: the newest so far, then each further one."""
+    """The events as a log that is followed from its first files on, in several runs of one query: the newest so far, then each further one."""
     rows = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    source, base = _replayed(spark, rows, "log")
-    for _ in range(2):
-        live_log.follow(source, f"{base}/frames", f"{base}/check", 300, F.col("event_id") % 1000 == 0).awaitTermination()
+    base = _replayed(spark, rows, "log", lambda source, at: live_log.follow(source, f"{at}/frames", f"{at}/check", 300, F.col("event_id") % 1000 == 0).awaitTermination())
     return live_log.frames(spark, f"{base}/frames").where("event_id >= 0").select("frame", "event_id")
 
 

@@ -4,6 +4,8 @@ Rows of a key wait until the watermark has passed their time, since an earlier o
 folded in order, and what the fold remembers is kept until ``forget`` seconds after the key's last row. Several
 batches, in whatever order within the watermark, so give what one batch over all rows gives. A key's state holds
 its memory and the rows of the watermark's delay. Rows later than the watermark are dropped by the watermark.
+Keys are dealt to a fixed number of groups by their hash, and a group is called once a batch: a call costs far more
+than a row. A group's state is that of its keys, so a batch writes anew what the groups it meets remember.
 """
 
 from __future__ import annotations
@@ -17,47 +19,66 @@ from pyspark.sql import functions as F
 
 from folio.streaming.ingest import TASK_EVENTS, TASK_NEXT
 
-STATE = "memory string, pending array<struct<at:bigint,row:string>>, last bigint"
+#: JSON: of each key its memory, its rows that wait, and when its last row was
+STATE = "keys string"
+GROUPS = 2048
 
 
 def in_event_order(
-    stream: DataFrame, key: str, time: str, carried: list[str], step: Callable[[object, int, list], tuple[object, list[tuple]]], output: str, delay: str, forget: float
+    stream: DataFrame, key: str, time: str, carried: list[str], step: Callable[[object, int, list], tuple[object, list[tuple]]], output: str, delay: str, forget: float, groups: int = GROUPS
 ) -> DataFrame:
     """Fold the rows of each ``key`` by ``time`` and then by ``carried``: ``step(memory, micros, values)`` gives the next memory and output rows.
 
     ``memory`` starts as None and must be what JSON can hold. ``output`` is the schema of the key and of what
-    ``step`` gives. Rows without a key form one key; rows without a time are dropped.
+    ``step`` gives; keys are told apart as strings. Rows without a key form one key; rows without a time are
+    dropped. A checkpoint belongs to one number of ``groups``.
     """
     micros = F.unix_micros(F.col(time).cast("timestamp"))
-    rows = stream.where(F.col(time).isNotNull()).select(key, F.col(time).cast("timestamp").alias("__time"), micros.alias("__at"), F.to_json(F.array(*(F.col(c).cast("string") for c in carried))).alias("__row"))
-    columns = [c.strip().split(" ")[0] for c in output.split(",")]
-
-    def fold(keys: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        memory, pending, last = (json.loads(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else (None, [], None)
+    group = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(groups)).cast("int")
+    rows = stream.where(F.col(time).isNotNull()).select(
+        group.alias("__group"), F.col(key).cast("string").alias("__key"), F.col(time).cast("timestamp").alias("__time"), micros.alias("__at"),
+        F.to_json(F.array(*(F.col(c).cast("string") for c in carried))).alias("__row"),
+    )
+    names = [c.strip().split(" ")[0] for c in output.split(",")]
+    head, _, told_types = output.partition(",")
+
+    def fold(_: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        # a list of pairs, since a key may be null
+        known = {k: [memory, pending, last] for k, memory, pending, last in json.loads(state.get[0])} if state.exists else {}
         for frame in frames:
-            pending += list(zip(frame["__at"].tolist(), frame["__row"].tolist()))
-        passed = state.getCurrentWatermarkMs() * 1000
-        pending = sorted((p[0], p[1]) for p in pending)
-        ready = next((i for i, p in enumerate(pending) if p[0] > passed), len(pending))
-        out = []
-        for at, row in pending[:ready]:
-            memory, told = step(memory, at, json.loads(row))
-            out += [(*keys, *t) for t in told]
-            last = at
-        pending = pending[ready:]
-        gone = None if last is None else last + int(forget * 1_000_000)
-        if not pending and gone is not None and gone <= passed:
-            state.remove()
-        else:
-            state.update((json.dumps(memory), pending, last))
-            wake = pending[0][0] if pending else gone
+            for k, at, row in zip(frame["__key"].tolist(), frame["__at"].tolist(), frame["__row"].tolist(), strict=True):
+                known.setdefault(k, [None, [], None])[1].append([at, row])
+        now = state.getCurrentWatermarkMs()
+        passed = now * 1000
+        out, wake = [], None
+        for k, kept in list(known.items()):
+            memory, pending, last = kept
+            pending.sort()
+            ready = next((i for i, p in enumerate(pending) if p[0] > passed), len(pending))
+            for at, row in pending[:ready]:
+                memory, told = step(memory, at, json.loads(row))
+                out += [(k, *t) for t in told]
+                last = at
+            pending = pending[ready:]
+            gone = None if last is None else last + int(forget * 1_000_000)
+            if not pending and gone is not None and gone <= passed:
+                del known[k]
+                continue
+            kept[:] = memory, pending, last
+            at = pending[0][0] if pending else gone
+            wake = at if wake is None else min(wake, at)
+        if known:
+            state.update((json.dumps([(k, *kept) for k, kept in known.items()]),))
             # a timer fires once the watermark is beyond it, and must lie beyond the watermark now
-            state.setTimeoutTimestamp(max(wake // 1000, passed // 1000 + 1))
+            state.setTimeoutTimestamp(max(wake // 1000, now + 1))
+        elif state.exists:
+            state.remove()
         if out:
-            yield pd.DataFrame(out, columns=columns)
+            yield pd.DataFrame(out, columns=names)
 
     held = rows.withWatermark("__time", delay)
-    return held.groupBy(key).applyInPandasWithState(fold, output, STATE, "append", "EventTimeTimeout")
+    found = held.groupBy("__group").applyInPandasWithState(fold, f"{names[0]} string,{told_types}", STATE, "append", "EventTimeTimeout")
+    return found.withColumn(names[0], F.col(names[0]).cast(head.strip().split(" ", 1)[1]))
 
 
 def suppressed_stream(messages: DataFrame, seconds: int = 30, delay: str = "1 minute", key_type: str = "string") -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from folio.functions import dates, text
 from folio.operators import retrieval, search_index
-from folio.plans import catalog_more
+from folio.plans import catalog_more, catalog_store
 from folio.plans.query import StructuredQuery
 from folio.sources import files
+from folio.streaming import ordered
 
 
 def test_bytes_beyond_the_last_unit(value):
@@ -100,3 +101,26 @@ def test_an_index_of_an_older_layout_is_built_anew(spark, tmp_path):
     assert search_index.drifted(docs, path)
     with pytest.raises(ValueError, match="layout"):
         search_index.update(docs, path)
+
+
+def test_many_keys_share_a_call(spark, tmp_path):
+    """5,000 keys, one of them null, in two runs: a group a call, and what a table gives."""
+    rows = spark.range(15_000).select(F.when(F.col("id") % 5000 > 0, (F.col("id") % 5000).cast("string")).alias("key"), F.timestamp_seconds(1000 + F.floor(F.col("id") / 5000) * 20).alias("ts"))
+    stream = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    for part in (rows.where("unix_timestamp(ts) < 1040"), rows.where("unix_timestamp(ts) >= 1040"), spark.sql("SELECT 'end' AS key, timestamp_seconds(1000000) AS ts")):
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        out = ordered.suppressed_stream(stream(), 30, "1 second")
+        run = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        states = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+        assert max(states) <= ordered.GROUPS  # a key each before
+    got = {(r["key"], r["shown_us"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    keys = [None, *map(str, range(1, 5000))]
+    assert got - {("end", 10**12)} == {(k, t) for k in keys for t in (1_000_000_000, 1_040_000_000)}
+
+
+def test_a_replayed_part_is_written_by_all_its_readers(spark):
+    rows = spark.range(0, 4000, 1, 4).select("id", F.timestamp_seconds("id").alias("ts"))
+    seen = []
+    catalog_store._replayed(spark, rows, "test", lambda stream, base: seen.append(len(list(Path(base.removeprefix("file:")).glob("in/part-*")))), files=1)
+    assert seen[0] == 4  # one before
